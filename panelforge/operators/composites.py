@@ -55,17 +55,16 @@ def median_over_span(
             rows = rows.withColumn("phase", phase).filter(F.col("phase").isNotNull())
         return rows
 
-    pixels = pixel_medians
     hot = None
     if hot_rows:
         hot = narrow.groupBy("patch_id", "pixel_id").count().filter(F.col("count") > hot_rows).drop("count")
         if hot.isEmpty():
             hot = None
     if hot is None:
-        medians = pixels(joined(narrow), keys, bands)
+        medians = pixel_medians(joined(narrow), keys, bands)
     else:
         on = ["patch_id", "pixel_id"]
-        cold = pixels(joined(narrow.join(hot, on, "left_anti")), keys, bands)
+        cold = pixel_medians(joined(narrow.join(hot, on, "left_anti")), keys, bands)
         warm = _median_by_rank(joined(narrow.join(hot, on, "left_semi")), keys, bands)
         # a hot pixel without any value in a window keeps its (empty) row out: means skip NULL anyway
         medians = cold.unionByName(warm)
@@ -80,12 +79,13 @@ def median_composite(
     lookback_days: int,
     prefix: str = "optical",
     count_name: str = "optical_s2_observation_count",
+    last_seen: str | None = None,
     hot_rows: int | None = 1_000_000,
 ) -> DataFrame:
     """Optical look-back composite; windows without images keep NULL bands and count 0.0."""
     means = median_over_span(spine, observations, bands, first=-lookback_days, last=0, hot_rows=hot_rows)
     named = means.select(*KEYS, *[F.col(b).alias(f"{prefix}_{b}_mean_l{lookback_days}d") for b in bands])
-    counted = image_counts(spine, observations, lookback_days=lookback_days, out=count_name)
+    counted = image_counts(spine, observations, lookback_days=lookback_days, out=count_name, last_seen=last_seen)
     return counted.join(named, KEYS, "left")
 
 

@@ -306,10 +306,12 @@ def evaluate_severity_reg(df: DataFrame) -> DataFrame:
         F.stddev_pop(t).alias("y_true_std"),
         F.avg(p).alias("y_pred_mean"),
         F.stddev_pop(p).alias("y_pred_std"),
-        F.corr(t, p).alias("_r"),
+        F.covar_pop(t, p).alias("_cov"),
     )
     defined = (F.col("n_samples") > 1) & (F.col("y_true_std") > 0) & (F.col("y_pred_std") > 0)
-    return out.withColumn("correlation", F.when(defined, F.col("_r")).otherwise(0.0)).drop("_r")
+    # not ``corr``: in ANSI mode it raises for a constant column
+    r = F.try_divide(F.col("_cov"), F.col("y_true_std") * F.col("y_pred_std"))
+    return out.withColumn("correlation", F.when(defined, r).otherwise(0.0)).drop("_cov")
 
 
 def risk_pairs(occ: DataFrame, sev: DataFrame) -> DataFrame:

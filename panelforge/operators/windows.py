@@ -101,6 +101,7 @@ def image_counts(
     anchor: str = "reference_date",
     day: str = "obs_date",
     image: str = "image_id",
+    last_seen: str | None = None,
 ) -> DataFrame:
     """Distinct images in [ref - L, ref] as a double, 0.0 when none.
 
@@ -108,6 +109,7 @@ def image_counts(
     its next date, so that it counts once. Each dated image thus adds one at the
     start of an interval and takes it back after the end; per-day sums of these
     steps and one running sum give exact distinct counts without a range join.
+    ``last_seen`` adds the latest observation day inside the window.
     """
     dated = observations.select(entity, image, day).distinct()
     following = F.lead(day).over(Window.partitionBy(entity, image).orderBy(day))
@@ -121,11 +123,16 @@ def image_counts(
             )
         ),
     )
+    daily = {"step": F.sum("step")}
+    spans = {out: ("step", "sum", None, 0)}
+    if last_seen:
+        daily["seen"] = F.max(F.when(F.col("step") > 0, F.col("obs_date")))
+        spans[last_seen] = ("seen", "max", -lookback_days, 0)
     counted = span_rollup(
         spine,
         steps,
-        daily={"step": F.sum("step")},
-        spans={out: ("step", "sum", None, 0)},
+        daily=daily,
+        spans=spans,
         entity=entity,
         anchor=anchor,
     )
