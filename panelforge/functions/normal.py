@@ -1,6 +1,8 @@
-"""Inverse of the standard normal distribution as a column expression."""
+"""Inverse of the standard normal distribution in column arithmetic."""
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Coefficients of the published rational approximation by
@@ -23,19 +25,29 @@ def _polynomial(coefficients: list[float], x: Column) -> Column:
     return total
 
 
-def inverse_normal(p: Column, margin: float = 1e-7) -> Column:
-    """Quantile of ``p``, clipped ``margin`` away from 0 and 1."""
-    q = F.when(p.isNotNull(), F.least(F.greatest(p, F.lit(margin)), F.lit(1.0 - margin)))
-    centred = q - 0.5
-    square = centred * centred
-    centre = centred * _polynomial(CENTRE_NUM, square) / _polynomial(CENTRE_DEN, square)
-
-    def tail(prob: Column) -> Column:
-        z = F.sqrt(-2.0 * F.ln(prob))
-        return _polynomial(TAIL_NUM, z) / _polynomial(TAIL_DEN, z)
-
-    return (
-        F.when(q < TAIL_FROM, tail(q))
-        .when(q > 1.0 - TAIL_FROM, -tail(1.0 - q))
-        .otherwise(centre)
-    )
+def with_inverse_normal(df: DataFrame, columns: Sequence[str], margin: float = 1e-7) -> DataFrame:
+    """Replace probabilities, clipped ``margin`` away from 0 and 1, by normal quantiles.
+
+    In steps over plain columns: one nested expression would repeat its inputs in
+    every polynomial term and outgrow the generated-code limit.
+    """
+
+    def centred(q: Column) -> Column:
+        return F.abs(q - 0.5) <= 0.5 - TAIL_FROM
+
+    q = {f"_q_{c}": F.least(F.greatest(F.col(c), F.lit(margin)), F.lit(1.0 - margin)) for c in columns}
+    out = df.withColumns(q)
+    terms = {}
+    for c in columns:
+        p = F.col(f"_q_{c}")
+        tail = F.sqrt(-2.0 * F.ln(F.least(p, 1.0 - p)))
+        terms[f"_z_{c}"] = F.when(centred(p), (p - 0.5) * (p - 0.5)).otherwise(tail)
+    out = out.withColumns(terms)
+    made = {}
+    for c in columns:
+        p, z = F.col(f"_q_{c}"), F.col(f"_z_{c}")
+        centre = (p - 0.5) * _polynomial(CENTRE_NUM, z) / _polynomial(CENTRE_DEN, z)
+        tail = _polynomial(TAIL_NUM, z) / _polynomial(TAIL_DEN, z)
+        value = F.when(centred(p), centre).when(p < 0.5, tail).otherwise(-tail)
+        made[c] = F.when(F.col(c).isNotNull(), value)
+    return out.withColumns(made).drop(*q, *terms)
