@@ -166,11 +166,18 @@ def best_f1_threshold(df: DataFrame) -> DataFrame:
 
 
 def topk_recall(
-    df: DataFrame, ks: Sequence[int], *, score: str = "y_prob", by: Sequence[str] = ("model",), name: str = "topk_recall"
+    df: DataFrame,
+    ks: Sequence[int],
+    *,
+    score: str = "y_prob",
+    by: Sequence[str] = ("model",),
+    name: str = "topk_recall",
+    extra: Sequence[Column] = (),
 ) -> DataFrame:
     """Share of positives among the k best scores; ``k`` beyond the rows takes all rows.
 
-    Ties go by patch and date. No positives give 0.0.
+    Ties go by patch and date. No positives give 0.0. ``extra`` aggregates ride along
+    with the totals, in the same pass.
     """
     if min(ks) <= 0:
         raise ValueError("k must be positive")
@@ -182,10 +189,12 @@ def topk_recall(
         df.select(*by, *KEYS, score, hit.alias("hit")).filter(F.col(score).isNotNull()), max(ks), by=by, order=order, salt=KEYS
     )
     caught = best.groupBy(*by).agg(*[F.sum(F.when(F.col("rank") <= k, F.col("hit")).otherwise(0)).alias(f"_c{k}") for k in ks])
-    totals = df.groupBy(*by).agg(F.sum(hit).alias("_pos"), F.count("*").alias("_n"))
+    totals = df.groupBy(*by).agg(F.sum(hit).alias("_pos"), F.count("*").alias("_n"), *extra)
+    others = [c for c in totals.columns if c not in (*by, "_pos", "_n")]
     return totals.join(caught, by, "left").select(
         *by,
         F.col("_n").alias("n"),
+        *others,
         *[F.coalesce(F.try_divide(F.col(f"_c{k}"), F.col("_pos")), F.lit(0.0)).alias(f"{name}_{k}") for k in ks],
     )
 
@@ -200,14 +209,14 @@ def evaluate_occurrence(df: DataFrame, *, bins: int = 10, topk: Sequence[int] |
     scores = score_columns(df)
     truth = F.col("y_true") == 1
     guess = F.col("y_pred") == 1 if "y_pred" in df.columns else F.col("y_prob") >= 0.5
-    counts = {"_tp": truth & guess, "_guess": guess, "_pos": truth}
+    counts = {"n_tp": truth & guess, "n_alert": guess, "n_true": truth}
     deploys = "calibrated" in scores and "occurrence_decision_threshold" in df.columns
     extra = []
     if deploys:
         alert = F.col("y_prob_calibrated") >= F.col("occurrence_decision_threshold")
-        counts |= {"_tp_dep": truth & alert, "_dep": alert}
+        counts |= {"n_tp_deployed": truth & alert, "n_deployed": alert}
         extra = [F.max("occurrence_decision_threshold").alias("deployment_threshold")]
-    base = df.groupBy("model").agg(*[F.count_if(c).alias(n) for n, c in counts.items()], *extra)
+    base = topk_recall(df, ks, extra=[*[F.count_if(c).alias(n) for n, c in counts.items()], *extra])
 
     ladder = _ranked(df, bins)
     raw = F.col("score") == "raw"
@@ -236,13 +245,15 @@ def evaluate_occurrence(df: DataFrame, *, bins: int = 10, topk: Sequence[int] |
             pick("best_f1", "oracle_f1_calibrated", cal),
         ]
     ranked = ladder.groupBy("model").agg(*columns)
-    top = topk_recall(df, ks)
-    out = base.join(ranked, "model").join(top, "model")
-    deployed = [F.col("deployment_threshold"), f1(F.col("_tp_dep"), F.col("_dep"), F.col("_pos")).alias("f1_calibrated_deployment")]
+    out = base.join(ranked, "model")
+    deployed = [
+        F.col("deployment_threshold"),
+        f1(F.col("n_tp_deployed"), F.col("n_deployed"), F.col("n_true")).alias("f1_calibrated_deployment"),
+    ]
     return out.select(
         "model",
         F.lit("occurrence").alias("task"),
-        f1(F.col("_tp"), F.col("_guess"), F.col("_pos")).alias("f1"),
+        f1(F.col("n_tp"), F.col("n_alert"), F.col("n_true")).alias("f1"),
         *[c for c in ranked.columns if c != "model"],
         *[F.when(F.col("n") >= k, F.col(f"topk_recall_{k}")).alias(f"topk_recall_{k}") for k in ks],
         *(deployed if deploys else []),
@@ -337,12 +348,11 @@ def evaluate_combined_risk(occ: DataFrame, sev: DataFrame, *, topk: Sequence[int
             F.lit(0).cast("long").alias("combined_risk_n"),
         ).distinct()
     pairs = risk_pairs(occ, sev)
-    stats = pairs.groupBy(*by).agg(
-        F.count("*").alias("combined_risk_n"),
+    spread = [
         F.avg("expected_risk").alias("expected_risk_mean"),
         F.stddev_pop("expected_risk").alias("expected_risk_std"),
-    )
-    top = topk_recall(pairs, ks, score="expected_risk", by=by, name="combined_topk_recall")
+    ]
+    found = topk_recall(pairs, ks, score="expected_risk", by=by, name="combined_topk_recall", extra=spread)
     # the grid of model names: one short list per side, put together by a scalar subquery
     names = with_model(sev).agg(F.collect_set("model").alias("names"))
     models = (
@@ -352,8 +362,8 @@ def evaluate_combined_risk(occ: DataFrame, sev: DataFrame, *, topk: Sequence[int
         .withColumn("names", names.scalar())
         .select("occ_model", F.explode("names").alias("sev_model"))
     )
-    out = models.join(stats, by, "left").join(top, by, "left")
-    n = F.coalesce(F.col("combined_risk_n"), F.lit(0))
+    out = models.join(found, by, "left")
+    n = F.coalesce(F.col("n"), F.lit(0))
     return out.select(
         *by,
         F.lit("combined_risk").alias("task"),

@@ -51,14 +51,15 @@ def with_slice(
     splits = [float("-inf"), *points, float("inf")]
     lookup = Bucketizer(splits=splits, inputCol="_v", outputCol="_bucket", handleInvalid="keep")
     marked = lookup.transform(df.withColumn("_v", F.col(value).cast("double")))
-    bucket = F.col("_bucket").cast("long")
+    # never NULL, so that joins on it add no null filter below the aggregates they share
+    bucket = F.coalesce(F.col("_bucket").cast("long"), F.lit(0).cast("long"))
     rank = -bucket if descending else bucket
     inner = F.lit(0)
     if digest and hot:
         # a hot value is the low end of its bucket: it comes last in descending order
         others = -1 if descending else TIE_SLICES
         inner = F.when(
-            F.col("_v").isin(hot), F.conv(F.substring(digest, 1, 3), 16, 10).cast("long")
+            F.col("_v").isin(hot), F.coalesce(F.conv(F.substring(digest, 1, 3), 16, 10).cast("long"), F.lit(0))
         ).otherwise(F.lit(others))
     return marked.withColumn("_slice", rank * (2 * TIE_SLICES) + inner).drop("_v", "_bucket")
 
