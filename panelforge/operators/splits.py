@@ -135,7 +135,7 @@ def auto_holdout_prefixes(df: DataFrame, *, fraction: float = 0.25) -> DataFrame
     rows = (
         df.filter(pid.rlike(NAIVE_ROW_ID))
         .select(
-            F.regexp_extract(pid, NAIVE_ROW_ID, 1).cast("int").alias("grid_row"),
+            F.regexp_extract(pid, NAIVE_ROW_ID, 1).try_cast("int").alias("grid_row"),
             F.regexp_extract(pid, r"^([^_]+)_", 1).alias("area"),
         )
         .groupBy("grid_row")
