@@ -1,6 +1,6 @@
 """Observation summaries per patch and date."""
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -8,67 +8,75 @@ from pyspark.sql import functions as F
 from ..functions.indices import normalized_difference
 from .keys import KEYS
 from .ordered import exact_quantiles
-from .windows import image_counts, span_join, span_rollup
+from .windows import day_number, image_counts, pixel_spans, span_join, span_rollup
 
 FIRE_THRESHOLD = 7  # fixed value: mask classes from here on are fires
 HORIZONS = (7, 30, 60)
 PREFIRE_DAYS = 90
 POSTFIRE_START, POSTFIRE_END = 30, 120
+HOT_ROWS = 10_000  # rows of one pixel in one window that a frame may hold
 
 
-def pixel_medians(rows: DataFrame, keys: Sequence[str], bands: Sequence[str]) -> DataFrame:
-    """Exact median over time for each pixel and band."""
-    return rows.groupBy(*keys, "pixel_id").agg(*[F.median(b).alias(b) for b in bands])
+def list_median(values: Column) -> Column:
+    """Median of an array; NULL when it is empty."""
+    ordered, n = F.array_sort(values), F.size(values)
+    below, above = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
+    return (F.get(ordered, below) + F.get(ordered, above)) / 2
 
 
-def _median_by_rank(rows: DataFrame, keys: Sequence[str], bands: Sequence[str]) -> DataFrame:
-    """The same medians from ranks of distinct values, for pixels too large for one task."""
-    group = [*keys, "pixel_id"]
-    found = exact_quantiles(rows, bands, [0.5], by=group)
-    return found.groupBy(*group).agg(*[F.max(F.when(F.col("feature") == b, F.col("quantile"))).alias(b) for b in bands])
+def _medians_by_frame(anchors: DataFrame, rows: DataFrame, bands, spans, anchor: str) -> DataFrame:
+    """Medians per anchor, pixel and span from the values of each range frame."""
+    found = pixel_spans(anchors, rows, spans, {b: F.collect_list for b in bands}, anchor=anchor)
+    named = [f"{s}_{b}" for s in spans for b in bands]
+    return found.select("patch_id", anchor, "pixel_id", *[list_median(F.col(c)).alias(c) for c in named])
 
 
-def median_over_span(
+def _medians_by_rank(anchors: DataFrame, rows: DataFrame, bands, spans, anchor: str) -> DataFrame:
+    """The same medians from ranks of distinct values, for pixels too large for one task."""
+    keys = ["patch_id", anchor, "pixel_id"]
+    out = None
+    for name, (first, last) in spans.items():
+        pairs = span_join(anchors, rows, first=first, last=last, anchor=anchor)
+        found = exact_quantiles(pairs, bands, [0.5], by=keys)
+        picked = [F.max(F.when(F.col("feature") == b, F.col("quantile"))).alias(f"{name}_{b}") for b in bands]
+        wide = found.groupBy(*keys).agg(*picked)
+        out = wide if out is None else out.join(wide, keys, "full")
+    return out
+
+
+def median_over_spans(
     anchors: DataFrame,
     observations: DataFrame,
     bands: Sequence[str],
+    spans: Mapping[str, tuple[int, int]],
     *,
-    first: int,
-    last: int,
-    phase: Column | None = None,
     anchor: str = "reference_date",
-    hot_rows: int | None = 1_000_000,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
-    """Median over time per pixel, then mean over pixels, for days ``first..last`` around each anchor.
+    """Median over time per pixel, then mean over pixels, in columns ``<span>_<band>``.
 
-    ``phase`` labels joined rows (NULL drops them), so that several windows share one join.
     An exact median needs all values of a pixel window together. Pixels with more than
-    ``hot_rows`` observations (found by one narrow count) take the rank path instead,
-    which spreads a single pixel over many tasks; the others keep the plain aggregate.
+    ``hot_rows`` observations in a stretch as long as the widest span (found by one narrow
+    count; None skips it where the sensor's revisit time bounds them) take the rank path
+    instead, which spreads a single pixel over many tasks; the others keep the frames.
     """
-    keys = ["patch_id", anchor] + (["phase"] if phase is not None else [])
+    places = anchors.select("patch_id", anchor)
     narrow = observations.select("patch_id", "pixel_id", "obs_date", *bands)
-
-    def joined(part: DataFrame) -> DataFrame:
-        rows = span_join(anchors.select("patch_id", anchor), part, first=first, last=last, anchor=anchor)
-        if phase is not None:
-            rows = rows.withColumn("phase", phase).filter(F.col("phase").isNotNull())
-        return rows
-
     hot = None
     if hot_rows:
-        hot = narrow.groupBy("patch_id", "pixel_id").count().filter(F.col("count") > hot_rows).drop("count")
+        width = max(last - first + 1 for first, last in spans.values())
+        stretch = F.floor(day_number(F.col("obs_date")) / width)
+        crowded = narrow.groupBy("patch_id", "pixel_id", stretch.alias("_stretch")).count().filter(F.col("count") > hot_rows)
+        hot = crowded.select("patch_id", "pixel_id").distinct()
         if hot.isEmpty():
             hot = None
     if hot is None:
-        medians = pixel_medians(joined(narrow), keys, bands)
+        medians = _medians_by_frame(places, narrow, bands, spans, anchor)
     else:
         on = ["patch_id", "pixel_id"]
-        cold = pixel_medians(joined(narrow.join(hot, on, "left_anti")), keys, bands)
-        warm = _median_by_rank(joined(narrow.join(hot, on, "left_semi")), keys, bands)
-        # a hot pixel without any value in a window keeps its (empty) row out: means skip NULL anyway
-        medians = cold.unionByName(warm)
-    return medians.groupBy(*keys).agg(*[F.avg(b).alias(b) for b in bands])
+        cold = _medians_by_frame(places, narrow.join(hot, on, "left_anti"), bands, spans, anchor)
+        medians = cold.unionByName(_medians_by_rank(places, narrow.join(hot, on, "left_semi"), bands, spans, anchor))
+    return medians.groupBy("patch_id", anchor).agg(*[F.avg(f"{s}_{b}").alias(f"{s}_{b}") for s in spans for b in bands])
 
 
 def median_composite(
@@ -80,11 +88,11 @@ def median_composite(
     prefix: str = "optical",
     count_name: str = "optical_s2_observation_count",
     last_seen: str | None = None,
-    hot_rows: int | None = 1_000_000,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Optical look-back composite; windows without images keep NULL bands and count 0.0."""
-    means = median_over_span(spine, observations, bands, first=-lookback_days, last=0, hot_rows=hot_rows)
-    named = means.select(*KEYS, *[F.col(b).alias(f"{prefix}_{b}_mean_l{lookback_days}d") for b in bands])
+    means = median_over_spans(spine, observations, bands, {"past": (-lookback_days, 0)}, hot_rows=hot_rows)
+    named = means.select(*KEYS, *[F.col(f"past_{b}").alias(f"{prefix}_{b}_mean_l{lookback_days}d") for b in bands])
     counted = image_counts(spine, observations, lookback_days=lookback_days, out=count_name, last_seen=last_seen)
     return counted.join(named, KEYS, "left")
 
@@ -101,16 +109,16 @@ def mean_composite(
 ) -> DataFrame:
     """Mean over time per pixel, then mean over pixels; pixels weigh the same.
 
-    Sums and counts per pixel and day are taken before the span join, so a pixel
-    with a huge number of observations meets it as one row per day.
+    Sums and counts per pixel and day are taken first, so a pixel with a huge number
+    of observations is one row per day from there on.
     """
     keys = [entity, "reference_date"]
+    parts = [f"_{part}_{f}" for f in fields for part in ("s", "n")]
     per_day = observations.groupBy(entity, "pixel_id", "obs_date").agg(
         *[F.sum(f).alias(f"_s_{f}") for f in fields], *[F.count(f).alias(f"_n_{f}") for f in fields]
     )
-    pairs = span_join(spine.select(*keys), per_day, first=-lookback_days, last=0, entity=entity)
-    pixel = pairs.groupBy(*keys, "pixel_id").agg(
-        *[F.try_divide(F.sum(f"_s_{f}"), F.sum(f"_n_{f}")).alias(f) for f in fields]
+    pixel = pixel_spans(spine, per_day, {"past": (-lookback_days, 0)}, {p: F.sum for p in parts}, entity=entity).select(
+        *keys, *[F.try_divide(f"past__s_{f}", f"past__n_{f}").alias(f) for f in fields]
     )
     means = pixel.groupBy(*keys).agg(
         *[F.avg(f).alias(name.format(field=f, days=lookback_days)) for f in fields]
@@ -172,9 +180,12 @@ def past_future_event_counts(
     spans |= {f"viirs_future_fire_count_{h}d": ("hits", "sum", 1, h) for h in horizons}
     daily = {"hits": F.count_if(F.col(mask) >= threshold)}
     counts = list(spans)
-    if last_seen:
+    if last_seen is not None:
         daily["seen"] = F.max("obs_date")
         spans[last_seen] = ("seen", "max", -lookback_days, 0)
+    else:
+        # only fires matter: the filter reaches the scan
+        fires = fires.filter(F.col(mask) >= threshold)
     rolled = span_rollup(spine, fires, daily=daily, spans=spans)
     return rolled.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("double") for c in counts})
 
@@ -205,35 +216,23 @@ def pre_post_composites(
     swir2: str = "b12",
     prefire_days: int = PREFIRE_DAYS,
     postfire: tuple[int, int] = (POSTFIRE_START, POSTFIRE_END),
-    hot_rows: int | None = 1_000_000,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Composites before and after each burn, with burn ratios and their difference.
 
     Many reference dates share a burn, so medians are taken once per patch and
-    burn date; both windows come from one join.
+    burn date; both windows are frames of one pass.
     """
     anchors = burned.filter("burn_date is not null").select("patch_id", "burn_date").distinct()
-    away = F.datediff("obs_date", "burn_date")
-    phase = F.when(away.between(-prefire_days, -1), "pre").when(away.between(*postfire), "post")
-    medians = median_over_span(
-        anchors,
-        observations,
-        [nir, swir2],
-        first=-prefire_days,
-        last=postfire[1],
-        phase=phase,
-        anchor="burn_date",
-        hot_rows=hot_rows,
-    )
-
-    def side(which: str, band: str) -> Column:
-        return F.max(F.when(F.col("phase") == which, F.col(band)))
-
-    wide = medians.groupBy("patch_id", "burn_date").agg(
-        side("pre", nir).alias("prefire_nir_mean"),
-        side("pre", swir2).alias("prefire_swir2_mean"),
-        side("post", nir).alias("postfire_nir_mean"),
-        side("post", swir2).alias("postfire_swir2_mean"),
+    spans = {"pre": (-prefire_days, -1), "post": postfire}
+    medians = median_over_spans(anchors, observations, [nir, swir2], spans, anchor="burn_date", hot_rows=hot_rows)
+    wide = medians.withColumnsRenamed(
+        {
+            f"pre_{nir}": "prefire_nir_mean",
+            f"pre_{swir2}": "prefire_swir2_mean",
+            f"post_{nir}": "postfire_nir_mean",
+            f"post_{swir2}": "postfire_swir2_mean",
+        }
     )
     out = burned.join(wide, ["patch_id", "burn_date"], "left").withColumns(
         {

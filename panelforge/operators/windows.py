@@ -1,18 +1,21 @@
 """Joining a spine with dated observations.
 
-Two ways, both shuffled on the patch:
+Three ways:
 
 * ``span_rollup`` for measures that can be summed or maximised per day first:
   observations shrink to one row per patch and day before the shuffle, then one
   range-framed window gives any number of look-back and future spans. No join,
   and no row is multiplied. A window group is bounded by the calendar (days of
   observations plus reference dates of one patch), whatever the raw row count.
-* ``span_join`` where raw rows are needed (medians): an equi join on patch and
+* ``pixel_spans`` for per-pixel aggregates: anchors are laid beside the rows of each
+  pixel, and range frames aggregate them. One shuffle; an observation is moved once,
+  not once per window that covers it (26 times for weekly dates and 180 days).
+* ``span_join`` where the pairs themselves are wanted: an equi join on patch and
   time bucket. Buckets are as wide as the span, so an anchor touches two at most
   and every observation has exactly one.
 """
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,6 +84,43 @@ def span_join(
     return left.join(right, [entity, "_bucket"]).filter(away.between(first, last)).drop("_bucket")
 
 
+def pixel_spans(
+    anchors: DataFrame,
+    observations: DataFrame,
+    spans: Mapping[str, tuple[int, int]],
+    aggregates: Mapping[str, Callable[[str], Column]],
+    *,
+    entity: str = "patch_id",
+    anchor: str = "reference_date",
+    day: str = "obs_date",
+    pixel: str = "pixel_id",
+) -> DataFrame:
+    """Aggregates per anchor and pixel: ``(entity, anchor, pixel, <span>_<column>)``.
+
+    ``spans`` names day ranges relative to the anchor, ``aggregates`` maps observation
+    columns to an aggregate of that column. Anchors too far from a pixel's first and
+    last observation to see any are left out.
+    """
+    low, high = min(a for a, _ in spans.values()), max(z for _, z in spans.values())
+    life = observations.groupBy(entity, pixel).agg(F.min(day).alias("_first"), F.max(day).alias("_last"))
+    at = F.col(anchor)
+    asked = (
+        anchors.select(entity, anchor)
+        .join(life, entity)
+        .filter((F.date_add(at, high) >= F.col("_first")) & (F.date_add(at, low) <= F.col("_last")))
+        .select(entity, pixel, anchor, at.alias("_day"), F.lit(True).alias("_spine"))
+    )
+    seen = observations.select(entity, pixel, F.col(day).alias("_day"), *aggregates, F.lit(False).alias("_spine"))
+    by_day = Window.partitionBy(entity, pixel).orderBy(day_number(F.col("_day")))
+    outputs = [
+        aggregate(c).over(by_day.rangeBetween(a, z)).alias(f"{name}_{c}")
+        for name, (a, z) in spans.items()
+        for c, aggregate in aggregates.items()
+    ]
+    rows = asked.unionByName(seen, allowMissingColumns=True)
+    return rows.select(entity, anchor, pixel, "_spine", *outputs).filter("_spine").drop("_spine")
+
+
 def lookback_join(anchors: DataFrame, observations: DataFrame, *, lookback_days: int, **names: str) -> DataFrame:
     """Pairs with observations dated in [ref - L, ref]."""
     return span_join(anchors, observations, first=-lookback_days, last=0, **names)
@@ -138,6 +178,3 @@ def image_counts(
     )
     return counted.withColumn(out, F.coalesce(F.col(out), F.lit(0)).cast("double"))
 
-
-def distinct_anchors(spine: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return spine.select(*columns).distinct()

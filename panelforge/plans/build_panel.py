@@ -20,7 +20,7 @@ def build_panel(
     bands: Sequence[str] = ("b2", "b3", "b4", "b8", "b11", "b12"),
     weather: Sequence[str] = ("temperature_2m",),
     weather_cell: str = "patch_id",
-    hot_rows: int | None = 1_000_000,
+    hot_rows: int | None = comp.HOT_ROWS,
 ) -> DataFrame:
     """Canonical panel of a spine from the sources that are given.
 

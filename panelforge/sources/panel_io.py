@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from ..functions.missing import finite_or_null, nulls_for_nans
 from ..operators.checks import ensure_required_columns, enforce_no_leakage, enforce_unique
 from ..operators.keys import PATCH_COLUMNS
+from ..session import shared_folder
 
 
 def read_panel(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -38,18 +39,25 @@ def validate_and_write(
     unique: bool = True,
     leakage: bool = True,
 ) -> None:
-    """Check the contract, then write. The panel is kept while it is checked and written,
-    so its plan runs once; lost blocks are rebuilt from their lineage."""
+    """Check the contract, then write; a broken panel leaves ``path`` as it was.
+
+    The panel is computed once, into a table in the shared folder. The checks read only
+    their few columns of it, and losing executors on the way never means building it again.
+    """
     ensure_required_columns(df)
-    kept = df.persist()
+    spark = df.sparkSession
+    stage = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(stage)
     try:
+        staged = spark.read.parquet(stage)
         if unique:
-            enforce_unique(kept)
+            enforce_unique(staged)
         if leakage:
-            enforce_no_leakage(kept)
-        write_panel(kept, path, partition_cols)
+            enforce_no_leakage(staged)
+        write_panel(staged, path, partition_cols)
     finally:
-        kept.unpersist()
+        where = spark._jvm.org.apache.hadoop.fs.Path(stage)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def read_patches(spark: SparkSession, path: str) -> DataFrame:

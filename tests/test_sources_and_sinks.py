@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from conftest import day, rows
 from panelforge.operators import checks, curves, keys, metrics
 from panelforge.sources import panel_io as io
+from panelforge.session import shared_folder
 from panelforge.sources.registry import band_list, observation_sources
 
 PANEL = (
@@ -41,7 +42,9 @@ def test_validate_and_write(spark, tmp_path):
         io.validate_and_write(panel(spark, seen="2020-01-05"), path)
     with pytest.raises(checks.ContractError, match="lacks"):
         io.validate_and_write(panel(spark).drop("y_occ_7d"), path)
+    assert spark.read.parquet(path).count() == 2
     io.validate_and_write(panel(spark, seen="2020-01-05"), path, leakage=False)
+    assert not [f for f in os.listdir(shared_folder(spark)) if f.startswith("stage-")]
 
 
 def test_grid_round_trip_reads_five_columns(spark, tmp_path):

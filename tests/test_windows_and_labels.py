@@ -43,7 +43,7 @@ def _random_observations(seed=5):
     ]
 
 
-@pytest.mark.parametrize("hot_rows", [None, 1, 66])
+@pytest.mark.parametrize("hot_rows", [None, 1, 24])
 def test_median_composite_against_brute_force(spark, hot_rows):
     data = _random_observations()
     refs = [day("2020-02-01"), day("2020-03-15"), day("2020-12-01")]
