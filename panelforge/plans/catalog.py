@@ -15,6 +15,7 @@ from ..streaming.incremental import pending_keys
 from . import bindings as b
 from .bindings import LOOKBACK, Tables, rnd, rounded, with_views
 from .build_panel import build_panel
+from .evaluate import evaluate_all, research_curves
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -682,6 +683,24 @@ def _(t: Tables) -> DataFrame:
     return rounded(holdout.best_band(t.order_panel))
 
 
+_TEST_ROWS = f"FROM order_panel WHERE reference_date > DATE '{b.VAL_END}' AND reference_date <= DATE '{b.TEST_END}'"
+
+
+@query(
+    "auto_holdout",
+    with_views("", "order_panel").rstrip()
+    + ",\n"
+    + _ROWS_SQL.replace("FROM order_panel", _TEST_ROWS)
+    + f"""\nSELECT CASE WHEN p.g IS NOT NULL THEN 'test' ELSE 'train' END AS spatial_split, count(*) AS n_rows
+      FROM order_panel o LEFT JOIN (SELECT row_start, row_end FROM ({_RANKED_SQL}) WHERE rank = 1) best
+        ON CAST(split_part(o.patch_id, '_', 2) AS INTEGER) BETWEEN row_start AND row_end
+      LEFT JOIN rr p ON p.g = CAST(split_part(o.patch_id, '_', 2) AS INTEGER) AND row_start IS NOT NULL GROUP BY 1""",
+)
+def _(t: Tables) -> DataFrame:
+    prefixes = holdout.auto_holdout(t.order_panel, **SPLIT_ENDS)
+    return splits.spatial_split(t.order_panel, prefixes).groupBy("spatial_split").agg(F.count("*").alias("n_rows"))
+
+
 @query(
     "severity_gate",
     with_views(
@@ -1085,6 +1104,42 @@ def _(t: Tables) -> DataFrame:
     return rounded(curves.residuals(t.severity_reg))
 
 
+@query("evaluate_all")
+def _(t: Tables) -> DataFrame:
+    # without SQL of its own: it joins reports that each have theirs
+    everything = (
+        t.occurrence.withColumn("y_true", F.col("y_true").cast("double"))
+        .withColumn("y_pred", F.col("y_pred").cast("double"))
+        .unionByName(t.severity_cls.withColumns({c: F.col(c).cast("double") for c in ("y_true", "y_pred")}), allowMissingColumns=True)
+        .unionByName(t.severity_reg, allowMissingColumns=True)
+    )
+    return evaluate_all(everything, prefixes=_PREFIXES)
+
+
+@query(
+    "research_curves",
+    with_views(
+        """SELECT "table", CAST(n AS BIGINT) AS n_rows FROM (
+          SELECT 'calibration_bins' AS "table", count(*) AS n FROM """
+        + _BINS
+        + """ UNION ALL SELECT 'threshold_tradeoffs', 99 * count(*) FROM (SELECT DISTINCT model, score FROM scores)
+          UNION ALL SELECT 'cumulative_gain', count(*) FROM scores
+          UNION ALL SELECT 'severity_regression_diagnostics', count(*) FROM severity_reg
+          UNION ALL SELECT 'roc_pr_curve_points', (SELECT count(*) FROM ladder) + 2 * (SELECT count(*) FROM (SELECT DISTINCT model, score FROM ladder))
+            + count(*) FROM (SELECT row_number() OVER w AS rn, pos, neg, lead(pos) OVER w AS np, lead(neg) OVER w AS nn FROM ladder
+                WINDOW w AS (PARTITION BY model, score ORDER BY y_score DESC)) WHERE rn = 1 OR np IS NULL OR np <> pos OR nn <> neg)""",
+        "ladder",
+        "severity_reg",
+    ),
+)
+def _(t: Tables) -> DataFrame:
+    sizes = [
+        df.agg(F.lit(name).alias("table"), F.count("*").alias("n_rows"))
+        for name, df in research_curves(t.occurrence, t.severity_reg).items()
+    ]
+    return metrics.comparison_table(sizes)
+
+
 # --- risk, quantiles, samples ----------------------------------------------
 
 _RISK_ROWS = """(SELECT patch_id, reference_date, least(floor(price / 50e0) / 10000e0, 1e0) AS p,

@@ -272,3 +272,23 @@ def test_dependence_bins(spark):
     df = spark.range(100).select(F.col("id").cast("double").alias("f"), (F.col("id") >= 50).cast("int").alias("t"))
     got = curves.dependence_bins(df, "f", "t", bins=4).orderBy("bin").collect()
     assert [(r["n"], r["target_mean"]) for r in got] == [(25, 0.0), (25, 0.0), (25, 1.0), (25, 1.0)]
+
+
+def test_evaluate_all_routes_models(spark):
+    from panelforge.plans.evaluate import evaluate_all, research_curves
+
+    y, p = random_predictions(120)
+    occ = frame(spark, y, p).withColumn("model", F.lit("logreg"))
+    keys = occ.select("patch_id", "reference_date")
+    reg = keys.withColumns({"y_true": F.lit(1), "y_pred": F.lit(0.25), "model": F.lit("x_sev_reg")})
+    cls = keys.withColumns({"y_true": F.lit(1), "y_pred": F.lit(1.0), "model": F.lit("net")})
+    table = evaluate_all(
+        occ.unionByName(reg, allowMissingColumns=True).unionByName(cls, allowMissingColumns=True), prefixes=["p_3_"], topk=[5]
+    )
+    got = {r["model"]: r for r in table.collect()}
+    assert set(got) == {"logreg", "x_sev_reg", "net", "risk__logreg+x_sev_reg"}
+    assert got["logreg"]["roc_auc"] == pytest.approx(brute_auc(y, p)) and got["logreg"]["f1"] == pytest.approx(brute_f1(y, p >= 0.5))
+    assert got["logreg"]["spatial_holdout_n"] == 6 and got["net"]["spatial_n_samples"] == 6
+    assert got["net"]["sev_macro_f1"] == 1.0 and got["x_sev_reg"]["sev_mae"] == 0.75
+    assert got["risk__logreg+x_sev_reg"]["combined_risk_n"] == 120 and got["risk__logreg+x_sev_reg"]["sev_mae"] is None
+    assert set(research_curves(occ, reg)) == {"roc_pr_curve_points", "calibration_bins", "threshold_tradeoffs", "cumulative_gain", "severity_regression_diagnostics"}
