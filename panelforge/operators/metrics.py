@@ -425,11 +425,15 @@ def infer_task(df: DataFrame) -> DataFrame:
 
     prob = F.count("y_prob") if "y_prob" in df.columns else F.lit(0)
     pred = F.col("y_pred").cast("double") if "y_pred" in df.columns else F.lit(None).cast("double")
-    per_value = df.groupBy("model", pred.alias("v")).agg(prob.alias("scored"))
+    # only whole numbers are told apart: fractions settle the task, however many there are
+    whole = F.when(pred == F.floor(pred), pred)
+    per_value = df.groupBy("model", whole.alias("v")).agg(
+        prob.alias("scored"), F.count_if(pred != F.floor(pred)).alias("fractions")
+    )
     per_model = per_value.groupBy("model").agg(
         F.sum("scored").alias("scored"),
         F.count("v").alias("distinct_values"),
-        F.coalesce(F.bool_and(F.col("v") == F.floor("v")), F.lit(True)).alias("whole"),
+        (F.sum("fractions") == 0).alias("whole"),
     )
     task = (
         F.when(F.col("scored") > 0, "occurrence")

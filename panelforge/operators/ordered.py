@@ -10,11 +10,14 @@ tie columns, so one hot score cannot fill a task either.
 """
 
 from collections.abc import Sequence
+import math
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.missing import nan_to_null
+
 TIE_SLICES = 4096  # three hex digits of the tie digest
 
 
@@ -114,11 +117,16 @@ def running_sums(
 
 
 def top_k(df: DataFrame, k: int, *, by: Sequence[str], order: Sequence[Column], salt: Sequence[str]) -> DataFrame:
-    """First k rows of each group, with ``rank``; at most k x 64 rows of a group meet in one task."""
+    """First k rows of each group, with ``rank``; at most k rows per salt meet in one task.
+
+    Up to k = 1000 Spark cuts each group to k rows before the shuffle. Beyond that it does
+    not, so the salts follow the shuffle partitions.
+    """
     if k <= 0:
         raise ValueError("k must be positive")
     by = list(by) or []
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*salt), F.lit(64)))
+    salts = 64 if k <= 1000 else max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*salt), F.lit(salts)))
     local = Window.partitionBy(*by, "_salt").orderBy(*order)
     final = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)
     return (
@@ -132,10 +140,17 @@ def top_k(df: DataFrame, k: int, *, by: Sequence[str], order: Sequence[Column],
 
 def melt(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Long form ``(*by, feature, value)`` without missing values."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])
+    pairs = F.array(
+        *[F.struct(F.lit(c).alias("feature"), nan_to_null(F.col(c).cast("double")).alias("value")) for c in columns]
+    )
     return df.select(*by, F.inline(pairs)).filter(F.col("value").isNotNull())
 
 
+FEW_PROBS = 16
+NARROW_ERROR = 1e-3
+ONE_SLICE_ROWS = 1_000_000  # below this a single slice per group is enough
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
@@ -146,38 +161,48 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact linearly interpolated quantiles: ``(*by, feature, prob, quantile)``.
 
-    Ranks are found from running counts of distinct values, so no task ever
-    holds a whole column. ``probs`` must ascend.
+    Ranks are found from running counts of distinct values, so no task ever holds a
+    whole column. A few quantiles of whole columns only move the values near them.
+    ``probs`` must ascend.
     """
-    by = list(by)
+    columns = list(columns)
+    if not by and len(probs) <= FEW_PROBS:
+        near = _near_quantiles(df, columns, probs, slices)
+        if near is not None:
+            return near
     group = [*by, "feature"]
     long = melt(df, columns, by).withColumn("value", F.col("value") + F.lit(0.0))
     counted = long.groupBy(*group, "value").agg(F.count("*").alias("n"))
     ladder = running_sums(
         counted, by=group, value="value", sums=["n"], descending=False, slices=slices, cuts_from=long
     )
-    last = F.col("cum_n") - 1
-    first = F.col("cum_n") - F.col("n")
+    first, last = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1
     span = F.col("total_n") - 1
-    grid = len(probs) > 16 and all(abs(p - i / (len(probs) - 1)) < 1e-15 for i, p in enumerate(probs))
-    all_probs = F.array(*[F.lit(float(p)) for p in probs])
-    if grid:
+    wanted = F.array(*[F.lit(float(p)) for p in probs])
+    if len(probs) > FEW_PROBS and all(abs(p - i / (len(probs) - 1)) < 1e-15 for i, p in enumerate(probs)):
+        # evenly spaced: only look at those that can fall on this value
         top = len(probs) - 1
         low = F.greatest(F.lit(0), F.floor(F.try_divide((first - 1) * top, span)))
         high = F.least(F.lit(top), F.ceil(F.try_divide((last + 1) * top, span)))
-        near = F.when(span > 0, F.slice(all_probs, (low + 1).cast("int"), (high - low + 1).cast("int"))).otherwise(
-            all_probs
-        )
-    else:
-        near = all_probs
+        part = F.slice(wanted, (low + 1).cast("int"), (high - low + 1).cast("int"))
+        wanted = F.when(span > 0, part).otherwise(wanted)
 
     def covers(rank: Column) -> Column:
         return (rank >= first) & (rank <= last)
 
-    hit = F.filter(near, lambda p: covers(F.floor(p * span)) | covers(F.ceil(p * span)))
+    hit = F.filter(wanted, lambda p: covers(F.floor(p * span)) | covers(F.ceil(p * span)))
     hits = ladder.select(*group, "value", "total_n", first.alias("first"), last.alias("last"), F.explode(hit).alias("prob"))
+    return _interpolated(hits, group)
+
+
+def _interpolated(hits: DataFrame, group: list[str]) -> DataFrame:
+    """Quantiles from rows ``(group, prob, value, first, last, total_n)`` that hold the
+    0-based ranks ``first..last``."""
     rank = F.col("prob") * (F.col("total_n") - 1)
-    inside = lambda r: (r >= F.col("first")) & (r <= F.col("last"))
+
+    def inside(r: Column) -> Column:
+        return (r >= F.col("first")) & (r <= F.col("last"))
+
     return (
         hits.groupBy(*group, "prob")
         .agg(
@@ -187,3 +212,61 @@ def exact_quantiles(
         )
         .select(*group, "prob", (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part")).alias("quantile"))
     )
+
+
+def _near_quantiles(df: DataFrame, columns: list[str], probs: Sequence[float], slices: int | None) -> DataFrame | None:
+    """Exact quantiles from the values close to approximate ones.
+
+    A sketch brackets each quantile, one aggregate counts the rows below and inside the
+    brackets, and only rows inside are shuffled. None when a bracket misses its rank
+    (few rows), where the full path takes over.
+    """
+    spark = df.sparkSession
+    numbers = df.select(*[(nan_to_null(F.col(c).cast("double")) + F.lit(0.0)).alias(c) for c in columns])
+    asked = sorted({p + d for p in probs for d in (-2 * NARROW_ERROR, 2 * NARROW_ERROR) if 0.0 < p + d < 1.0})
+    found = numbers.approxQuantile(columns, asked, NARROW_ERROR) if asked else [[] for _ in columns]
+    brackets = []
+    for c, values in zip(columns, found):
+        at = dict(zip(asked, values))
+        for p in probs:
+            brackets.append(
+                (c, float(p), at.get(p - 2 * NARROW_ERROR, float("-inf")), at.get(p + 2 * NARROW_ERROR, float("inf")))
+            )
+    counts = []
+    for i, (c, _, low, high) in enumerate(brackets):
+        counts.append(F.count_if(F.col(c) < low).alias(f"below_{i}"))
+        counts.append(F.count_if(F.col(c).between(low, high)).alias(f"inside_{i}"))
+    counts += [F.count(c).alias(f"n_{j}") for j, c in enumerate(columns)]
+    row = numbers.agg(*counts).first()
+    known = []
+    for i, (c, p, _, _) in enumerate(brackets):
+        n, below, inside = row[f"n_{columns.index(c)}"], row[f"below_{i}"], row[f"inside_{i}"]
+        if n == 0:
+            continue
+        rank = p * (n - 1)
+        if math.floor(rank) < below or math.ceil(rank) >= below + inside:
+            return None
+        known.append((c, p, below, n))
+    pairs = F.array(
+        *[
+            F.struct(
+                F.lit(c).alias("feature"),
+                F.lit(p).alias("prob"),
+                F.col(c).alias("value"),
+                F.col(c).between(low, high).alias("inside"),
+            )
+            for c, p, low, high in brackets
+        ]
+    )
+    selected = numbers.select(F.inline(F.filter(pairs, lambda s: s["inside"]))).drop("inside")
+    counted = selected.groupBy("feature", "prob", "value").agg(F.count("*").alias("n"))
+    if max((row[f"inside_{i}"] for i in range(len(brackets))), default=0) <= ONE_SLICE_ROWS:
+        slices = 1
+    ladder = running_sums(
+        counted, by=["feature", "prob"], value="value", sums=["n"], descending=False, slices=slices, cuts_from=selected
+    )
+    offsets = spark.createDataFrame(known, "feature string, prob double, below long, total_n long")
+    hits = ladder.drop("total_n").join(offsets, ["feature", "prob"])
+    first = F.col("below") + F.col("cum_n") - F.col("n")
+    hits = hits.select("feature", "prob", "value", "total_n", first.alias("first"), (F.col("below") + F.col("cum_n") - 1).alias("last"))
+    return _interpolated(hits, ["feature"])

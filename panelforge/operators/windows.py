@@ -27,6 +27,17 @@ def day_number(day: Column) -> Column:
     return F.unix_date(day)
 
 
+def within_period(
+    observations: DataFrame, start: str, end: str, *, first: int, last: int, day: str = "obs_date"
+) -> DataFrame:
+    """Only observations that some anchor in [start, end] can see ``first..last`` days away.
+
+    Both bounds are constants, so they reach the scan and skip files and row groups.
+    """
+    low, high = F.date_add(F.lit(start).cast("date"), first), F.date_add(F.lit(end).cast("date"), last)
+    return observations.filter((F.col(day) >= low) & (F.col(day) <= high))
+
+
 def span_rollup(
     spine: DataFrame,
     events: DataFrame,

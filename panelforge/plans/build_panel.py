@@ -10,6 +10,7 @@ from ..operators.features import rolling_stats, spectral_indices
 from ..operators.keys import KEYS, finish_keys
 from ..operators.labels import occurrence_labels, severity_labels
 from ..operators.lookups import static_join
+from ..operators.windows import within_period
 
 
 def build_panel(
@@ -20,6 +21,7 @@ def build_panel(
     bands: Sequence[str] = ("b2", "b3", "b4", "b8", "b11", "b12"),
     weather: Sequence[str] = ("temperature_2m",),
     weather_cell: str = "patch_id",
+    period: tuple[str, str] | None = None,
     hot_rows: int | None = comp.HOT_ROWS,
 ) -> DataFrame:
     """Canonical panel of a spine from the sources that are given.
@@ -28,7 +30,11 @@ def build_panel(
     ``cloud_score_plus``, ``era5_land_daily``, ``srtm``, ``burn_severity`` (burn rows;
     its bands come from ``sentinel2_sr``). The latest observation day that a look-back
     summary used becomes ``feature_max_timestamp``, so the leakage check has something to test.
+    ``period`` gives the first and last reference date where they are known, so that scans
+    skip observations no window can reach.
     """
+    if period is not None:
+        sources = _in_period(sources, period, lookback_days)
     out = spine
     seen = []
     if "viirs_active_fire" in sources:
@@ -67,3 +73,25 @@ def build_panel(
     out = out.withColumn("feature_max_timestamp", F.coalesce(latest.cast("date"), F.col("reference_date"))).drop(*seen)
     out = severity_labels(occurrence_labels(out))
     return finish_keys(rolling_stats(spectral_indices(out)))
+
+
+def _in_period(sources: Mapping[str, DataFrame], period: tuple[str, str], lookback_days: int) -> dict[str, DataFrame]:
+    """Sources cut to the days their windows can reach. Optical rows also serve burns,
+    whose date lies within a year of the window start, 90 days before to 120 after."""
+    reach = {
+        "viirs_active_fire": ("obs_date", -lookback_days, max(comp.HORIZONS)),
+        "sentinel2_cloud_probability": ("obs_date", -lookback_days, 0),
+        "cloud_score_plus": ("obs_date", -lookback_days, 0),
+        "era5_land_daily": ("obs_date", -lookback_days, 0),
+        "burn_severity": ("image_date", 1, 90),
+        "sentinel2_sr": ("obs_date", -lookback_days, 0),
+    }
+    if "burn_severity" in sources:
+        longest = 366 + comp.PREFIRE_DAYS
+        reach["sentinel2_sr"] = ("obs_date", -max(lookback_days, longest), 366 + comp.POSTFIRE_END)
+    return {
+        name: within_period(df, *period, first=reach[name][1], last=reach[name][2], day=reach[name][0])
+        if name in reach
+        else df
+        for name, df in sources.items()
+    }

@@ -1239,4 +1239,4 @@ def panel_query(t: Tables) -> DataFrame:
 
 
 def full_panel(t: Tables) -> DataFrame:
-    return build_panel(t.spine, t.sources, lookback_days=LOOKBACK, bands=b.BANDS, weather_cell="cell")
+    return build_panel(t.spine, t.sources, lookback_days=LOOKBACK, bands=b.BANDS, weather_cell="cell", period=(b.START, b.END))

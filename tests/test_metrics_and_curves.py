@@ -268,6 +268,17 @@ def test_exact_quantiles(spark):
     assert one.count() == 100 and one.select("quantile").distinct().count() == 1
 
 
+@pytest.mark.parametrize("n", [3, 900, 20000])
+def test_few_quantiles_near_brackets(spark, n):
+    rng = np.random.default_rng(n)
+    a, b = rng.normal(size=n), rng.integers(0, 5, size=n).astype(float)
+    data = spark.createDataFrame(list(zip(a.tolist(), b.tolist())), "a double, b double")
+    probs = [0.0, 0.01, 0.5, 0.99, 1.0]
+    df = data.withColumn("none", F.lit(None).cast("double"))
+    got = {(r["feature"], r["prob"]): r["quantile"] for r in ordered.exact_quantiles(df, ["a", "b", "none"], probs).collect()}
+    assert got == {(f, p): pytest.approx(np.quantile(v, p), abs=1e-12) for f, v in (("a", a), ("b", b)) for p in probs}
+
+
 def test_dependence_bins(spark):
     df = spark.range(100).select(F.col("id").cast("double").alias("f"), (F.col("id") >= 50).cast("int").alias("t"))
     got = curves.dependence_bins(df, "f", "t", bins=4).orderBy("bin").collect()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_module
 from conftest import DATA
 from panelforge.operators import composites, curves, keys, metrics
+from panelforge.operators.windows import within_period
 from panelforge.plans.bindings import Tables
 
 QUERIES = entry_module.queries()
@@ -40,6 +41,13 @@ def test_fire_filter_and_columns_reach_the_scan(spark, tmp_path):
     assert "b8" not in scan.split("ReadSchema")[1]
 
 
+def test_period_reaches_the_scan(spark):
+    t = Tables(spark, DATA)
+    df = within_period(t.observations, "1996-01-01", "1996-12-31", first=-60, last=60)
+    text = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    assert "GreaterThanOrEqual(l_shipdate,1995-11-02" in text and "LessThan(l_shipdate,1997-03-02" in text
+
+
 def test_event_counts_use_one_window_pass(spark):
     t = Tables(spark, DATA)
     text = plan(composites.past_future_event_counts(t.keys, t.sources["viirs_active_fire"], lookback_days=30))

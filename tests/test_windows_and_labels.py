@@ -161,6 +161,19 @@ def test_panel_build_keeps_the_contract(spark):
     assert "temporal_optical_nbr_prefire_rmean_3" in panel.columns
 
 
+def test_known_period_changes_nothing(spark):
+    dates = [day("2020-02-01"), day("2020-03-01"), day("2020-04-01")]
+    spine = spark.createDataFrame([(f"p{p}", r) for p in range(3) for r in dates], SPINE)
+    obs = spark.createDataFrame(_random_observations(), OBS)
+    fires = obs.select("patch_id", "obs_date", F.lit(8).alias("fire_mask"))
+    burns = fires.select("patch_id", F.trunc("obs_date", "month").alias("image_date"), F.dayofyear("obs_date").alias("burn_doy"))
+    sources = {"viirs_active_fire": fires, "sentinel2_sr": obs, "burn_severity": burns}
+    free, cut = (
+        build_panel(spine, sources, lookback_days=30, bands=["b8", "b12"], period=p) for p in (None, ("2020-02-01", "2020-04-01"))
+    )
+    assert rows(free, "patch_id", "reference_date") == rows(cut, "patch_id", "reference_date")
+
+
 def test_future_rows_do_not_change_past_features(spark):
     data = _random_observations()
     spine = spark.createDataFrame([("p0", day("2020-02-01")), ("p0", day("2020-02-15"))], SPINE)
