@@ -32,7 +32,10 @@ def score_columns(df: DataFrame) -> dict[str, str]:
 
 
 def unpivot_scores(df: DataFrame) -> DataFrame:
-    """Long form: one row per prediction and available score (raw, calibrated)."""
+    """Long form: one row per prediction and available score (raw, calibrated).
+
+    Models without a calibrated score, in a table where others have one, give no such rows.
+    """
     df = with_model(df)
     pairs = F.array(
         *[
@@ -41,7 +44,8 @@ def unpivot_scores(df: DataFrame) -> DataFrame:
         ]
     )
     keys = [k for k in KEYS if k in df.columns]
-    return df.select("model", *keys, F.col("y_true").cast("int").alias("y_true"), F.inline(pairs))
+    long = df.select("model", *keys, F.col("y_true").cast("int").alias("y_true"), F.inline(pairs))
+    return long.filter(F.col("y_score").isNotNull())
 
 
 def score_ladder(long: DataFrame, *, lead: bool = False, slices: int | None = None) -> DataFrame:
@@ -208,7 +212,9 @@ def evaluate_occurrence(df: DataFrame, *, bins: int = 10, topk: Sequence[int] |
     ks = list(topk or DEFAULT_TOP_K)
     scores = score_columns(df)
     truth = F.col("y_true") == 1
-    guess = F.col("y_pred") == 1 if "y_pred" in df.columns else F.col("y_prob") >= 0.5
+    guess = F.col("y_prob") >= 0.5
+    if "y_pred" in df.columns:
+        guess = F.coalesce(F.col("y_pred") == 1, guess)
     counts = {"n_tp": truth & guess, "n_alert": guess, "n_true": truth}
     deploys = "calibrated" in scores and "occurrence_decision_threshold" in df.columns
     extra = []
@@ -248,7 +254,9 @@ def evaluate_occurrence(df: DataFrame, *, bins: int = 10, topk: Sequence[int] |
     out = base.join(ranked, "model")
     deployed = [
         F.col("deployment_threshold"),
-        f1(F.col("n_tp_deployed"), F.col("n_deployed"), F.col("n_true")).alias("f1_calibrated_deployment"),
+        F.when(
+            F.col("deployment_threshold").isNotNull(), f1(F.col("n_tp_deployed"), F.col("n_deployed"), F.col("n_true"))
+        ).alias("f1_calibrated_deployment"),
     ]
     return out.select(
         "model",
@@ -330,8 +338,8 @@ def risk_pairs(occ: DataFrame, sev: DataFrame) -> DataFrame:
 
     Each pair of models meets on the keys; the calibrated probability wins when present.
     """
-    prob = "y_prob_calibrated" if "y_prob_calibrated" in occ.columns else "y_prob"
-    left = with_model(occ).select(F.col("model").alias("occ_model"), *KEYS, "y_true", F.col(prob).alias("p"))
+    prob = F.coalesce(*[F.col(c) for c in ("y_prob_calibrated", "y_prob") if c in occ.columns])
+    left = with_model(occ).select(F.col("model").alias("occ_model"), *KEYS, "y_true", prob.alias("p"))
     right = with_model(sev).select(F.col("model").alias("sev_model"), *KEYS, F.col("y_pred").alias("sev_pred"))
     return left.join(right, KEYS).withColumn("expected_risk", F.col("p") * F.col("sev_pred"))
 

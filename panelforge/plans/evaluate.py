@@ -40,10 +40,6 @@ def evaluate_all(
 
     occurrence = of_models(predictions, by_task["occurrence"])
     if by_task["occurrence"]:
-        # columns that only other tasks fill would read as given but empty
-        absent = [c for c in ("y_pred", "y_prob_calibrated", "occurrence_decision_threshold") if c in occurrence.columns]
-        known = occurrence.agg(*[F.count(c).alias(c) for c in absent]).first() if absent else {}
-        occurrence = occurrence.drop(*[c for c in absent if not known[c]])
         add("occurrence", metrics.evaluate_occurrence(occurrence, bins=bins, topk=topk), occurrence)
     if by_task["severity_cls"]:
         rows = of_models(predictions, by_task["severity_cls"])

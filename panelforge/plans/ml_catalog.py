@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import normal
 from ..ml import fit as fitting
 from ..ml import score
 from ..ml.transformers import MedianImputer, QuantileNormalizer, Winsorizer
@@ -63,11 +64,47 @@ def _(t: Tables) -> DataFrame:
     return rounded(model.transform(panel).select(*KEYS, *_out("filled"), *model.indicator_columns()), 6)
 
 
-@query("quantile_normalize")
+def _polynomial_sql(coefficients: list[float], x: str) -> str:
+    text = f"{coefficients[0]!r}::DOUBLE"
+    for c in coefficients[1:]:
+        text = f"({text} * {x} + {c!r}::DOUBLE)"
+    return text
+
+
+def _normal_sql(c: str) -> str:
+    """Rows with the normal quantile of a column: knots, the knot at or below, the share
+    between, and the inverse normal distribution."""
+    tail = f"({_polynomial_sql(normal.TAIL_NUM, 'z')} / {_polynomial_sql(normal.TAIL_DEN, 'z')})"
+    centre = f"((q - 0.5e0) * {_polynomial_sql(normal.CENTRE_NUM, 'z')} / {_polynomial_sql(normal.CENTRE_DEN, 'z')})"
+    probs = ", ".join(repr(i / 499) for i in range(500))
+    return f"""(
+      WITH raw AS (SELECT unnest(quantile_cont({c}, [{probs}])) AS k, generate_subscripts(quantile_cont({c}, [{probs}]), 1) - 1 AS i FROM {_TRAIN}),
+      knots AS (SELECT *, lead(k) OVER (ORDER BY k) AS nk, lead(a) OVER (ORDER BY k) AS na FROM (
+        SELECT k, min(i) / 499e0 AS a, max(i) / 499e0 AS b FROM raw GROUP BY k)),
+      shares AS (SELECT patch_id, reference_date,
+          CASE WHEN x IS NULL THEN NULL WHEN x < (SELECT min(k) FROM knots) + 1e-7 THEN 0 WHEN x > (SELECT max(k) FROM knots) - 1e-7 THEN 1
+            WHEN x = k THEN (a + b) / 2 ELSE b + (x - k) / (nk - k) * (na - b) END AS share
+        FROM (SELECT patch_id, reference_date, {c} AS x FROM order_panel WHERE reference_date <= DATE '{b.TEST_END}') r
+        ASOF LEFT JOIN knots ON x >= k)
+      SELECT patch_id, reference_date, CASE WHEN share IS NULL THEN NULL WHEN abs(q - 0.5e0) <= 0.5e0 - {normal.TAIL_FROM}e0 THEN {centre}
+          WHEN q < 0.5e0 THEN {tail} ELSE -{tail} END AS v
+      FROM (SELECT *, CASE WHEN abs(q - 0.5e0) <= 0.5e0 - {normal.TAIL_FROM}e0 THEN (q - 0.5e0) * (q - 0.5e0) ELSE sqrt(-2e0 * ln(least(q, 1e0 - q))) END AS z
+            FROM (SELECT *, least(greatest(share, 1e-7), 1e0 - 1e-7) AS q FROM shares)))"""
+
+
+@query(
+    "quantile_normalize",
+    with_views(
+        f"""SELECT patch_id, reference_date, {', '.join(f'{rnd(f"n{i}.v", 6)} AS normal_{c}' for i, c in enumerate(FEATURES))}
+        FROM {_normal_sql(FEATURES[0])} n0 JOIN {_normal_sql(FEATURES[1])} n1 USING (patch_id, reference_date)
+        JOIN {_normal_sql(FEATURES[2])} n2 USING (patch_id, reference_date)""",
+        "order_panel",
+    ),
+)
 def _(t: Tables) -> DataFrame:
     panel = _panel(t)
     model = QuantileNormalizer(inputCols=FEATURES, outputCols=_out("normal")).fit(panel.filter("split = 'train'"))
-    return model.transform(panel).select(*KEYS, *_out("normal"))
+    return rounded(model.transform(panel).select(*KEYS, *_out("normal")), 6)
 
 
 @query("isotonic_calibrate")

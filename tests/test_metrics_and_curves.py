@@ -107,6 +107,28 @@ def test_deployment_threshold_and_default_labels(spark):
     assert row["deployment_threshold"] == 0.35 and row["topk_recall_10"] is not None
 
 
+def test_models_with_and_without_calibration_share_a_table(spark):
+    y, p = random_predictions(80)
+    plain = frame(spark, y, p).withColumn("model", F.lit("plain"))
+    tuned = frame(spark, y, p).withColumns(
+        {
+            "model": F.lit("tuned"),
+            "y_pred": F.lit(1),
+            "y_prob_calibrated": F.col("y_prob") * 0.5,
+            "occurrence_decision_threshold": F.lit(0.2),
+        }
+    )
+    table = plain.unionByName(tuned, allowMissingColumns=True)
+    got = {r["model"]: r for r in metrics.evaluate_occurrence(table).collect()}
+    for name in ("roc_auc_calibrated", "ece_calibrated", "deployment_threshold", "f1_calibrated_deployment"):
+        assert got["plain"][name] is None and got["tuned"][name] is not None
+    assert got["plain"]["f1"] == pytest.approx(brute_f1(y, p >= 0.5)) and got["tuned"]["f1"] == pytest.approx(brute_f1(y, p >= 0))
+    assert got["tuned"]["ece_calibrated"] == pytest.approx(brute_ece(y, p * 0.5))
+    sev = plain.select("patch_id", "reference_date", F.lit(2.0).alias("y_pred"))
+    risk = {r["occ_model"]: r["expected_risk_mean"] for r in metrics.evaluate_combined_risk(table, sev).collect()}
+    assert risk == {"plain": pytest.approx(2 * p.mean()), "tuned": pytest.approx(p.mean())}
+
+
 def test_topk(spark):
     df = frame(spark, [1, 0, 1, 0], [0.9, 0.8, 0.1, 0.05])
     assert rows(metrics.topk_recall(df, [1, 3, 10])) == [("m", 4, 0.5, 1.0, 1.0)]
