@@ -196,6 +196,7 @@ def fit_occurrence(
         scored = positive_probability(model.transform(data.filter("split <> 'train'")), prefix).select(
             *KEYS, "split", F.col(target).cast("int").alias("y_true"), "y_prob"
         )
+        diagnostics = {r["split"]: r for r in split_diagnostics(data, target).collect()}
         with _kept(scored) as scored:
             val = scored.filter("split = 'val'")
             calibrator = fit_calibrator(val)
@@ -204,18 +205,16 @@ def fit_occurrence(
             )
             tuned = best.filter("score = 'calibrated'").first()
             threshold, val_f1 = (tuned["best_threshold"], tuned["best_f1"]) if tuned else (0.5, 0.0)
-        diagnostics = {r["split"]: r for r in split_diagnostics(data, target).collect()}
-
-    predictions = apply_calibrator(calibrator, scored.filter("split = 'test'")).select(
-        *KEYS,
-        "y_true",
-        "y_prob",
-        "y_prob_calibrated",
-        (F.col("y_prob") >= 0.5).cast("int").alias("y_pred"),
-        F.lit(float(threshold)).alias("occurrence_decision_threshold"),
-        (F.col("y_prob_calibrated") >= threshold).cast("int").alias("y_pred_calibrated_tuned"),
-    )
-    report = metrics.evaluate_occurrence(metrics.with_model(predictions, model_name))
+            predictions = apply_calibrator(calibrator, scored.filter("split = 'test'")).select(
+                *KEYS,
+                "y_true",
+                "y_prob",
+                "y_prob_calibrated",
+                (F.col("y_prob") >= 0.5).cast("int").alias("y_pred"),
+                F.lit(float(threshold)).alias("occurrence_decision_threshold"),
+                (F.col("y_prob_calibrated") >= threshold).cast("int").alias("y_pred_calibrated_tuned"),
+            )
+            report = metrics.evaluate_occurrence(metrics.with_model(predictions, model_name))
 
     def about(split: str, figure: str):
         row = diagnostics.get(split)
@@ -223,7 +222,7 @@ def fit_occurrence(
 
     report = report.select(
         "model",
-        *[c for c in ("f1", "roc_auc", "pr_auc", "ece_raw", "ece_calibrated", "f1_calibrated", "roc_auc_calibrated")],
+        *("f1", "roc_auc", "pr_auc", "ece_raw", "ece_calibrated", "f1_calibrated", "roc_auc_calibrated"),
         F.lit(float(threshold)).alias("optimal_threshold"),
         F.lit(float(val_f1)).alias("optimal_val_f1"),
         F.col("f1_calibrated_deployment").alias("f1_at_optimal_threshold"),
