@@ -7,10 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .dart_dedup import near_texts
 from .html_text import extract_main_text
+from .mixing import mix
+from .packing import pack
 from .pair_quality import pair_quality
+from .pii import find_pii
 from .pq_dedup import near_vectors
 from .quality_rules import quality_rules
+from .secrets import find_secrets
 from .token_files import token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +70,44 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_pair_quality")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return pair_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT source, source_size, [5e0, 2e0, 1e0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight, 3e0 * source_size AS cap FROM s),
+l AS (SELECT *, greatest(CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER o, 0e0), 0e0) / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0e0)) AS level
+      FROM w WINDOW o AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT arg_min(level, cap / weight) AS common FROM l WHERE level * weight < cap),
+t AS (SELECT source, source_size, least(cap, coalesce((SELECT common FROM c) * weight, cap)) AS target FROM l),
+p AS (SELECT *, floor(target / greatest(source_size, 1) + 1e-9) AS whole FROM t),
+q AS (SELECT *, floor(target - whole * source_size + 1e-3) AS extra FROM p),
+r AS (SELECT d.doc_id, d.size, q.source_size, round(q.target, 6) AS target, q.whole, q.extra,
+      sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k) AS upto FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * (whole + CASE WHEN extra > 0 AND upto <= extra THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r"""
+
+
+@query("op5_mix_sources", OP5_SQL)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op6_pack")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER), window=2048, end_id=1)
+
+
+@query("op9_dart_dedup")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return near_texts(table(spark, folder, "documents"), threshold=0.8).select("doc_id", "class_id", "kept")
+
+
+@query("op7_pii")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return find_pii(table(spark, folder, "documents"))
+
+
+@query("op4_secrets")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return find_secrets(table(spark, folder, "documents"))
