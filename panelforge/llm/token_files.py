@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import column, new_path, prepare, stage
+from .common import column, new_path, partitions, prepare, stage
 from .tokens import encoder
 
 FRAME_BYTES = 1 << 20
@@ -200,7 +200,7 @@ def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFr
                             names=["shard", "doc_id", "at", "n_tokens", "ids_crc32"],
                         )
 
-    files = manifest.select("shard", "file").repartition("file")
+    files = manifest.select("shard", "file").repartition(partitions(spark), "file")  # a given number: few rows stand for much work
     return files.mapInArrow(read, "shard long, doc_id long, at long, n_tokens long, ids_crc32 long")
 
 
