@@ -19,6 +19,7 @@ from .text_arrays import Texts, repeated, slices
 BITS = 18
 TRUSTED_ROWS = 50_000  # labelled rows the trusted multinomial is fitted on, at most
 KEEP_SHARE = 0.999  # of the trusted texts that pass the counts, so many pass the score too
+MARGIN = 0.1  # in mean log ratio per n-gram
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 _IS_SYMBOL = np.isin(np.arange(256), list(SYMBOLS))
@@ -134,11 +135,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, trusted_rows: int = TRUSTED_ROWS,
     known = np.sort(map_batches(trusted, scores, "score double").toArrow()["score"].to_numpy())
     if not len(known):
         return QualityModel(weights, -np.inf)
-    # Halfway between the trusted texts' lowest scores and what a text of junk gets: below
-    # every trusted text but the share given up, with a margin as wide as their spread.
+    # Below every trusted text but the share given up, with a margin as wide as their spread
+    # and at least MARGIN, as trusted texts may be few or alike.
     low = float(np.quantile(known, 1 - keep_share))
     margin = float(np.quantile(known, 0.5)) - low
-    return QualityModel(weights, low - margin)
+    return QualityModel(weights, low - max(margin, MARGIN))
 
 
 OUT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double"
