@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
-BATCH_ROWS = 2000  # rows a Python worker holds at once
+BATCH_ROWS = 2000  # rows a Python worker holds at once, of about so many bytes
+BATCH_BYTES = 16 << 20
 _made: dict[str, str] = {}
 _shipped: set[str] = set()
 
@@ -67,6 +68,7 @@ def prepare(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
@@ -77,6 +79,7 @@ def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 yield from fn(batch)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

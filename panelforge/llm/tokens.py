@@ -9,15 +9,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 300_000  # remembered at least; twice as many at most
 
 
 class Encoder:
     """Ids of texts for a tokenizer that drops white space and never joins across it.
 
     Ids come from the tokenizers library; pieces between spaces and line breaks are
-    encoded once and remembered (at most ``CACHE_PIECES``, then forgotten). ``spaced`` is
-    checked on creation: a tokenizer that keeps blanks is encoded text by text.
+    encoded once and remembered: recent ones, in two generations of ``CACHE_PIECES``. Whether
+    blanks matter is checked on creation: a tokenizer that keeps them is encoded text by text.
 
     Three rules, each checked on creation, save calls: case may not matter, a piece of
     letters followed by full stops or commas is the ids of both parts, and the last id of a
@@ -39,6 +39,7 @@ class Encoder:
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -61,28 +62,29 @@ class Encoder:
                 start = end
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
-        cache = self.cache
-        if len(cache) > CACHE_PIECES:
-            cache.clear()
-        fresh, parts = {}, []
+        if len(self.cache) > CACHE_PIECES:
+            self.cache, self.older = {}, self.cache
+        cache, older, splits, lowers = self.cache, self.older, self.splits, self.lowers
+        fresh, keys, tails = {}, [], []
         for p in pieces:
-            if p in cache:
-                continue
-            base = p.rstrip(".,") if self.splits else p
+            base = p.rstrip(".,") if splits else p
             if base.isalpha() and "Σ" not in base and "İ" not in base:  # both change case by context or length
-                low = base.lower() if self.lowers else base
-                if low not in cache:
-                    fresh[low] = None
-                if low is not p:
-                    parts.append((p, low, p[len(base) :]))
+                key = base.lower() if lowers else base
+                tail = p[len(base) :]
             else:
-                cache[p] = self._bytes(p)
+                key, tail, base = p, "", ""
+            if key not in cache:
+                if key in older:
+                    cache[key] = older[key]
+                elif base:
+                    fresh[key] = None
+                else:
+                    cache[key] = self._bytes(key)
+            keys.append(key)
+            tails.append(tail)
         self._learn_words(list(fresh))
-        for p, low, tail in parts:
-            if tail and tail not in cache:
-                cache[tail] = self._bytes(tail)
-            cache[p] = cache[low] + cache[tail] if tail else cache[low]
-        return [cache[p] for p in pieces]
+        ends = {t: self._bytes(t) for t in set(tails)}
+        return [cache[k] + ends[t] if t else cache[k] for k, t in zip(keys, tails)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and the boundaries (len + 1)."""
