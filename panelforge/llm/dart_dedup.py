@@ -14,11 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, connected_components, map_batches, mix64, stage
+from .common import column, connected_components, map_batches, mix64, prepare, stage
 from .text_arrays import WINDOW, Texts, repeated, slices
 
 ROWS_PER_BAND, BANDS = 5, 26  # a pair of similarity 0.8 shares no band with chance 3e-5
 K = ROWS_PER_BAND * BANDS
+BLOCK_TEXTS, BLOCK_ELEMENTS = 512, 1_000_000  # of a band that still holds several classes, compared at once
 _STEP = np.uint64(0xD1B54A32D192ED03)
 _UNIT = np.uint64(0xA24BAED4963EE407)
 
@@ -126,6 +127,68 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return map_batches(two.select("a", "b", "sa", "sb"), check, "a long, b long")
 
 
+def _compare(rows: list[dict], threshold: float) -> list[tuple[int, int]]:
+    """Links between classes among the texts of one pair of blocks of a band: a forest, found by exact similarity.
+
+    A pair is looked at in the first band that both texts share, so other bands don't repeat it.
+    """
+    band, same = rows[0]["band"], rows[0]["lb"] == rows[0]["rb"]
+    bands = np.array([r["bands"] for r in rows], np.int64)
+    at = int(np.flatnonzero(bands[0] == band)[0])
+    sets = [np.unique(np.frombuffer(r["elements"], np.uint64), return_counts=True) for r in rows]
+    _, local = np.unique(np.concatenate([x for x, _ in sets]), return_inverse=True)
+    counts = np.concatenate([c for _, c in sets])
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x, _ in sets])])
+    total = np.array([c.sum() for _, c in sets])
+    _, label = np.unique([r["c"] for r in rows], return_inverse=True)
+    is_left = np.array([r["left"] for r in rows])
+    have, out = np.zeros(int(local.max()) + 1, np.int64), []
+    for i in np.flatnonzero(is_left):
+        others = np.arange(i + 1, len(rows)) if same else np.flatnonzero(~is_left)
+        others = others[label[others] != label[i]]
+        few, many = np.minimum(total[others], total[i]), np.maximum(total[others], total[i])
+        others = others[few >= threshold * many]
+        others = others[~(bands[others, :at] == bands[i, :at]).any(1)]
+        if not len(others):
+            continue
+        mine = slice(bounds[i], bounds[i + 1])
+        have[local[mine]] = counts[mine]
+        size = bounds[others + 1] - bounds[others]
+        ends = np.cumsum(size)
+        take = np.arange(ends[-1]) + np.repeat(bounds[others] - (ends - size), size)
+        shared = np.add.reduceat(np.minimum(have[local[take]], counts[take]), ends - size)
+        have[local[mine]] = 0
+        for j in others[shared / (total[others] + total[i] - shared) >= threshold]:
+            if label[j] != label[i]:
+                out.append((rows[i]["node"], rows[j]["node"]))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def _joined_in_tasks(tasks: DataFrame, threshold: float) -> DataFrame:
+    """Run ``_compare`` over the groups of sorted partitions, one group in memory at a time."""
+    prepare(tasks.sparkSession)
+
+    def run(batches):
+        group, key = [], None
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                now = (row["band"], row["lb"], row["rb"])
+                if now != key and group:
+                    out += _compare(group, threshold)
+                    group = []
+                key = now
+                group.append(row)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        if group and (out := _compare(group, threshold)):
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    columns = ["band", "lb", "rb", "left", "node", "c", "bands", "elements"]
+    return tasks.select(*columns).mapInArrow(run, "a long, b long")
+
+
 def _classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     parts = connected_components(edges)
     return stage(nodes.join(parts, nodes.node == parts.v, "left").select("node", "n", F.coalesce("c", "node").alias("c")), "classes")
@@ -140,9 +203,9 @@ def near_texts(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
     null doc_id never names a class unless the class has no other. Other columns are ignored; an empty table gives an empty result.
 
     Equal texts are one node. Texts that share a band are candidates: first each with the smallest node of its bands,
-    then with the others; where a band still holds several classes, the texts outside its largest class are compared with
-    all the others. Pairs already connected need no check, so a large group costs one check per text, and
-    only links that connect something are missing, never a class. Every link is checked on the whole texts.
+    then with the others; where a band still holds several classes, its texts are compared block by block inside tasks, but
+    for pairs already connected. Only links that connect nothing new stay unchecked, so no class is missed.
+    Every link is checked on the whole texts, and pairs are never written out.
     """
 
     def sign(batch):
@@ -194,19 +257,19 @@ def near_texts(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
     if not second.isEmpty():
         edges = stage(edges.union(_verified(second, sets, threshold)), "links")
         classes = _classes(nodes, edges)
-    # What still meets in a band but not in a class.
+    # What still meets in a band but not in a class is compared inside tasks, which return only links that join classes.
     placed = members.join(classes.select("node", "c"), "node")
-    counts = placed.groupBy("band", "c").agg(F.count(F.lit(1)).alias("size"))
-    mixed = counts.groupBy("band").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("size", "c")).alias("top")).where("classes > 1")
-    mixed = stage(mixed.select("band", F.col("top.c").alias("top")), "mixed")
-    open_members = stage(placed.join(mixed, "band").select("band", "node", "n", "c", "top"), "open")
-    minor = open_members.where("c <> top").select("band", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("c").alias("xc"))
-    rest = minor.join(open_members.select("band", "node", "n", "c", "top"), "band").where("c <> xc AND (c = top OR node < x)")
-    rest = rest.where((F.col("n") >= F.col("xn") * threshold) & (F.col("xn") >= F.col("n") * threshold))
-    rest = rest.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-    rest = stage(rest.join(star, ["a", "b"], "left_anti"), "pairs")
-    if not rest.isEmpty():
-        edges = stage(edges.union(_verified(rest, sets, threshold)), "links")
+    counts = placed.groupBy("band", "c").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("elements"))
+    blocks = F.ceil(F.greatest(F.sum("size") / BLOCK_TEXTS, F.sum("elements") / BLOCK_ELEMENTS)).cast("int")
+    mixed = stage(counts.groupBy("band").agg(F.count(F.lit(1)).alias("classes"), blocks.alias("mb")).where("classes > 1").drop("classes"), "mixed")
+    if not mixed.isEmpty():
+        met = placed.join(mixed, "band").select("band", "node", "c", "mb", F.pmod(F.xxhash64("node"), F.col("mb")).cast("int").alias("own"))
+        left = met.select("band", "node", "c", F.col("own").alias("lb"), F.explode(F.sequence("own", F.col("mb") - 1)).alias("rb"), F.lit(True).alias("left"))
+        right = met.where("own > 0").select("band", "node", "c", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("lb"), F.col("own").alias("rb"), F.lit(False).alias("left"))
+        parts = stage(left.union(right), "open")
+        known = stage(sets.join(nodes.select("node", "bands"), "node"), "sets")
+        tasks = parts.join(known, "node").repartition("band", "lb", "rb").sortWithinPartitions("band", "lb", "rb")
+        edges = stage(edges.union(_joined_in_tasks(tasks, threshold)), "links")
         classes = _classes(nodes, edges)
     full = classes.select("node", "c").join(nodes.select("node", "h1", "h2", "least"), "node")
     least = full.groupBy("c").agg(F.min("least").alias("class_id"))
