@@ -63,8 +63,24 @@ def _shared(prefix: str, target: str) -> dict[str, str]:
     return {"featuresCol": f"{prefix}features", "labelCol": target, "predictionCol": f"{prefix}prediction"}
 
 
-def _classifier(name: str, prefix: str, target: str, params: Mapping[str, Any], seed: int, n_train: int):
+def _settings(name: str, params: Mapping[str, Any]) -> dict[str, Any]:
+    """Defaults with the caller's values; what no learner here would use is an error."""
+    unknown = sorted(set(params) - set(DEFAULTS[name]))
+    if unknown:
+        raise ValueError(f"unknown parameters of {name}: {unknown}")
     p = DEFAULTS[name] | dict(params)
+    if p.get("max_depth", 0) > 30:
+        raise ValueError("trees are at most 30 levels deep")
+    return p
+
+
+def _settled(report: DataFrame) -> DataFrame:
+    """A report (one row per model) computed now, while its input is still kept."""
+    return report.sparkSession.createDataFrame(report.collect(), report.schema)
+
+
+def _classifier(name: str, prefix: str, target: str, params: Mapping[str, Any], seed: int, n_train: int):
+    p = _settings(name, params)
     common = _shared(prefix, target) | {"weightCol": "weight"}
     if name == LOGREG:
         # the penalty is on the weighted mean loss here, not on its sum
@@ -75,7 +91,7 @@ def _classifier(name: str, prefix: str, target: str, params: Mapping[str, Any],
         learner = RandomForestClassifier(
             **common,
             numTrees=p["n_estimators"],
-            maxDepth=min(p["max_depth"], 30),
+            maxDepth=p["max_depth"],
             minInstancesPerNode=p["min_samples_leaf"],
             seed=seed,
         )
@@ -214,7 +230,7 @@ def fit_occurrence(
                 F.lit(float(threshold)).alias("occurrence_decision_threshold"),
                 (F.col("y_prob_calibrated") >= threshold).cast("int").alias("y_pred_calibrated_tuned"),
             )
-            report = metrics.evaluate_occurrence(metrics.with_model(predictions, model_name))
+            report = _settled(metrics.evaluate_occurrence(metrics.with_model(predictions, model_name)))
 
     def about(split: str, figure: str):
         row = diagnostics.get(split)
@@ -276,7 +292,7 @@ def fit_severity_cls(
     """Boosted one-against-rest classifier on severity-available rows."""
     features = feature_columns(panel)
     prefix = "cls_"
-    p = DEFAULTS[BOOSTED] | dict(params or {})
+    p = _settings(BOOSTED, params or {})
     with _kept(_severity_data(panel, target, features)) as data:
         prepared = Pipeline(stages=_preparation(BOOSTED, features, prefix)).fit(data.filter("split = 'train'"))
         one = GBTClassifier(**_shared(prefix, target), **_boosting(p), seed=seed)
@@ -285,8 +301,8 @@ def fit_severity_cls(
         model = PipelineModel([*prepared.stages, fitted])
         sizes = {r["split"]: r["count"] for r in data.groupBy("split").count().collect()}
         counts = class_distribution(data, target, by=["split"])
-    predictions = _predicted(model, data, prefix, target, "int")
-    report = metrics.severity_cls_summary(metrics.with_model(predictions, "boosted_severity_cls"))
+        predictions = _predicted(model, data, prefix, target, "int")
+        report = _settled(metrics.severity_cls_summary(metrics.with_model(predictions, "boosted_severity_cls")))
     report = _with_sizes(report, sizes, len(features))
     return Fit("severity_cls", model, features, prefix, predictions=predictions, report=report, class_counts=counts)
 
@@ -297,13 +313,13 @@ def fit_severity_reg(
     """Boosted regression on severity-available rows, stopped early on the validation split."""
     features = feature_columns(panel)
     prefix = "reg_"
-    p = DEFAULTS[BOOSTED] | dict(params or {})
+    p = _settings(BOOSTED, params or {})
     with _kept(_severity_data(panel, target, features)) as data:
         prepared = Pipeline(stages=_preparation(BOOSTED, features, prefix)).fit(data.filter("split = 'train'"))
         learner = GBTRegressor(**_shared(prefix, target), **_boosting(p), seed=seed, validationIndicatorCol="is_val")
         fitted = learner.fit(prepared.transform(data.filter("split in ('train', 'val')")))
         model = PipelineModel([*prepared.stages, fitted])
         sizes = {r["split"]: r["count"] for r in data.groupBy("split").count().collect()}
-    predictions = _predicted(model, data, prefix, target, "double")
-    report = metrics.evaluate_severity_reg(metrics.with_model(predictions, "boosted_severity_reg"))
+        predictions = _predicted(model, data, prefix, target, "double")
+        report = _settled(metrics.evaluate_severity_reg(metrics.with_model(predictions, "boosted_severity_reg")))
     return Fit("severity_reg", model, features, prefix, predictions=predictions, report=_with_sizes(report, sizes, len(features)))

@@ -84,17 +84,17 @@ def capped_sample(df: DataFrame, n: int = SAMPLE_ROWS, *, seed: int = 42, keys:
     return df.withColumn("_digest", digest).orderBy("_digest").limit(n).drop("_digest")
 
 
-def linear_attribution(df: DataFrame, fit: Fit, *, n: int = SAMPLE_ROWS, seed: int = 42) -> DataFrame:
-    """Mean absolute share of each feature in a linear model's score on a sample:
+def linear_attribution(df: DataFrame, fit: Fit, *, n: int | None = None, seed: int = 42) -> DataFrame:
+    """Mean absolute share of each feature in a linear model's score on all rows (or ``n`` of them):
     ``|coefficient x (value - mean)|`` in the space the model sees."""
     last = fit.model.stages[-1]
     if not hasattr(last, "coefficients"):
         raise TypeError(f"no linear attribution for {type(last).__name__}")
     _check_features(df, fit)
-    prepared = PipelineModel(fit.model.stages[:-1]).transform(capped_sample(df, n, seed=seed))
+    prepared = PipelineModel(fit.model.stages[:-1]).transform(df if n is None else capped_sample(df, n, seed=seed))
     x = vector_to_array(F.col(f"{fit.prefix}features"))
     rows = prepared.select(x.alias("x"))
-    # two aggregates over at most n rows
+    # two aggregates over the rows
     coefficients = [float(c) for c in last.coefficients.toArray()]
     sample = rows.select(*[F.col("x")[i].alias(f"x{i}") for i in range(len(coefficients))])
     means = sample.agg(*[F.avg(c).alias(c) for c in sample.columns]).first()

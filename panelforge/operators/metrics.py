@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bins import uniform_bin
 from ..functions.labels import clip
+from ..functions.missing import nan_to_null
 from .keys import KEYS
 from .ordered import running_sums, top_k
 from .splits import has_prefix
@@ -45,7 +46,7 @@ def unpivot_scores(df: DataFrame) -> DataFrame:
     )
     keys = [k for k in KEYS if k in df.columns]
     long = df.select("model", *keys, F.col("y_true").cast("int").alias("y_true"), F.inline(pairs))
-    return long.filter(F.col("y_score").isNotNull())
+    return long.withColumn("y_score", nan_to_null(F.col("y_score"))).filter(F.col("y_score").isNotNull())
 
 
 def score_ladder(long: DataFrame, *, lead: bool = False, slices: int | None = None) -> DataFrame:
@@ -300,15 +301,20 @@ def evaluate_severity_cls(df: DataFrame) -> DataFrame:
 
 
 def severity_cls_summary(df: DataFrame, classes: Sequence[int] = (0, 1, 2)) -> DataFrame:
-    """One row per model: macro F1, rows, and the per-class figures of ``classes``."""
+    """One row per model: macro F1, rows, and the per-class figures of ``classes``.
+
+    A class outside the list is an error, as the wide form has no columns for it.
+    """
     per_class = evaluate_severity_cls(df)
+    unlisted = F.raise_error(F.concat(F.lit("class outside the list of classes: "), F.col("class").cast("string")))
+    listed = F.when(F.col("class").isin(*classes), F.col("f1")).otherwise(unlisted.cast("double"))
     wide = [
         F.max(F.when(F.col("class") == c, F.col(m))).alias(f"class_{c}_{m}")
         for c in classes
         for m in ("precision", "recall", "support")
     ]
     return per_class.groupBy("model").agg(
-        F.lit("severity_cls").alias("task"), F.avg("f1").alias("sev_macro_f1"), F.sum("support").alias("n_samples"), *wide
+        F.lit("severity_cls").alias("task"), F.avg(listed).alias("sev_macro_f1"), F.sum("support").alias("n_samples"), *wide
     )
 
 

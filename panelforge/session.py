@@ -4,6 +4,7 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+_made: dict[str, str] = {}  # folders by application
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -34,12 +35,15 @@ def local_session(cpus: int | str = 8, *, shuffle_partitions: int = 8, memory: s
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, for written intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset, as
-    in tests, a temporary folder is made.
+    A cluster names it in ``spark.checkpoint.dir``; only in local mode, as in tests, may it
+    be unset: then one temporary folder is made per application.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    made = tempfile.mkdtemp(prefix="panelforge-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _made:
+        _made[app] = tempfile.mkdtemp(prefix="panelforge-")
+    return _made[app]

@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 from ..functions.missing import finite_or_null, nulls_for_nans
 from ..operators.checks import ensure_required_columns, enforce_no_leakage, enforce_unique
 from ..operators.keys import PATCH_COLUMNS
-from ..session import shared_folder
 
 
 def read_panel(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -38,15 +37,18 @@ def validate_and_write(
     *,
     unique: bool = True,
     leakage: bool = True,
+    required: bool = True,
+    mode: str = "overwrite",
 ) -> None:
     """Check the contract, then write; a broken panel leaves ``path`` as it was.
 
-    The panel is computed once, into a table in the shared folder. The checks read only
-    their few columns of it, and losing executors on the way never means building it again.
+    The panel is computed once, into a table beside the target, on the same file system. The checks
+    read only their few columns of it, and losing executors on the way never means building it again.
     """
-    ensure_required_columns(df)
+    if required:
+        ensure_required_columns(df)
     spark = df.sparkSession
-    stage = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    stage = f"{path.rstrip('/')}.stage-{uuid.uuid4().hex}"
     df.write.parquet(stage)
     try:
         staged = spark.read.parquet(stage)
@@ -54,7 +56,7 @@ def validate_and_write(
             enforce_unique(staged)
         if leakage:
             enforce_no_leakage(staged)
-        write_panel(staged, path, partition_cols)
+        write_panel(staged, path, partition_cols, mode)
     finally:
         where = spark._jvm.org.apache.hadoop.fs.Path(stage)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
@@ -78,7 +80,8 @@ def read_predictions(spark: SparkSession, folder: str, experiment: str | None =
     df = spark.read.option("mergeSchema", True).parquet(f"{folder}/{stem}_predictions.parquet")
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)_predictions\.parquet", 1)
     if experiment:
-        name = F.regexp_replace(name, f"^{experiment}_", "")
+        prefix = f"{experiment}_"
+        name = F.when(name.startswith(prefix), F.substring(name, len(prefix) + 1, 1 << 30)).otherwise(name)
     return nulls_for_nans(df.withColumn("model", name))
 
 

@@ -2,11 +2,12 @@
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators.keys import KEYS
-from ..sources.panel_io import write_panel
+from ..sources.panel_io import validate_and_write
 
 
 def pending_keys(spine: DataFrame, existing: DataFrame | None, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -16,14 +17,60 @@ def pending_keys(spine: DataFrame, existing: DataFrame | None, keys: Sequence[st
     return spine.join(existing.select(*keys), list(keys), "left_anti")
 
 
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored table; None where there is no folder or no Parquet file in it. Other errors pass through."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(where):
+        return None
+    found = files.listFiles(where, True)
+    while found.hasNext():
+        if found.next().getPath().getName().endswith(".parquet"):
+            return spark.read.parquet(path)
+    return None
+
+
+def extend_rolling(
+    stored: DataFrame | None, fresh: DataFrame, roll: Callable[[DataFrame], DataFrame], history: int
+) -> DataFrame:
+    """``roll`` over fresh rows with what came before them: the last ``history`` stored rows of their patches
+    go in front and leave again, so a resumed panel equals one built at once.
+
+    ``history`` is the longest window less one. A fresh row before a stored one of its patch would change
+    that one's features: such a table must be built anew, and this raises an error when it is computed.
+    """
+    if stored is None:
+        return roll(fresh)
+    latest = stored.join(fresh.select("patch_id").distinct(), "patch_id", "left_semi")
+    newest_first = Window.partitionBy("patch_id").orderBy(F.col("reference_date").desc())
+    before = latest.withColumn("_back", F.row_number().over(newest_first)).filter(F.col("_back") <= history)
+    last = latest.groupBy("patch_id").agg(F.max("reference_date").alias("_last"))
+    late = F.when(F.col("_last") >= F.col("reference_date"), F.raise_error(F.lit("a pending date lies before stored rows of its patch")).cast("boolean"))
+    checked = fresh.join(last, "patch_id", "left").withColumn("_fresh", F.coalesce(late, F.lit(True))).drop("_last")
+    both = checked.unionByName(before.select(*fresh.columns).withColumn("_fresh", F.lit(False)))
+    return roll(both).filter("_fresh").drop("_fresh")
+
+
 def append_pending(
-    spine: DataFrame, build: Callable[[DataFrame], DataFrame], path: str, partition_cols: Sequence[str] = ("reference_year",)
+    spine: DataFrame,
+    build: Callable[[DataFrame], DataFrame],
+    path: str,
+    partition_cols: Sequence[str] = ("reference_year",),
+    *,
+    roll: Callable[[DataFrame], DataFrame] | None = None,
+    history: int = 0,
 ) -> None:
     """Build the missing rows and append them; running it again after a failure goes on
-    from what was committed. An empty or absent folder means all rows are missing."""
-    spark = spine.sparkSession
-    try:
-        existing = spark.read.parquet(path)
-    except AnalysisException:
-        existing = None
-    write_panel(build(pending_keys(spine, existing)), path, partition_cols, mode="append")
+    from what was committed. An empty or absent folder means all rows are missing.
+
+    ``build`` makes rows from their keys alone; features over a patch's earlier rows belong in ``roll``
+    (see ``extend_rolling``). Appended rows pass the checks that a written panel passes: unique keys,
+    and no leakage where the column for it is there.
+    """
+    existing = _stored(spine.sparkSession, path)
+    rows = build(pending_keys(spine, existing))
+    if roll is not None:
+        rows = extend_rolling(existing, rows, roll, history)
+    validate_and_write(
+        rows, path, partition_cols, required=False, leakage="feature_max_timestamp" in rows.columns, mode="append"
+    )
