@@ -106,23 +106,16 @@ def write_metrics(df: DataFrame, path: str, *, format: str = "json", mode: str =
 
 
 def append_report(row: DataFrame, path: str) -> None:
-    """Add report rows as a new part of a CSV report; earlier parts stay untouched."""
-    row.coalesce(1).write.mode("error").option("header", True).csv(f"{path}/part={uuid.uuid4().hex}")
+    """Add report rows as a new part of a JSON report; earlier parts stay untouched."""
+    row.coalesce(1).write.mode("error").option("ignoreNullFields", False).json(f"{path}/part={uuid.uuid4().hex}")
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
-    """All parts of a report; columns a part lacks are NULL."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    where = hadoop.Path(f"{path}/part=*")
-    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
-    parts = sorted(s.getPath().toString() for s in found)
-    out = None
-    for part in parts:
-        one = spark.read.option("header", True).option("inferSchema", True).csv(part)
-        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
-    if out is None:
+    """All parts of a report, types inferred over all at once; columns a part lacks are NULL."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/part=*")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where):
         raise FileNotFoundError(path)
-    return out
+    return spark.read.json(f"{path}/part=*")
 
 
 def write_map_table(df: DataFrame, path: str) -> None:

@@ -81,6 +81,8 @@ def test_report_append_unions_columns(spark, tmp_path):
     io.append_report(spark.createDataFrame([("y", 2.5)], "run string, auc double"), path)
     got = {r["run"]: (r["f1"], r["auc"]) for r in io.read_report(spark, path).collect()}
     assert got == {"x": (1, None), "y": (None, 2.5)}
+    io.append_report(spark.createDataFrame([("z", None)], "run string, auc double"), path)
+    assert dict(io.read_report(spark, path).dtypes) == {"run": "string", "f1": "bigint", "auc": "double"}
     with pytest.raises(FileNotFoundError):
         io.read_report(spark, str(tmp_path / "none"))
 
