@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .dart_dedup import near_texts
 from .html_text import extract_main_text
@@ -95,7 +96,8 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op6_pack")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
-    return pack(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER), window=2048, end_id=1)
+    pieces = pack(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER), window=2048, end_id=1)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 @query("op9_dart_dedup")

@@ -10,7 +10,6 @@ the rests of that length), which places every row without looking at any other.
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -138,7 +137,8 @@ def make_plan(histogram: np.ndarray, window: int = WINDOW, max_gap: int = MAX_GA
 
 
 def pack(docs: DataFrame, tokenizer_file: str, *, window: int = WINDOW, end_id: int = 1) -> DataFrame:
-    """One row per piece: ``doc_id``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``.
+    """One row per piece: ``doc_id``, ``start``, ``length``, ``ids`` (little-endian unsigned
+    32-bit), ``doc_tokens``, ``sequence_id``, ``offset``.
 
     Every row of ``docs`` is a document of its own, repeated and null doc_ids too; a null text is empty and
     has the end id alone. Sequences have at most ``window`` tokens, pieces in one lie gapless from 0. All but
@@ -192,20 +192,22 @@ def pack(docs: DataFrame, tokenizer_file: str, *, window: int = WINDOW, end_id:
         sequence, offset = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
         if len(some):
             sequence[some], offset[some] = p.place(rest[some], rank[some])
-        out: list[tuple] = []
-        ids = column(batch, "ids")
-        for i in range(len(n)):
-            data = np.frombuffer(ids[i].as_buffer(), "<u2" if width[i] == 2 else "<u4").astype("<u4")
-            pieces = [(k * p.window, p.window, p.full_at + int(fulls[i]) + k, 0) for k in range(int(full[i]))]
-            if rest[i]:
-                at, size, here = int(full[i]) * p.window, int(rest[i]), p.window - int(offset[i])
-                pieces.append((at, min(size, here), int(sequence[i]), int(offset[i])))
-                if size > here:
-                    pieces.append((at + here, size - here, int(sequence[i]) + 1, 0))
-            out += [(i, s, m, zlib.crc32(data[s : s + m].tobytes()), q, o) for s, m, q, o in pieces]
-        a = np.array(out, np.int64).reshape(-1, 6)
-        made = [doc.take(pa.array(a[:, 0])), *(pa.array(a[:, k]) for k in (1, 2, 3)), pa.array(n[a[:, 0]]), pa.array(a[:, 4]), pa.array(a[:, 5])]
-        yield pa.RecordBatch.from_arrays(made, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
-    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+        here = np.minimum(rest, p.window - offset)  # of a rest in its first sequence
+        count = full + (rest > 0) + (rest > here)
+        row = np.repeat(np.arange(len(n)), count)
+        k = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        late = k - full[row]  # below 0: a full window; 0: the rest; 1: what goes on in the next sequence
+        start = np.where(late > 0, full[row] * p.window + here[row], k * p.window)
+        length = np.where(late < 0, p.window, np.where(late > 0, (rest - here)[row], here[row]))
+        at = np.where(late < 0, p.full_at + fulls[row] + k, sequence[row] + late)
+        where = np.where(late == 0, offset[row], 0)
+        data = column(batch, "ids").cast(pa.large_binary())
+        bounds = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(n) + 1]
+        ids = np.frombuffer(data.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view("<u2" if width[0] == 2 else "<u4").astype("<u4")
+        cuts = np.concatenate([[0], np.cumsum(length)]) * 4  # pieces follow one another as the ids do
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(cuts.astype(np.int64).tobytes()), pa.py_buffer(ids.tobytes())])
+        made = [doc.take(pa.array(row)), pa.array(start), pa.array(length), pieces.cast(pa.binary()), pa.array(n[row]), pa.array(at), pa.array(where)]
+        yield pa.RecordBatch.from_arrays(made, names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+
+    schema = f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     return map_batches(tokens.join(placed, "row").select("doc_id", "n", "width", "ids", "rank", "fulls"), cut, schema)
