@@ -54,6 +54,22 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Interim:
+    """Staged tables of one computation, deleted together once its result is a written table."""
+
+    def __init__(self):
+        self.made: list[DataFrame] = []
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        self.made.append(stage(df, name))
+        return self.made[-1]
+
+    def discard(self) -> None:
+        for df in self.made:
+            discard(df)
+        self.made = []
+
+
 def prepare(spark: SparkSession) -> None:
     """Send this package to the workers once per application, and keep Arrow batches of long texts small."""
     app = spark.sparkContext.applicationId

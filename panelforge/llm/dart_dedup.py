@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, connected_components, map_batches, mix64, prepare, stage
+from .common import Interim, column, connected_components, discard, map_batches, mix64, prepare, stage
 from .text_arrays import WINDOW, Texts, repeated, slices
 
 ROWS_PER_BAND, BANDS = 5, 26  # a pair of similarity 0.8 shares no band with chance 3e-5
@@ -189,9 +189,11 @@ def _joined_in_tasks(tasks: DataFrame, threshold: float) -> DataFrame:
     return tasks.select(*columns).mapInArrow(run, "a long, b long")
 
 
-def _classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _classes(nodes: DataFrame, edges: DataFrame, interim: Interim) -> DataFrame:
     parts = connected_components(edges)
-    return stage(nodes.join(parts, nodes.node == parts.v, "left").select("node", "n", F.coalesce("c", "node").alias("c")), "classes")
+    classes = interim.stage(nodes.join(parts, nodes.node == parts.v, "left").select("node", "n", F.coalesce("c", "node").alias("c")), "classes")
+    discard(parts)
+    return classes
 
 
 def near_texts(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
@@ -217,20 +219,20 @@ def near_texts(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
             own = [column(batch, c).slice(lo, hi - lo) for c in ("doc_id", "h1", "h2")]
             yield pa.RecordBatch.from_arrays([*own, pa.array(total.astype(np.int64)), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "h1", "h2", "n", "bands"])
 
-    kind = dict(docs.dtypes)["doc_id"]
+    kind, interim = dict(docs.dtypes)["doc_id"], Interim()
     text = F.coalesce("text", F.lit(""))
     source = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(9), text).alias("h2"))
-    signed = stage(map_batches(source, sign, f"doc_id {kind}, h1 long, h2 long, n long, bands array<long>"), "signatures")
+    signed = interim.stage(map_batches(source, sign, f"doc_id {kind}, h1 long, h2 long, n long, bands array<long>"), "signatures")
     grouped = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
-    nodes = stage(grouped.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = interim.stage(grouped.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     banded = nodes.select("node", "n", F.explode("bands").alias("band"))
-    shared = stage(banded.groupBy("band").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1"), "bands")
-    members = stage(banded.join(shared, "band").select("band", "node", "n", "pivot"), "members")
+    shared = interim.stage(banded.groupBy("band").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1"), "bands")
+    members = interim.stage(banded.join(shared, "band").select("band", "node", "n", "pivot"), "members")
     sizes = nodes.select(F.col("node").alias("pivot"), F.col("n").alias("pn"))
     every = members.where("node <> pivot").select("node", "n", "pivot").distinct().join(sizes, "pivot")
     fits = (F.col("n") >= F.col("pn") * threshold) & (F.col("pn") >= F.col("n") * threshold)  # else the sizes alone keep them apart
-    star = stage(every.where(fits).select(F.col("pivot").alias("a"), F.col("node").alias("b")), "pairs")
+    star = interim.stage(every.where(fits).select(F.col("pivot").alias("a"), F.col("node").alias("b")), "pairs")
 
     wanted = members.select("node").distinct()
     chosen = nodes.join(wanted, "node").select("node", "least", F.col("h1").alias("k1"), F.col("h2").alias("k2"))
@@ -245,37 +247,38 @@ def near_texts(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
             yield pa.RecordBatch.from_arrays([column(batch, "node").slice(lo, hi - lo), pa.array(rows, pa.binary())], names=["node", "elements"])
 
     found = source.join(chosen, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("node", "text")
-    sets = stage(map_batches(found, collect, "node long, elements binary").dropDuplicates(["node"]), "sets")
+    sets = interim.stage(map_batches(found, collect, "node long, elements binary").dropDuplicates(["node"]), "sets")
 
     first = star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    edges = stage(_verified(first, sets, threshold), "links")
-    classes = _classes(nodes, edges)
+    edges = interim.stage(_verified(first, sets, threshold), "links")
+    classes = _classes(nodes, edges, interim)
     ca = classes.select(F.col("node").alias("a"), F.col("c").alias("ca"))
     cb = classes.select(F.col("node").alias("b"), F.col("c").alias("cb"))
     second = star.join(first.select("b", F.col("a").alias("tried")), "b").where("a <> tried").select("a", "b")
-    second = stage(second.join(ca, "a").join(cb, "b").where("ca <> cb").select("a", "b"), "pairs")
+    second = interim.stage(second.join(ca, "a").join(cb, "b").where("ca <> cb").select("a", "b"), "pairs")
     if not second.isEmpty():
-        edges = stage(edges.union(_verified(second, sets, threshold)), "links")
-        classes = _classes(nodes, edges)
+        edges = interim.stage(edges.union(_verified(second, sets, threshold)), "links")
+        classes = _classes(nodes, edges, interim)
     # What still meets in a band but not in a class is compared inside tasks, which return only links that join classes.
     placed = members.join(classes.select("node", "c"), "node")
     counts = placed.groupBy("band", "c").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("elements"))
     blocks = F.ceil(F.greatest(F.sum("size") / BLOCK_TEXTS, F.sum("elements") / BLOCK_ELEMENTS)).cast("int")
-    mixed = stage(counts.groupBy("band").agg(F.count(F.lit(1)).alias("classes"), blocks.alias("mb")).where("classes > 1").drop("classes"), "mixed")
+    mixed = interim.stage(counts.groupBy("band").agg(F.count(F.lit(1)).alias("classes"), blocks.alias("mb")).where("classes > 1").drop("classes"), "mixed")
     if not mixed.isEmpty():
         met = placed.join(mixed, "band").select("band", "node", "c", "mb", F.pmod(F.xxhash64("node"), F.col("mb")).cast("int").alias("own"))
         left = met.select("band", "node", "c", F.col("own").alias("lb"), F.explode(F.sequence("own", F.col("mb") - 1)).alias("rb"), F.lit(True).alias("left"))
         right = met.where("own > 0").select("band", "node", "c", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("lb"), F.col("own").alias("rb"), F.lit(False).alias("left"))
-        parts = stage(left.union(right), "open")
-        known = stage(sets.join(nodes.select("node", "bands"), "node"), "sets")
+        parts = interim.stage(left.union(right), "open")
+        known = interim.stage(sets.join(nodes.select("node", "bands"), "node"), "sets")
         tasks = parts.join(known, "node").repartition("band", "lb", "rb").sortWithinPartitions("band", "lb", "rb")
-        edges = stage(edges.union(_joined_in_tasks(tasks, threshold)), "links")
-        classes = _classes(nodes, edges)
+        edges = interim.stage(edges.union(_joined_in_tasks(tasks, threshold)), "links")
+        classes = _classes(nodes, edges, interim)
     full = classes.select("node", "c").join(nodes.select("node", "h1", "h2", "least"), "node")
     least = full.groupBy("c").agg(F.min("least").alias("class_id"))
-    named = stage(full.join(least, "c").select("h1", "h2", "class_id"), "named")
+    named = interim.stage(full.join(least, "c").select("h1", "h2", "class_id"), "named")
     rows = signed.groupBy("doc_id", "h1", "h2").agg(F.count(F.lit(1)).alias("copies")).join(named, ["h1", "h2"])
     one = stage(rows.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "copies", "h1", "h2"), "result")
+    interim.discard()
     return one.withColumn("__each", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("__each")
 
 

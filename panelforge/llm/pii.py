@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import discard, stage
 
 # Kinds in the order of the span list: the four base ones, then what the method adds.
 BASE = ("email", "ip", "card", "phone")
@@ -197,7 +197,9 @@ def mask_pii(docs: DataFrame) -> DataFrame:
     """
     names = "array(" + ", ".join(f"'<{k.upper()}>'" for k in KINDS) + ")"
     proposed = candidates(docs).withColumn("__votes", voted()).drop("__spans")
-    weights = fit(stage(candidates(docs.select("text")).select(voted().alias("votes")), "votes"))
+    votes = stage(candidates(docs.select("text")).select(voted().alias("votes")), "votes")
+    weights = fit(votes)
+    discard(votes)
     found = proposed.withColumn("__found", decided(weights, "__votes")).drop("__votes")
     masked = F.expr(
         f"""IF(size(__found) = 0, text, aggregate(__found, named_struct('p', 0, 'o', ''),
