@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.indices import normalized_difference
+from ..functions.missing import nulls_for_nans
 from .keys import KEYS
 from .ordered import exact_quantiles
 from .windows import day_number, image_counts, pixel_spans, span_join, span_rollup
@@ -59,9 +60,10 @@ def median_over_spans(
     ``hot_rows`` observations in a stretch as long as the widest span (found by one narrow
     count; None skips it where the sensor's revisit time bounds them) take the rank path
     instead, which spreads a single pixel over many tasks; the others keep the frames.
+    NaN counts as missing on both paths.
     """
     places = anchors.select("patch_id", anchor)
-    narrow = observations.select("patch_id", "pixel_id", "obs_date", *bands)
+    narrow = nulls_for_nans(observations.select("patch_id", "pixel_id", "obs_date", *bands))
     hot = None
     if hot_rows:
         width = max(last - first + 1 for first, last in spans.values())

@@ -185,3 +185,15 @@ def test_future_rows_do_not_change_past_features(spark):
         return rows(panel.select("reference_date", *keep), "reference_date")
 
     assert features(data) == features(data + late)
+
+
+def test_median_of_crowded_and_sparse_pixels_ignores_nan(spark):
+    from panelforge.operators.composites import median_over_spans
+
+    spine = spark.sql("SELECT 'p' AS patch_id, DATE'2020-01-10' AS reference_date")
+    values = [1.0, 2.0, 3.0, float("nan")]
+    seen = spark.createDataFrame([("p", 1, n, v) for n, v in enumerate(values)], "patch_id string, pixel_id int, n int, b4 double")
+    seen = seen.selectExpr("patch_id", "pixel_id", "date_add(DATE'2020-01-05', n) AS obs_date", "b4")
+    for hot_rows in (None, 2):
+        (row,) = median_over_spans(spine, seen, ["b4"], {"past": (-10, 0)}, hot_rows=hot_rows).collect()
+        assert row["past_b4"] == 2.0
