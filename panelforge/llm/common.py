@@ -125,31 +125,51 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest reachable id per vertex of an edge table (``a``, ``b``): columns ``v``, ``c``.
 
-    Each round takes the smallest label among neighbours and then follows labels of
-    labels, so chains halve. Every state is a written table: no round recomputes the
-    one before, joins read written tables and so can be split where a label is hot.
+    Each round hooks every vertex to its smallest neighbour if that is smaller than itself, follows
+    hooks of hooks until they end at a root, and draws the edges anew between roots. A root that
+    nothing hooked to has a smaller neighbour in the next round, so two rounds at least halve the
+    vertices that still have edges, whatever the diameter; a chain of hooks halves with each step.
+    Both loops run until nothing is left to do. Every state is a written table: no round recomputes
+    the one before, joins read written tables and so can be split where a label is hot.
     Vertices without edges are not in the result. Empty edges give an empty table.
     """
-    both = stage(
-        edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), "edges"
-    )
-    state = stage(both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("c")), "labels")
-    for _ in range(max_rounds):
-        far = both.join(state, both.b == state.v).groupBy(F.col("a").alias("u")).agg(F.min("c").alias("m"))
-        near = stage(
-            state.join(far, state.v == far.u).select("v", F.least("c", "m").alias("c"), F.col("c").alias("was")),
-            "labels",
-        )
-        top = near.select(F.col("v").alias("w"), F.col("c").alias("top"))
-        joined = near.join(top, near.c == top.w, "left")
-        after = stage(joined.select("v", F.least("c", F.coalesce("top", "c")).alias("c"), "was"), "labels")
-        discard(state)
-        discard(near)
-        state = after.select("v", "c")
-        if after.where("c <> was").isEmpty():
-            break
-    discard(both)
-    return state
+    ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    left = stage(edges.where("a <> b").select(*ordered("a", "b")).distinct(), "edges")
+    hooks: list[DataFrame] = []  # of each round; a vertex that hooked has no edges in later rounds
+    while not left.isEmpty():
+        hooks.append(_rooted(stage(left.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("c")), "labels")))
+        ra = hooks[-1].select(F.col("v").alias("a"), F.col("c").alias("ra"))
+        rb = hooks[-1].select(F.col("v").alias("b"), F.col("c").alias("rb"))
+        ends = left.join(ra, "a", "left").join(rb, "b").select(F.coalesce("ra", "a").alias("a"), F.col("rb").alias("b"))
+        after = stage(ends.where("a <> b").select(*ordered("a", "b")).distinct(), "edges")
+        discard(left)
+        left = after
+    if not hooks:
+        return left.select(F.col("b").alias("v"), F.col("a").alias("c"))
+    discard(left)
+    labels = hooks.pop()
+    while hooks:  # back from the last round: a root of one round may have hooked in a later one
+        earlier, top = hooks.pop(), labels.select(F.col("v").alias("w"), F.col("c").alias("top"))
+        moved = earlier.join(top, earlier.c == top.w, "left").select("v", F.coalesce("top", "c").alias("c"))
+        after = stage(moved.union(labels), "labels")
+        discard(earlier)
+        discard(labels)
+        labels = after
+    whole = stage(labels.union(labels.select(F.col("c").alias("v"), "c").distinct()), "labels")
+    discard(labels)
+    return whole
+
+
+def _rooted(hooks: DataFrame) -> DataFrame:
+    """Each vertex (``v``) with the end of its chain of hooks (``c``, smaller than ``v``)."""
+    while True:
+        top = hooks.select(F.col("v").alias("w"), F.col("c").alias("top"))
+        joined = hooks.join(top, hooks.c == top.w, "left")
+        after = stage(joined.select("v", F.coalesce("top", "c").alias("c"), F.col("top").isNotNull().alias("moved")), "labels")
+        discard(hooks)
+        hooks = after.select("v", "c")
+        if after.where("moved").isEmpty():
+            return hooks

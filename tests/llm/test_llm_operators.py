@@ -362,6 +362,15 @@ def test_connected_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_long_chains(spark):
+    """Diameters far beyond any number of rounds: shuffled ids, and ids that rise from both ends to the middle."""
+    shuffled = np.random.default_rng(5).permutation(1000)
+    rising = [10_000 + (2 * k if k < 200 else 2 * (399 - k) + 1) for k in range(400)]
+    edges = [(int(x[k]), int(x[k + 1])) for x in (shuffled, rising) for k in range(len(x) - 1)]
+    out = {r["v"]: r["c"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert out == {int(v): 0 for v in shuffled} | {v: 10_000 for v in rising}
+
+
 def test_quality_rules(docs, labels, none):
     out = quality_rules.quality_rules(docs, labels).collect()
     texts = Counter()
