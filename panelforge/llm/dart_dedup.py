@@ -197,12 +197,13 @@ def _classes(nodes: DataFrame, edges: DataFrame, interim: Interim) -> DataFrame:
 
 
 def near_texts(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
-    """``doc_id``, ``class_id``, ``kept``, ``copies`` and the text's keys ``h1``, ``h2``, for each row of ``docs``.
+    """``doc_id``, ``class_id``, ``kept``, ``copies``, the text's keys ``h1``, ``h2`` and its ``component``, for each row of ``docs``.
 
     A class holds texts that a chain of pairs of weighted Jaccard similarity >= ``threshold`` connects; equal texts
     (null counts as empty) are always of one class. ``class_id`` is its smallest doc_id and ``kept`` marks the rows of that
     id; ``copies`` counts the rows of equal doc_id and text. Texts without words are only equal to each other. A
-    null doc_id never names a class unless the class has no other. Other columns are ignored; an empty table gives an empty result.
+    null doc_id never names a class unless the class has no other. A ``class_id`` that is null or stands on several texts may name
+    several classes; ``component`` tells them apart, but differs from run to run. Other columns are ignored; an empty table gives an empty result.
 
     Equal texts are one node. Texts that share a band are candidates: first each with the smallest node of its bands,
     then with the others; where a band still holds several classes, its texts are compared block by block inside tasks, but
@@ -275,9 +276,9 @@ def near_texts(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
         classes = _classes(nodes, edges, interim)
     full = classes.select("node", "c").join(nodes.select("node", "h1", "h2", "least"), "node")
     least = full.groupBy("c").agg(F.min("least").alias("class_id"))
-    named = interim.stage(full.join(least, "c").select("h1", "h2", "class_id"), "named")
+    named = interim.stage(full.join(least, "c").select("h1", "h2", "class_id", F.col("c").alias("component")), "named")
     rows = signed.groupBy("doc_id", "h1", "h2").agg(F.count(F.lit(1)).alias("copies")).join(named, ["h1", "h2"])
-    one = stage(rows.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "copies", "h1", "h2"), "result")
+    one = stage(rows.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "copies", "h1", "h2", "component"), "result")
     interim.discard()
     return one.withColumn("__each", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("__each")
 
@@ -285,11 +286,10 @@ def near_texts(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
 def keep_one(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
     """One document of each class, with the columns of ``docs``; see ``near_texts``."""
     classes = near_texts(docs, threshold=threshold)
-    chosen = classes.where("kept").select(F.col("doc_id").alias("__id"), F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), "copies").distinct()
-    # The smallest id may stand on several texts of the class; one of them stays.
-    first = classes.where("kept").groupBy("class_id").agg(F.min(F.struct("h1", "h2")).alias("key"))
-    chosen = chosen.join(first, F.col("__id").eqNullSafe(F.col("class_id")) & (F.col("key.h1") == F.col("__h1")) & (F.col("key.h2") == F.col("__h2")))
-    chosen = stage(chosen.select("__id", "__h1", "__h2", F.col("copies").alias("__copies")), "kept")
+    # Within a class the kept rows have one doc_id, which may stand on several of its texts; one of them stays.
+    first = F.min(F.struct("h1", "h2", F.col("doc_id").alias("id"), "copies")).alias("one")
+    chosen = classes.where("kept").groupBy("component").agg(first)
+    chosen = stage(chosen.select(F.col("one.id").alias("__id"), F.col("one.h1").alias("__h1"), F.col("one.h2").alias("__h2"), F.col("one.copies").alias("__copies")), "kept")
     text = F.coalesce("text", F.lit(""))
     joined = docs.join(
         chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__h1")) & (F.xxhash64(F.lit(9), text) == F.col("__h2"))

@@ -330,6 +330,17 @@ def test_near_texts(docs, none):
     assert kept.columns == docs.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter(ids.values())
 
 
+def test_one_text_of_each_class_stays_when_ids_do_not_tell_classes_apart(spark):
+    """Null ids on unlike texts, and one id on two of them: no class vanishes; near and equal texts still give one."""
+    unlike = [" ".join(f"{c}{k}" for k in range(60)) for c in "abcdefg"]
+    rows = [(None, unlike[0]), (None, unlike[0]), (None, unlike[0] + " tail"), (None, unlike[1]), (None, unlike[2])]
+    rows += [(1, unlike[3]), (1, unlike[4]), (2, unlike[4] + " tail"), (3, unlike[5]), (3, unlike[5] + " tail"), (4, unlike[6]), (None, unlike[6])]
+    kept = Counter((r["doc_id"], r["text"].removesuffix(" tail")) for r in dart_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == Counter([*((None, t) for t in unlike[:3]), (1, unlike[3]), (1, unlike[4]), (3, unlike[5]), (4, unlike[6])])
+    out = dart_dedup.near_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({r["component"] for r in out}) == len(unlike)
+
+
 def test_near_texts_in_crowded_bands(spark):
     """Many near copies whose first text isn't near to all, and a chain: every class is found."""
     words = [f"x{k}" for k in range(100)]
