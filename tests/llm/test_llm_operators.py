@@ -162,6 +162,22 @@ def test_secrets(spark, docs, none):
     assert secrets.find_secrets(none).count() == 0
 
 
+def test_secrets_of_any_letters_are_judged(spark, monkeypatch):
+    """Short, single-case and numeric runs, keys behind a long path and what a base rule leaves of a run reach the network."""
+    texts = ["pw hunter2hunt", "1234567890 and abcdefgh", "a/" + "path/" * 20 + "zq9XkT", "token=abcdef123 rest", "é 0123456789abcdef01234567/tailpart"]
+    base = [[], [], [], [(0, 0, 15)], [(2, 2, 26)]]
+    points = np.array([ord(c) for t in texts for c in t], np.uint32)
+    bounds = np.cumsum([0, *map(len, texts)])
+    at, a, b = secrets.candidates(points, bounds, base)
+    got = [(int(i), "".join(texts)[x:y]) for i, x, y in zip(at, a, b)]
+    assert got == [(0, "hunter2hunt"), (1, "1234567890"), (1, "abcdefgh"), (2, texts[2]), (4, "/tailpart")]
+    net = secrets.CharNet()
+    net.threshold = 0.0  # takes whatever it is given
+    monkeypatch.setattr(secrets, "fit", lambda windows, good: net)
+    out = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert out == {0: "learned:3:14", 1: "learned:0:10,learned:15:23", 2: f"learned:0:{len(texts[2])}", 3: "assign:0:15", 4: "hex:2:26,learned:26:35"}
+
+
 def test_network_learns_and_keeps_recall():
     rng = np.random.default_rng(6)
     key = lambda: "".join(rng.choice(list("0123456789abcdef"), 32))
