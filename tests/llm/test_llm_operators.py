@@ -162,6 +162,19 @@ def test_secrets(spark, docs, none):
     assert secrets.find_secrets(none).count() == 0
 
 
+def test_all_of_a_long_run_is_judged():
+    """Windows cover every character of a run; a key far inside or at the end of a path counts as at its head."""
+    run, start, end = secrets.window_places(np.array([0, 10, 300]), np.array([6, 151, 341]))
+    assert (end - start).max() <= secrets.INSIDE
+    for k, (lo, hi) in enumerate([(0, 6), (10, 151), (300, 341)]):
+        assert {x for s, e in zip(start[run == k], end[run == k]) for x in range(s, e)} == set(range(lo, hi))
+    text = "é see a/" + "x" * 90 + " and\tmore"
+    points = np.array([ord(c) for c in text], np.uint32)
+    run, start, end = secrets.window_places(np.array([6]), np.array([98]))
+    got = secrets._window_codes(secrets._codes(points), start, end, np.zeros(len(run), int), np.full(len(run), len(text)))
+    assert (got == secrets._coded([secrets.window(text, s, e) for s, e in zip(start, end)])).all()
+
+
 def test_secrets_of_any_letters_are_judged(spark, monkeypatch):
     """Short, single-case and numeric runs, keys behind a long path and what a base rule leaves of a run reach the network."""
     texts = ["pw hunter2hunt", "1234567890 and abcdefgh", "a/" + "path/" * 20 + "zq9XkT", "token=abcdef123 rest", "é 0123456789abcdef01234567/tailpart"]
