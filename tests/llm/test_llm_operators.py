@@ -202,6 +202,16 @@ def test_network_learns_and_keeps_recall():
     assert (chance[good[600:]] >= net.threshold).mean() > 0.97 and (chance[~good[600:]] >= net.threshold).mean() < 0.02
 
 
+def test_recall_decides_even_under_a_half():
+    rng = np.random.default_rng(12)
+    good = np.arange(1000) % 5 == 0
+    net = secrets.CharNet()
+    net.chance = lambda codes: np.where(good, 0.1, 0.0) + codes[:, 0] / 1000
+    codes = rng.integers(0, 97, (1000, secrets.WIDTH))
+    net.calibrate(codes, good.astype(float))
+    assert 0.99 <= (net.chance(codes)[good] >= net.threshold).mean() < 1
+
+
 def test_mix(spark, docs, none):
     out = mixing.mix(docs).collect()
     rows = docs.collect()
