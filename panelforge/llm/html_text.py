@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from .common import column, map_batches, stage
 
 MIN_PAGES = 5  # a template recurs in at least so many pages of different text,
-MIN_SHARE = 0.01  # and in at least this part of its host's pages
+MIN_SHARE = 0.01  # and in at least this part of its host's different main texts,
+ENOUGH_PAGES = 50  # but no more than so many are asked for, however large the host
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -263,7 +264,7 @@ def _read(html: str | None) -> tuple[Page, int | None, set[int]]:
     return page, main, page.furniture(main)
 
 
-def extract_main_text(pages: DataFrame, *, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract_main_text(pages: DataFrame, *, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, enough: int = ENOUGH_PAGES) -> DataFrame:
     """``page_id``, ``url``, ``text``, ``n_chars`` for every row of ``pages`` (page_id, url, html).
 
     Null html is an empty page, null url the host "". Null or repeated page_ids are fine: a page is
@@ -290,10 +291,10 @@ def extract_main_text(pages: DataFrame, *, min_pages: int = MIN_PAGES, min_share
     key = F.xxhash64(F.coalesce("url", F.lit("")), F.coalesce("html", F.lit("")))
     source = pages.select("page_id", "url", "html", key.alias("page"))
     seen = stage(map_batches(source, hashes, "page long, host string, body long, hashes array<long>"), "subtrees")
-    size = seen.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    size = seen.select("host", "body").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("bodies"))
     each = seen.select("page", "host", "body", F.explode("hashes").alias("hash"))
     counted = each.select("host", "hash", "body").distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
-    recurring = counted.where(F.col("n") >= min_pages).join(size, "host").where(F.col("n") >= F.col("pages") * min_share)
+    recurring = counted.where(F.col("n") >= min_pages).join(size, "host").where(F.col("n") >= F.least(F.col("bodies") * min_share, F.lit(enough)))
     hits = each.select("page", "host", "hash").distinct().join(recurring.select("host", "hash"), ["host", "hash"])
     # Few pages have hits, as a rule: a written table has a known size, so Spark sends it
     # to all tasks only below its own limit and joins by shuffle beyond it.

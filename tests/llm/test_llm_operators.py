@@ -111,6 +111,16 @@ def test_page_text(spark):
     assert html_text.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_templates_of_hosts_with_copies_and_of_large_hosts(spark):
+    """Copies of one page don't raise the count a template needs, nor does the size of a host beyond a bound."""
+    page = lambda i, teaser: f"<html><body>{teaser}<h2>Title {i}</h2><p>Story {i} text</p></body></html>"
+    teaser = "<div class='teaser'><span>Read more of our site</span></div>"
+    rows = [(i, f"http://copied.example/{i}", page(max(0, i - 2999), teaser)) for i in range(3020)]
+    rows += [(10_000 + i, f"http://large.example/{i}", page(i, teaser if i < 55 else "")) for i in range(6000)]
+    out = html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert out.where("text like '%Read more%'").count() == 0 and out.where("text like 'Title%text'").count() == len(rows)
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(40, 16))
