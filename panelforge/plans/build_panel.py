@@ -19,7 +19,7 @@ def build_panel(
     *,
     lookback_days: int,
     bands: Sequence[str] = ("b2", "b3", "b4", "b8", "b11", "b12"),
-    weather: Sequence[str] = ("temperature_2m",),
+    weather: Sequence[str] = ("temperature_2m", "total_precipitation_sum"),
     weather_cell: str = "patch_id",
     period: tuple[str, str] | None = None,
     hot_rows: int | None = comp.HOT_ROWS,

@@ -1239,4 +1239,5 @@ def panel_query(t: Tables) -> DataFrame:
 
 
 def full_panel(t: Tables) -> DataFrame:
-    return build_panel(t.spine, t.sources, lookback_days=LOOKBACK, bands=b.BANDS, weather_cell="cell", period=(b.START, b.END))
+    # The table bound as weather holds no precipitation.
+    return build_panel(t.spine, t.sources, lookback_days=LOOKBACK, bands=b.BANDS, weather=("temperature_2m",), weather_cell="cell", period=(b.START, b.END))

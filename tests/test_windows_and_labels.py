@@ -161,6 +161,14 @@ def test_panel_build_keeps_the_contract(spark):
     assert "temporal_optical_nbr_prefire_rmean_3" in panel.columns
 
 
+def test_panel_build_has_both_weather_variables_by_default(spark):
+    spine = spark.createDataFrame([("p", day("2020-02-01"))], SPINE)
+    rows = [("p", k, k, day("2020-01-20"), 280.0 + k, 0.5 * k) for k in range(3)]
+    weather = spark.createDataFrame(rows, "patch_id string, pixel_id long, image_id long, obs_date date, temperature_2m double, total_precipitation_sum double")
+    got = build_panel(spine, {"era5_land_daily": weather}, lookback_days=30).first()
+    assert (got["weather_temperature_2m_mean_l30d"], got["weather_total_precipitation_sum_mean_l30d"]) == (281.0, 0.5)
+
+
 def test_known_period_changes_nothing(spark):
     dates = [day("2020-02-01"), day("2020-03-01"), day("2020-04-01")]
     spine = spark.createDataFrame([(f"p{p}", r) for p in range(3) for r in dates], SPINE)
