@@ -198,6 +198,12 @@ def test_secrets_of_any_letters_are_judged(spark, monkeypatch):
     net.threshold = 0.0  # takes whatever it is given
     monkeypatch.setattr(secrets, "fit", lambda windows, good: net)
     out = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    drawn = []
+    monkeypatch.setattr(secrets, "fit", lambda windows, good: drawn.append(windows) or net)
+    many = spark.createDataFrame([(i, f"{'lorem ' * (i % 7)}run{chr(97 + i % 26)}{chr(97 + i // 26)}xyz") for i in range(600)], "doc_id long, text string")
+    for parts in (1, 3):
+        secrets.find_secrets(many.repartition(parts))
+    assert drawn[0] == drawn[1] and drawn[0]  # the sample doesn't depend on how rows are dealt
     assert out == {0: "learned:3:14", 1: "learned:0:10,learned:15:23", 2: f"learned:0:{len(texts[2])}", 3: "assign:0:15", 4: "hex:2:26,learned:26:35"}
 
 
