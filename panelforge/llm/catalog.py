@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .dart_dedup import near_texts
 from .html_text import extract_main_text
+from .long_repeats import long_repeats
 from .mixing import mix
 from .packing import pack
 from .pair_quality import pair_quality
@@ -113,3 +114,19 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_secrets")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return find_secrets(table(spark, folder, "documents"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT r, doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
+g AS (SELECT r, doc_id, i, md5(string_agg(word, ' ') OVER f) AS h, count(*) OVER f AS n FROM w WINDOW f AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+least_id AS (SELECT h, min(doc_id) AS m FROM g WHERE n = 50 GROUP BY h),
+bad AS (SELECT r, i FROM g JOIN least_id USING (h) WHERE n = 50 AND (m < doc_id OR (doc_id IS NULL AND m IS NOT NULL))),
+c AS (SELECT w.r, w.i, w.word, max(b.i) OVER (PARTITION BY w.r ORDER BY w.i) AS upto FROM w LEFT JOIN bad b ON b.r = w.r AND b.i = w.i),
+k AS (SELECT r, count(*) FILTER (WHERE upto IS NOT NULL AND i < upto + 50) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE upto IS NULL OR i >= upto + 50) AS kept FROM c GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)"""
+
+
+@query("op13_long_repeats", OP13_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return long_repeats(table(spark, folder, "documents"), length=50).select("doc_id", "n_words", "n_removed", "kept_sha256")

@@ -115,6 +115,16 @@ class Texts:
         return total[self.bounds[1:]] - total[self.bounds[:-1]]
 
 
+def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hash of each ``size`` neighbours; equal neighbours give equal hashes, at any place."""
+    if len(h) < size:
+        return np.zeros(0, np.uint64)
+    up, down = _powers.get(len(h) + 1)
+    with np.errstate(over="ignore"):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)], dtype=np.uint64)])
+        return mix64((total[size:] - total[:-size]) * down[: len(h) - size + 1])
+
+
 def slices(texts: pa.Array) -> Iterator[tuple[int, int, Texts]]:
     """Cut a string column into (from row, to row, arrays)."""
     texts = texts.cast(pa.large_string()).fill_null("")
