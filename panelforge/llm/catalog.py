@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .cross_tokens import align_tokens
 from .dart_dedup import near_texts
 from .html_text import extract_main_text
 from .long_repeats import long_repeats
@@ -130,3 +131,8 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) A
 @query("op13_long_repeats", OP13_SQL)
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return long_repeats(table(spark, folder, "documents"), length=50).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op11_cross_tokens")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return align_tokens(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))

@@ -5,9 +5,13 @@ import re
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
+import sentencepiece
+from tokenizers import Tokenizer
 
-from panelforge.llm import long_repeats
+from panelforge.llm import cross_tokens, long_repeats
 from panelforge.llm.text_arrays import Texts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -85,3 +89,88 @@ def test_sampled_windows_cover_every_longer_one():
     assert len(places) < len(h) / 10
     assert (long_repeats.covering(t, h, places, 25, 50) == every).all()
     assert len(long_repeats.covering(t, h, places[:0], 25, 50)) == 0
+
+
+A_FILE, B_FILE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
+class Plain:
+    """Whole texts through the libraries, token by token."""
+
+    def __init__(self):
+        self.a = Tokenizer.from_file(A_FILE)
+        self.a.encode_special_tokens = True
+        self.b = sentencepiece.SentencePieceProcessor(model_file=B_FILE)
+        self.letters = cross_tokens.byte_letters()
+
+    def align(self, text):
+        """Ends of groups as (A ids, B ids), and links (a, b); None without tokens."""
+        if not text:
+            return None
+        data = (" " + text).encode()
+        a = [(i, bytes(self.letters[c] for c in self.a.id_to_token(i))) for i in self.a.encode(" " + text, add_special_tokens=False).ids]
+        b = [(i, bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()) for i in self.b.encode(text) for p in [self.b.id_to_piece(i)]]
+        if b"".join(x for _, x in a) != data or b"".join(x for _, x in b) != data:
+            return None
+        spans = lambda ids: [(i, sum(len(y) for _, y in ids[:n]), sum(len(y) for _, y in ids[: n + 1])) for n, (i, _) in enumerate(ids)]
+        sa, sb = spans(a), spans(b)
+        links = [(i, j) for i, s, e in sa for j, t, f in sb if s < f and t < e]
+        ends = sorted({e for _, _, e in sa} & {e for _, _, e in sb})
+        groups = [",".join(str(i) for i, _, e in sa if lo < e <= hi) + "|" + ",".join(str(i) for i, _, e in sb if lo < e <= hi) for lo, hi in zip([0, *ends], ends)]
+        return len(a), len(b), groups, links
+
+
+def aligned_by_hand(rows):
+    plain = Plain()
+    found = [(i, plain.align(t)) for i, t in rows]
+    count = Counter(pair for _, f in found if f for pair in set(f[3]))
+    best = {}
+    for (a, _), n in count.items():
+        best[a] = max(n, best.get(a, 0))
+    out = Counter()
+    for i, f in found:
+        if f is None:
+            out[i, 0, 0, 0, 0, 0, 0, ""] += 1
+            continue
+        na, nb, groups, links = f
+        sha = hashlib.sha256(";".join(groups).encode()).hexdigest()
+        out[i, na, nb, len(groups), len(links), sum(count[x] == best[x[0]] for x in links), sum(count[x] for x in links), sha] += 1
+    return out
+
+
+@pytest.fixture(scope="module")
+def polyglot(spark):
+    rng = np.random.default_rng(7)
+    words = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40).collect()]
+    odd = list("aZ9 \n\t\r'.,—’é한국語ßﬁİΣ😀\u0301\u00a0\u2003\u3000\u0085\x0b\x1c\x00\u200d") + ["  ", " a", "'s ", "<s>", "<0x41>", "<|endoftext|>", "don't", " 12", "нет", "の"]
+    rows = [(i, t[:600]) for i, t in enumerate(words)] + [(100 + i, "".join(rng.choice(odd, rng.integers(1, 40)))) for i in range(150)]
+    rows += [(300, None), (301, ""), (302, " "), (303, "   "), (304, "a▁b"), (305, " x ▁ y"), (None, "the cat"), (306, "the cat"), (306, "the cat"), (307, "x" * 5000), (308, "▁")]
+    return rows
+
+
+@pytest.mark.parametrize("heavy", [131_072, 50])
+def test_cross_tokens(spark, polyglot, heavy):
+    docs = spark.createDataFrame(rows_of(polyglot), SCHEMA).repartition(3)
+    got = cross_tokens.align_tokens(docs, A_FILE, B_FILE, heavy=heavy)
+    assert got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    assert Counter(tuple(r) for r in got.collect()) == aligned_by_hand(polyglot)
+    sha = {r["doc_id"]: r["groups_sha256"] for r in got.collect()}
+    for r in cross_tokens.token_groups(docs, A_FILE, B_FILE).collect():
+        assert sha[r["doc_id"]] == (hashlib.sha256(r["groups"].encode()).hexdigest() if r["groups"] else "")
+
+
+def test_cross_tokens_of_nothing(spark):
+    assert cross_tokens.align_tokens(spark.createDataFrame([], SCHEMA), A_FILE, B_FILE).count() == 0
+    got = cross_tokens.align_tokens(spark.createDataFrame(rows_of([(1, None), (1, None)]), SCHEMA), A_FILE, B_FILE).collect()
+    assert [tuple(r) for r in got] == [(1, 0, 0, 0, 0, 0, 0, "")] * 2
+
+
+def test_pieces_give_the_ids_of_whole_texts():
+    rng = np.random.default_rng(8)
+    model, plain = cross_tokens.Aligner(A_FILE, B_FILE), Plain()
+    some = [chr(c) for c in [*range(1, 0x250), *range(0x2000, 0x2070), 0x3000, 0x1680, 0xFEFF, 0x1F600, 0x0301] if c != 0x2581] + [" "] * 60 + ["\n"] * 10
+    texts = ["".join(rng.choice(some, rng.integers(1, 60))) for _ in range(3000)]
+    total, groups, _ = model.documents(pa.array(texts))
+    for text, n, g in zip(texts, total.tolist(), groups):
+        wanted = plain.align(text)
+        assert (n[0], n[1], n[3], g.decode()) == ((wanted[0], wanted[1], len(wanted[3]), ";".join(wanted[2])) if wanted else (0, 0, 0, "")), repr(text)
