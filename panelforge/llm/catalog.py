@@ -17,6 +17,7 @@ from .packing import pack
 from .pair_quality import pair_quality
 from .pii import find_pii
 from .pq_dedup import near_vectors
+from .prefix_trie import prefix_trie
 from .quality_rules import quality_rules
 from .secrets import find_secrets
 from .token_files import token_files
@@ -136,3 +137,29 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
 @query("op11_cross_tokens")
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return align_tokens(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+OP12_SQL = r"""
+WITH c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos,
+    coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+i AS (SELECT conv_id, conv_id - conv_id % 100 AS base, count(*) AS own,
+    xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+      lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 6 AS h FROM c GROUP BY conv_id),
+n AS (SELECT i.conv_id, i.base, i.h, least(i.h, coalesce(b.own, 0)) AS head FROM i LEFT JOIN i b ON b.conv_id = i.base),
+t AS (SELECT n.conv_id, c.pos, c.role, c.text FROM n JOIN c ON c.conv_id = n.base AND c.pos < n.h
+  UNION ALL SELECT n.conv_id, n.head + c.pos - n.h, c.role, c.text FROM n JOIN c ON c.conv_id = n.conv_id AND c.pos >= n.h),
+p AS (SELECT conv_id, pos + 1 AS depth, text, string_agg(md5(length(role) || ':' || role || text), '') OVER (PARTITION BY conv_id ORDER BY pos) AS path FROM t
+  UNION ALL SELECT conv_id, 0, '', '' FROM n),
+z AS (SELECT conv_id, max(depth) AS total FROM p GROUP BY conv_id),
+v AS (SELECT path, depth, min(p.conv_id) AS conv_id, count(*) AS n_convs, any_value(length(text)) AS chars,
+  sha256(coalesce(string_agg(CAST(p.conv_id AS VARCHAR), ',' ORDER BY p.conv_id) FILTER (WHERE depth = total), '')) AS ends_sha256 FROM p JOIN z USING (conv_id) GROUP BY path, depth),
+k AS (SELECT substr(path, 1, 32 * (depth - 1)) AS path, count(*) AS n_children FROM v WHERE depth > 0 GROUP BY 1),
+f AS (SELECT v.*, coalesce(n_children, 0) AS n_children FROM v LEFT JOIN k USING (path)),
+s AS (SELECT p.path, count(*) FILTER (WHERE f.n_children = 0) AS n_leaves, sum((f.n_convs - 1) * f.chars) AS saved_tokens FROM f JOIN p ON p.conv_id = f.conv_id AND p.depth <= f.depth GROUP BY p.path)
+SELECT f.conv_id, CAST(f.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM f JOIN s USING (path) LEFT JOIN v u ON f.depth > 0 AND u.path = substr(f.path, 1, 32 * (f.depth - 1))"""
+
+
+@query("op12_prefix_trie", OP12_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie(table(spark, folder, "conversations"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -11,7 +12,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from panelforge.llm import cross_tokens, long_repeats
+from panelforge.llm import cross_tokens, long_repeats, prefix_trie
 from panelforge.llm.text_arrays import Texts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -174,3 +175,94 @@ def test_pieces_give_the_ids_of_whole_texts():
     for text, n, g in zip(texts, total.tolist(), groups):
         wanted = plain.align(text)
         assert (n[0], n[1], n[3], g.decode()) == ((wanted[0], wanted[1], len(wanted[3]), ";".join(wanted[2])) if wanted else (0, 0, 0, "")), repr(text)
+
+
+TURNS = "conv_id long, turn long, role string, text string, depth long, level int, path string, key binary"
+
+
+def trie_by_hand(turns):
+    """Every node of the rebuilt conversations, from a dictionary of all beginnings."""
+    own = {}
+    for c, turn, role, text in turns:
+        if c is not None:
+            own.setdefault(c, []).append((turn is not None, turn, role or "", text or ""))
+    own = {c: [(r, t) for _, _, r, t in sorted(v, key=lambda x: (x[0], x[1] or 0, x[2], x[3]))] for c, v in own.items()}
+    built = {}
+    for c, mine in own.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        base = c - (abs(c) % 100) * (1 if c >= 0 else -1)
+        built[c] = (*own.get(base, [])[:h], *mine[h:])
+    members, children = {}, {}
+    for c, seq in built.items():
+        for d in range(len(seq) + 1):
+            members.setdefault(seq[:d], []).append(c)
+            if d:
+                children.setdefault(seq[: d - 1], set()).add(seq[:d])
+    leaves, saved = Counter(), Counter()
+    for seq, m in members.items():
+        for d in range(len(seq) + 1):
+            leaves[seq[:d]] += seq not in children
+            saved[seq[:d]] += (len(m) - 1) * len(seq[-1][1]) if seq else 0
+    out = Counter()
+    for seq, m in members.items():
+        ends = ",".join(str(c) for c in sorted(m) if built[c] == seq)
+        up = min(members[seq[:-1]]) if seq else None
+        out[min(m), len(seq), up, len(m), len(children.get(seq, ())), leaves[seq], saved[seq], hashlib.sha256(ends.encode()).hexdigest()] += 1
+    return out
+
+
+@pytest.fixture(scope="module")
+def talks():
+    rng = np.random.default_rng(9)
+    rows = []
+    for c in [*range(-120, -80), *range(0, 140), *range(200, 230), 399, 512, 10**12]:
+        for turn in range(int(rng.integers(1, 9))):
+            rows.append((c, turn, "user" if turn % 2 else "bot", f"say {rng.integers(0, 2)}" * int(rng.integers(1, 3))))
+    rows += [(600 + c, t, "a", f"same {t}") for c in range(40) for t in range(c % 11)]  # beginnings of one another
+    rows += [(700, t, "a", "long") for t in range(37)] + [(701, t, "a", "long") for t in range(37)] + [(702, t, "a", "long" if t < 30 else "other é") for t in range(35)]
+    rows += [(800, None, None, None), (800, None, "x", ""), (800, 3, "x", "b"), (800, 3, "x", "a"), (800, 3, "x", "a"), (801, None, "", None), (None, 1, "x", "lost"), (None, None, None, None)]
+    order = rng.permutation(len(rows))
+    return [rows[i] for i in order]
+
+
+@pytest.mark.parametrize("chunk,block,parts", [(256, 20_000, 4), (4, 3, 7), (5, 2, 80), (1, 20_000, 1)])
+def test_prefix_trie(spark, talks, chunk, block, parts):
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(parts))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(parts < 5).lower())
+    try:
+        df = spark.createDataFrame([(*r, 1, 2, "p", b"k") for r in (talks if chunk > 1 else talks[:200])], TURNS)
+        got = prefix_trie.prefix_trie(df, chunk=chunk, block=block).collect()
+    finally:
+        spark.conf.set(key, before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    wanted = trie_by_hand(talks if chunk > 1 else talks[:200])
+    assert Counter(tuple(r) for r in got) == wanted
+
+
+def test_prefix_trie_of_nothing_and_of_one(spark):
+    assert prefix_trie.prefix_trie(spark.createDataFrame([], TURNS)).count() == 0
+    one = spark.createDataFrame([(7, 0, None, None, 1, 2, "p", b"k")], TURNS)
+    assert Counter(tuple(r) for r in prefix_trie.prefix_trie(one).collect()) == trie_by_hand([(7, 0, None, None)])
+
+
+def test_numbers_of_turns_across_partitions(spark):
+    rows = [(c, t, "r", f"t{t}") for c, n in ((1, 2), (2, 300), (3, 1)) for t in range(n)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = prefix_trie.numbered_turns(df, prefix_trie.Interim()).select("conv_id", "pos").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sorted(tuple(r) for r in got) == sorted((c, t) for c, t, _, _ in rows)
+
+
+def test_depth_that_paths_share():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        p, q = (b"".join(bytes([x]) * 16 for x in rng.integers(0, 2, rng.integers(0, 12))) for _ in (0, 1))
+        n = 0
+        while p[n * 16 : n * 16 + 16] == q[n * 16 : n * 16 + 16] != b"":
+            n += 1
+        assert prefix_trie.shared_depth(p, q) == n
