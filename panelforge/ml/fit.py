@@ -11,11 +11,10 @@ import json
 from typing import Any
 
 from pyspark.ml import Model, Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import metrics
@@ -29,6 +28,8 @@ from ..operators.splits import (
     split_diagnostics,
     with_balanced_weight,
 )
+from .boosting import LOGISTIC, SOFTMAX, SQUARED, boost
+from .isotonic import Calibrator, apply_calibrator, fit_calibrator
 from .transformers import INDICATOR, MedianImputer, QuantileNormalizer, Winsorizer
 
 LOGREG, FOREST, BOOSTED = "logreg", "random_forest", "boosted"
@@ -37,9 +38,11 @@ LOGREG, FOREST, BOOSTED = "logreg", "random_forest", "boosted"
 DEFAULTS: dict[str, dict[str, Any]] = {
     LOGREG: {"C": 1.0, "max_iter": 2000},
     FOREST: {"n_estimators": 200, "max_depth": 20, "min_samples_leaf": 1},
-    BOOSTED: {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 6, "subsample": 1.0},
+    BOOSTED: {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 6, "subsample": 1.0, "early_stopping_rounds": 20},
 }
 
+TREE_MEMORY_MB = 1024  # of statistics of the nodes a forest splits at once
+
 
 def _preparation(name: str, features: list[str], prefix: str) -> list:
     """Stages from raw features to one vector. Trees get medians (boosted ones also
@@ -87,28 +90,18 @@ def _classifier(name: str, prefix: str, target: str, params: Mapping[str, Any],
         learner = LogisticRegression(
             **common, maxIter=p["max_iter"], regParam=1.0 / (p["C"] * n_train), standardization=False
         )
-    elif name == FOREST:
+    else:
         learner = RandomForestClassifier(
             **common,
             numTrees=p["n_estimators"],
             maxDepth=p["max_depth"],
             minInstancesPerNode=p["min_samples_leaf"],
+            maxMemoryInMB=TREE_MEMORY_MB,
             seed=seed,
         )
-    else:
-        learner = GBTClassifier(**common, **_boosting(p), seed=seed, validationIndicatorCol="is_val")
     return learner.setRawPredictionCol(f"{prefix}raw").setProbabilityCol(f"{prefix}probability")
 
 
-def _boosting(p: Mapping[str, Any]) -> dict[str, Any]:
-    return {
-        "maxIter": p["n_estimators"],
-        "stepSize": p["learning_rate"],
-        "maxDepth": p["max_depth"],
-        "subsamplingRate": p["subsample"],
-    }
-
-
 @contextmanager
 def _kept(df: DataFrame):
     kept = df.persist()
@@ -118,24 +111,6 @@ def _kept(df: DataFrame):
         kept.unpersist()
 
 
-def fit_calibrator(scored: DataFrame, *, label: str = "y_true", score: str = "y_prob") -> IsotonicRegressionModel:
-    """Monotone map from raw to calibrated probability, clipped outside the seen range.
-
-    Equal scores are averaged first, so the regression sees distinct scores only.
-    """
-    points = scored.groupBy(score).agg(
-        F.avg(F.col(label).cast("double")).alias("label"), F.count("*").cast("double").alias("weight")
-    )
-    fitter = IsotonicRegression(
-        featuresCol=score, labelCol="label", weightCol="weight", predictionCol="y_prob_calibrated", isotonic=True
-    )
-    return fitter.fit(points)
-
-
-def apply_calibrator(calibrator: IsotonicRegressionModel, df: DataFrame, *, score: str = "y_prob") -> DataFrame:
-    return calibrator.copy().setFeaturesCol(score).transform(df)
-
-
 @dataclass
 class Fit:
     """A trained model and what scoring needs besides it."""
@@ -144,17 +119,18 @@ class Fit:
     model: PipelineModel
     features: list[str]
     prefix: str
-    calibrator: IsotonicRegressionModel | None = None
+    calibrator: Calibrator | None = None
     threshold: float = 0.5
     predictions: DataFrame | None = field(default=None, repr=False)
     report: DataFrame | None = field(default=None, repr=False)
     class_counts: DataFrame | None = field(default=None, repr=False)
+    rounds: int | None = None
 
     def save(self, path: str) -> None:
         """Spark ML writers for models; features and threshold as one JSON row."""
         self.model.write().overwrite().save(f"{path}/model")
         if self.calibrator is not None:
-            self.calibrator.write().overwrite().save(f"{path}/calibrator")
+            self.calibrator.blocks.write.mode("overwrite").parquet(f"{path}/calibrator")
         about = {
             "task": self.task,
             "features": self.features,
@@ -174,13 +150,14 @@ class Fit:
         calibrated = about.pop("calibrated")
         return cls(
             model=PipelineModel.load(f"{path}/model"),
-            calibrator=IsotonicRegressionModel.load(f"{path}/calibrator") if calibrated else None,
+            calibrator=Calibrator.of(cls._session().read.parquet(f"{path}/calibrator")) if calibrated else None,
             **about,
         )
 
 
 def positive_probability(df: DataFrame, prefix: str) -> DataFrame:
-    return df.withColumn("y_prob", vector_to_array(F.col(f"{prefix}probability"))[1])
+    both = F.col(f"{prefix}probability")
+    return df.withColumn("y_prob", (both if dict(df.dtypes)[f"{prefix}probability"].startswith("array") else vector_to_array(both))[1])
 
 
 def fit_occurrence(
@@ -205,9 +182,14 @@ def fit_occurrence(
         weighted = _weighted(data, train, model_name, target)
         stages = _preparation(model_name, features, prefix)
         prepared = Pipeline(stages=stages).fit(train)
-        learner = _classifier(model_name, prefix, target, params or {}, seed, n_train)
-        fitted = learner.fit(prepared.transform(weighted))
-        model = PipelineModel([*prepared.stages, fitted])
+        ready = prepared.transform(weighted)
+        if model_name == BOOSTED:
+            p = _settings(BOOSTED, params or {})
+            made = boost(ready, features=f"{prefix}features", label=target, loss=LOGISTIC, params=p, weight="weight", seed=seed)
+            fitted = made.stages(f"{prefix}features", prefix)
+        else:
+            fitted = [_classifier(model_name, prefix, target, params or {}, seed, n_train).fit(ready)]
+        model = PipelineModel([*prepared.stages, *fitted])
 
         scored = positive_probability(model.transform(data.filter("split <> 'train'")), prefix).select(
             *KEYS, "split", F.col(target).cast("int").alias("y_true"), "y_prob"
@@ -248,7 +230,8 @@ def fit_occurrence(
         about("test", "positive_rate").cast("double").alias("test_positive_rate"),
         about("train", "feature_nan_rate").cast("double").alias("train_nan_rate"),
     )
-    return Fit("occurrence", model, features, prefix, calibrator, float(threshold), predictions, report)
+    rounds = len(made.rounds) if model_name == BOOSTED else None
+    return Fit("occurrence", model, features, prefix, calibrator, float(threshold), predictions, report, rounds=rounds)
 
 
 def _weighted(data: DataFrame, train: DataFrame, model_name: str, target: str) -> DataFrame:
@@ -267,9 +250,9 @@ def _severity_data(panel: DataFrame, target: str, features: list[str]) -> DataFr
     return rows.withColumn("is_val", F.col("split") == "val").withColumn("weight", F.lit(1.0))
 
 
-def _predicted(model: Model, data: DataFrame, prefix: str, target: str, kind: str) -> DataFrame:
+def _predicted(model: Model, data: DataFrame, prefix: str, target: str, kind: str, *more: Column) -> DataFrame:
     return model.transform(data.filter("split = 'test'")).select(
-        *KEYS, F.col(target).cast(kind).alias("y_true"), F.col(f"{prefix}prediction").cast(kind).alias("y_pred")
+        *KEYS, F.col(target).cast(kind).alias("y_true"), F.col(f"{prefix}prediction").cast(kind).alias("y_pred"), *more
     )
 
 
@@ -281,45 +264,63 @@ def _with_sizes(report: DataFrame, sizes: Mapping[str, int], n_features: int) ->
     )
 
 
+def _fit_severity(
+    panel: DataFrame, target: str, prefix: str, loss: str, params: Mapping[str, Any] | None, seed: int, finish, model_name: str = BOOSTED
+) -> Fit:
+    """A model on severity-available rows. Boosted trees are stopped early on the validation split. ``finish`` gives
+    predictions, report and class counts from the model and the kept rows."""
+    features = feature_columns(panel)
+    p = _settings(model_name, params or {})
+    with _kept(_severity_data(panel, target, features)) as data:
+        train = data.filter("split = 'train'")
+        prepared = Pipeline(stages=_preparation(model_name, features, prefix)).fit(train)
+        if model_name == BOOSTED:
+            rows = prepared.transform(data.filter("split in ('train', 'val')"))
+            classes = int(rows.agg(F.max(target)).first()[0]) + 1 if loss == SOFTMAX else 1
+            made = boost(rows, features=f"{prefix}features", label=target, loss=loss, params=p, classes=classes, seed=seed)
+            last = made.stages(f"{prefix}features", prefix)
+        else:
+            last = [_classifier(model_name, prefix, target, params or {}, seed, train.count()).fit(prepared.transform(train))]
+        model = PipelineModel([*prepared.stages, *last])
+        sizes = {r["split"]: r["count"] for r in data.groupBy("split").count().collect()}
+        fit = finish(model, data)
+    fit.features, fit.rounds = features, len(made.rounds) if model_name == BOOSTED else None
+    fit.report = _with_sizes(fit.report, sizes, len(features))
+    return fit
+
+
 def fit_severity_cls(
     panel: DataFrame,
     params: Mapping[str, Any] | None = None,
     *,
+    model_name: str = BOOSTED,
     target: str = "y_sev_cls",
     seed: int = 42,
-    parallelism: int = 3,
 ) -> Fit:
-    """Boosted one-against-rest classifier on severity-available rows."""
-    features = feature_columns(panel)
-    prefix = "cls_"
-    p = _settings(BOOSTED, params or {})
-    with _kept(_severity_data(panel, target, features)) as data:
-        prepared = Pipeline(stages=_preparation(BOOSTED, features, prefix)).fit(data.filter("split = 'train'"))
-        one = GBTClassifier(**_shared(prefix, target), **_boosting(p), seed=seed)
-        learner = OneVsRest(classifier=one, **_shared(prefix, target), parallelism=parallelism)
-        fitted = learner.fit(prepared.transform(data.filter("split = 'train'")))
-        model = PipelineModel([*prepared.stages, fitted])
-        sizes = {r["split"]: r["count"] for r in data.groupBy("split").count().collect()}
+    """Classes on severity-available rows: boosted with shared softmax gradients, the validation split's loss deciding
+    the number of rounds, or a linear or forest model. Predictions carry ``y_probs``, one probability per class."""
+    prefix, name = "cls_", f"{model_name}_severity_cls"
+
+    def finish(model: PipelineModel, data: DataFrame) -> Fit:
+        probability = F.col(f"{prefix}probability")
+        shares = (probability if model_name == BOOSTED else vector_to_array(probability)).alias("y_probs")
+        predictions = _predicted(model, data, prefix, target, "int", shares)
+        report = _settled(metrics.severity_cls_summary(metrics.with_model(predictions, name)))
         counts = class_distribution(data, target, by=["split"])
-        predictions = _predicted(model, data, prefix, target, "int")
-        report = _settled(metrics.severity_cls_summary(metrics.with_model(predictions, "boosted_severity_cls")))
-    report = _with_sizes(report, sizes, len(features))
-    return Fit("severity_cls", model, features, prefix, predictions=predictions, report=report, class_counts=counts)
+        return Fit("severity_cls", model, [], prefix, predictions=predictions, report=report, class_counts=counts)
+
+    return _fit_severity(panel, target, prefix, SOFTMAX, params, seed, finish, model_name)
 
 
 def fit_severity_reg(
     panel: DataFrame, params: Mapping[str, Any] | None = None, *, target: str = "y_sev_reg", seed: int = 42
 ) -> Fit:
     """Boosted regression on severity-available rows, stopped early on the validation split."""
-    features = feature_columns(panel)
-    prefix = "reg_"
-    p = _settings(BOOSTED, params or {})
-    with _kept(_severity_data(panel, target, features)) as data:
-        prepared = Pipeline(stages=_preparation(BOOSTED, features, prefix)).fit(data.filter("split = 'train'"))
-        learner = GBTRegressor(**_shared(prefix, target), **_boosting(p), seed=seed, validationIndicatorCol="is_val")
-        fitted = learner.fit(prepared.transform(data.filter("split in ('train', 'val')")))
-        model = PipelineModel([*prepared.stages, fitted])
-        sizes = {r["split"]: r["count"] for r in data.groupBy("split").count().collect()}
+    prefix, name = "reg_", "boosted_severity_reg"
+
+    def finish(model: PipelineModel, data: DataFrame) -> Fit:
         predictions = _predicted(model, data, prefix, target, "double")
-        report = _settled(metrics.evaluate_severity_reg(metrics.with_model(predictions, "boosted_severity_reg")))
-    return Fit("severity_reg", model, features, prefix, predictions=predictions, report=_with_sizes(report, sizes, len(features)))
+        report = _settled(metrics.evaluate_severity_reg(metrics.with_model(predictions, name)))
+        return Fit("severity_reg", model, [], prefix, predictions=predictions, report=report)
+
+    return _fit_severity(panel, target, prefix, SQUARED, params, seed, finish)

@@ -3,15 +3,16 @@
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import OneVsRestModel
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import clip
 from ..operators.keys import KEYS
 from ..operators.metrics import expected_risk, with_alert
-from .fit import Fit, apply_calibrator, positive_probability
+from .fit import Fit, positive_probability
+from .isotonic import apply_calibrator
 
 SAMPLE_ROWS = 500  # fixed value: rows that attributions are averaged over
 
@@ -48,10 +49,10 @@ def score_panel(panel: DataFrame, occurrence: Fit, severity: Fit) -> DataFrame:
 
 
 def _weights(model: PipelineModel) -> list[float]:
+    boosted = [s.featureImportances.toArray() for s in model.stages if isinstance(s, GBTRegressionModel)]
+    if boosted:
+        return [float(sum(p[i] for p in boosted) / len(boosted)) for i in range(len(boosted[0]))]
     last = model.stages[-1]
-    if isinstance(last, OneVsRestModel):
-        parts = [m.featureImportances.toArray() for m in last.models]
-        return [float(sum(p[i] for p in parts) / len(parts)) for i in range(len(parts[0]))]
     if hasattr(last, "featureImportances"):
         return [float(v) for v in last.featureImportances.toArray()]
     if hasattr(last, "coefficients"):
@@ -85,22 +86,28 @@ def capped_sample(df: DataFrame, n: int = SAMPLE_ROWS, *, seed: int = 42, keys:
 
 
 def linear_attribution(df: DataFrame, fit: Fit, *, n: int | None = None, seed: int = 42) -> DataFrame:
-    """Mean absolute share of each feature in a linear model's score on all rows (or ``n`` of them):
-    ``|coefficient x (value - mean)|`` in the space the model sees."""
+    """Mean absolute share of each feature in a linear model's scores on all rows (or ``n`` of them):
+    ``|coefficient x (value - mean)|`` in the space the model sees, averaged over rows and, for
+    models of several classes, over their outputs."""
     last = fit.model.stages[-1]
-    if not hasattr(last, "coefficients"):
+    if hasattr(last, "coefficientMatrix"):
+        outputs = last.coefficientMatrix.toArray().tolist()
+    elif hasattr(last, "coefficients"):
+        outputs = [last.coefficients.toArray().tolist()]
+    else:
         raise TypeError(f"no linear attribution for {type(last).__name__}")
     _check_features(df, fit)
     prepared = PipelineModel(fit.model.stages[:-1]).transform(df if n is None else capped_sample(df, n, seed=seed))
-    x = vector_to_array(F.col(f"{fit.prefix}features"))
-    rows = prepared.select(x.alias("x"))
-    # two aggregates over the rows
-    coefficients = [float(c) for c in last.coefficients.toArray()]
-    sample = rows.select(*[F.col("x")[i].alias(f"x{i}") for i in range(len(coefficients))])
+    rows = prepared.select(vector_to_array(F.col(f"{fit.prefix}features")).alias("x"))
+    sample = rows.select(*[F.col("x")[i].alias(f"x{i}") for i in range(len(fit.features))])
     means = sample.agg(*[F.avg(c).alias(c) for c in sample.columns]).first()
-    shares = sample.agg(
-        *[F.avg(F.abs(F.lit(w) * (F.col(f"x{i}") - F.lit(means[f"x{i}"])))).alias(f"x{i}") for i, w in enumerate(coefficients)]
-    )
+
+    def share(i: int):
+        # |c x (v - m)| summed over outputs is |v - m| times the sum of |c|
+        size = sum(abs(c[i]) for c in outputs) / len(outputs)
+        return F.avg(F.lit(size) * F.abs(F.col(f"x{i}") - F.lit(means[f"x{i}"]))).alias(f"x{i}")
+
+    shares = sample.agg(*[share(i) for i in range(len(fit.features))])
     pairs = F.array(
         *[F.struct(F.lit(f).alias("feature"), F.col(f"x{i}").alias("mean_abs_attribution")) for i, f in enumerate(fit.features)]
     )

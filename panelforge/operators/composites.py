@@ -2,47 +2,71 @@
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.indices import normalized_difference
 from ..functions.missing import nulls_for_nans
 from .keys import KEYS
-from .ordered import exact_quantiles
-from .windows import day_number, image_counts, pixel_spans, span_join, span_rollup
+from .windows import Daily, Span, counted, day_number, image_counts, pixel_stretches, span_rollups
 
 FIRE_THRESHOLD = 7  # fixed value: mask classes from here on are fires
 HORIZONS = (7, 30, 60)
 PREFIRE_DAYS = 90
 POSTFIRE_START, POSTFIRE_END = 30, 120
-HOT_ROWS = 10_000  # rows of one pixel in one window that a frame may hold
+CHUNK_ROWS = 10_000  # observations of one pixel and stretch of time that are sorted together
+CROWDED = 10_000  # fullest stretches that are looked for
 
 
-def list_median(values: Column) -> Column:
-    """Median of an array; NULL when it is empty."""
-    ordered, n = F.array_sort(values), F.size(values)
-    below, above = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
-    return (F.get(ordered, below) + F.get(ordered, above)) / 2
+def _chunked(rows: DataFrame, bands: Sequence[str], width: int, chunk_rows: int) -> DataFrame:
+    """Add ``chunk`` and ``chunks``: crowded stretches of a pixel are dealt over chunks by a hash of the row.
 
+    The ``CROWDED`` fullest stretches are looked up, a table of bounded size; any other
+    holds less than that share of all rows.
+    """
+    keys = ["patch_id", "pixel_id", "_stretch"]
+    placed = rows.withColumn("_stretch", F.floor(day_number(F.col("obs_date")) / width))
+    fullest = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > chunk_rows)
+    # both stretches of a pair need the same number of chunks, so the pixel decides
+    fullest = fullest.orderBy(F.desc("_n"), *keys).limit(CROWDED)
+    pixels = fullest.groupBy("patch_id", "pixel_id").agg(F.ceil(F.max("_n") / chunk_rows).cast("int").alias("chunks"))
+    dealt = placed.join(F.broadcast(pixels), ["patch_id", "pixel_id"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    return dealt.withColumn("chunk", F.when(F.col("chunks") > 1, F.pmod(F.xxhash64("obs_date", *bands), "chunks")).otherwise(0)).drop("_stretch")
 
-def _medians_by_frame(anchors: DataFrame, rows: DataFrame, bands, spans, anchor: str) -> DataFrame:
-    """Medians per anchor, pixel and span from the values of each range frame."""
-    found = pixel_spans(anchors, rows, spans, {b: F.collect_list for b in bands}, anchor=anchor)
-    named = [f"{s}_{b}" for s in spans for b in bands]
-    return found.select("patch_id", anchor, "pixel_id", *[list_median(F.col(c)).alias(c) for c in named])
 
+def _middle(values: Column) -> tuple[Column, Column]:
+    """Lower and upper middle of a sorted array; NULL when it is empty."""
+    n = F.size(values)
+    return F.get(values, F.floor((n - 1) / 2).cast("int")), F.get(values, F.floor(n / 2).cast("int"))
 
-def _medians_by_rank(anchors: DataFrame, rows: DataFrame, bands, spans, anchor: str) -> DataFrame:
-    """The same medians from ranks of distinct values, for pixels too large for one task."""
-    keys = ["patch_id", anchor, "pixel_id"]
-    out = None
-    for name, (first, last) in spans.items():
-        pairs = span_join(anchors, rows, first=first, last=last, anchor=anchor)
-        found = exact_quantiles(pairs, bands, [0.5], by=keys)
-        picked = [F.max(F.when(F.col("feature") == b, F.col("quantile"))).alias(f"{name}_{b}") for b in bands]
-        wide = found.groupBy(*keys).agg(*picked)
-        out = wide if out is None else out.join(wide, keys, "full")
-    return out
+
+def _merged_medians(parts: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Medians of pixels whose sorted values (array columns ``names``) lie in several rows, one per chunk.
+
+    The median lies between the least lower and the greatest upper middle of the chunks. As
+    rows are dealt by hash, these are close, and only the distinct values between them meet.
+    """
+    group = [*keys, "name"]
+    pairs = F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("values")) for n in names])
+    long = parts.select(*keys, F.inline(pairs)).filter(F.size("values") > 0)
+    low, high = _middle(F.col("values"))
+    ends = long.groupBy(*group).agg(F.sum(F.size("values")).alias("n"), F.min(low).alias("low"), F.max(high).alias("high"))
+    near = long.join(ends, group).select(
+        *group, "n", F.size(F.filter("values", lambda v: v < F.col("low"))).alias("less"),
+        F.filter("values", lambda v: v.between(F.col("low"), F.col("high"))).alias("values"),
+    )
+    less = near.groupBy(*group).agg(F.sum("less").alias("less"), F.max("n").alias("n"))
+    counted = near.select(*group, F.explode("values").alias("value")).groupBy(*group, "value").agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*group).orderBy("value"))
+    ranked = counted.withColumn("upto", upto).join(less, group).withColumn("upto", F.col("upto") + F.col("less"))
+
+    def holds(rank: Column) -> Column:
+        return (rank < F.col("upto")) & (rank >= F.col("upto") - F.col("c"))
+
+    first, second = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    median = (F.max(F.when(holds(first), F.col("value"))) + F.max(F.when(holds(second), F.col("value")))) / 2
+    found = ranked.groupBy(*group).agg(median.alias("median"))
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == n, F.col("median"))).alias(n) for n in names])
 
 
 def median_over_spans(
@@ -52,33 +76,60 @@ def median_over_spans(
     spans: Mapping[str, tuple[int, int]],
     *,
     anchor: str = "reference_date",
-    hot_rows: int | None = HOT_ROWS,
+    chunk_rows: int = CHUNK_ROWS,
+    last_seen: str | None = None,
 ) -> DataFrame:
     """Median over time per pixel, then mean over pixels, in columns ``<span>_<band>``.
 
-    An exact median needs all values of a pixel window together. Pixels with more than
-    ``hot_rows`` observations in a stretch as long as the widest span (found by one narrow
-    count; None skips it where the sensor's revisit time bounds them) take the rank path
-    instead, which spreads a single pixel over many tasks; the others keep the frames.
-    NaN counts as missing on both paths.
+    ``last_seen`` adds the latest day of a value that went into any of them.
+
+    A pixel's values of two stretches of time are sorted once per band, and every anchor
+    takes the middle of those inside its span. A pixel with more than ``chunk_rows``
+    observations in a stretch is cut into chunks by hash, whose medians bound the
+    pixel's, so no task holds a crowded pixel. NaN counts as missing.
     """
-    places = anchors.select("patch_id", anchor)
+    low, high = min(a for a, _ in spans.values()), max(z for _, z in spans.values())
     narrow = nulls_for_nans(observations.select("patch_id", "pixel_id", "obs_date", *bands))
-    hot = None
-    if hot_rows:
-        width = max(last - first + 1 for first, last in spans.values())
-        stretch = F.floor(day_number(F.col("obs_date")) / width)
-        crowded = narrow.groupBy("patch_id", "pixel_id", stretch.alias("_stretch")).count().filter(F.col("count") > hot_rows)
-        hot = crowded.select("patch_id", "pixel_id").distinct()
-        if hot.isEmpty():
-            hot = None
-    if hot is None:
-        medians = _medians_by_frame(places, narrow, bands, spans, anchor)
-    else:
-        on = ["patch_id", "pixel_id"]
-        cold = _medians_by_frame(places, narrow.join(hot, on, "left_anti"), bands, spans, anchor)
-        medians = cold.unionByName(_medians_by_rank(places, narrow.join(hot, on, "left_semi"), bands, spans, anchor))
-    return medians.groupBy("patch_id", anchor).agg(*[F.avg(f"{s}_{b}").alias(f"{s}_{b}") for s in spans for b in bands])
+    dealt = _chunked(narrow, bands, high - low + 1, chunk_rows)
+    beside = pixel_stretches(
+        anchors, dealt, bands, first=low, last=high, anchor=anchor, within=["chunk", "chunks"]
+    )
+    ladders = [F.sort_array(F.arrays_zip(F.col(f"seen.{b}").alias("value"), F.col("seen.day").alias("day"))).alias(f"_{b}") for b in bands]
+    each = beside.select("patch_id", "pixel_id", "chunks", *ladders, "asked").select("*", F.explode("asked").alias(anchor)).drop("asked")
+
+    def inside(band: str, span: tuple[int, int]) -> Column:
+        since, until = F.date_add(anchor, span[0]), F.date_add(anchor, span[1])
+        return F.filter(f"_{band}", lambda x: x["day"].between(since, until) & x["value"].isNotNull())
+
+    names = [f"{s}_{b}" for s in spans for b in bands]
+    keys = ["patch_id", anchor, "pixel_id"]
+    kept = each.select(*keys, "chunks", *[inside(b, spans[s]).alias(f"{s}_{b}") for s in spans for b in bands])
+    values = kept.select(*keys, "chunks", *[F.col(n)["value"].alias(n) for n in names])
+    middles = [((_middle(F.col(n)["value"])[0] + _middle(F.col(n)["value"])[1]) / 2).alias(n) for n in names]
+    crowded = _merged_medians(values.filter("chunks > 1"), keys, names)
+    seen = []
+    if last_seen is not None:
+        days = [F.array_max(F.col(n)["day"]) for n in names]
+        latest = (F.greatest(*days) if len(days) > 1 else days[0]).alias(last_seen)
+        middles.append(latest)
+        seen = [F.max(last_seen).alias(last_seen)]
+        crowded = crowded.join(kept.filter("chunks > 1").select(*keys, latest).groupBy(*keys).agg(*seen), keys, "left")
+    medians = kept.filter("chunks = 1").select(*keys, *middles).unionByName(crowded)
+    return medians.groupBy("patch_id", anchor).agg(*[F.avg(n).alias(n) for n in names], *seen)
+
+
+def _latest(df: DataFrame, out: str | None, *names: str) -> DataFrame:
+    """Put the latest of the ``names`` days into ``out``, and take them away."""
+    return df.withColumn(out, F.greatest(*names)).drop(*names) if out else df
+
+
+def optical_medians(
+    keys: DataFrame, observations: DataFrame, bands: Sequence[str], *, lookback_days: int, prefix: str = "optical",
+    ends: int = 0, last_seen: str | None = None, chunk_rows: int = CHUNK_ROWS,
+) -> DataFrame:
+    """Look-back medians alone, of keys that have any."""
+    means = median_over_spans(keys, observations, bands, {"past": (-lookback_days, ends)}, chunk_rows=chunk_rows, last_seen=last_seen)
+    return means.withColumnsRenamed({f"past_{b}": f"{prefix}_{b}_mean_l{lookback_days}d" for b in bands})
 
 
 def median_composite(
@@ -89,14 +140,17 @@ def median_composite(
     lookback_days: int,
     prefix: str = "optical",
     count_name: str = "optical_s2_observation_count",
+    ends: int = 0,
     last_seen: str | None = None,
-    hot_rows: int | None = HOT_ROWS,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Optical look-back composite; windows without images keep NULL bands and count 0.0."""
-    means = median_over_spans(spine, observations, bands, {"past": (-lookback_days, 0)}, hot_rows=hot_rows)
-    named = means.select(*KEYS, *[F.col(f"past_{b}").alias(f"{prefix}_{b}_mean_l{lookback_days}d") for b in bands])
-    counted = image_counts(spine, observations, lookback_days=lookback_days, out=count_name, last_seen=last_seen)
-    return counted.join(named, KEYS, "left")
+    images, values = ("_seen_images", "_seen_values") if last_seen else (None, None)
+    named = optical_medians(
+        spine.select(*KEYS), observations, bands, lookback_days=lookback_days, prefix=prefix, ends=ends, last_seen=values, chunk_rows=chunk_rows
+    )
+    images_of = image_counts(spine, observations, lookback_days=lookback_days, out=count_name, ends=ends, last_seen=images)
+    return _latest(images_of.join(named, KEYS, "left"), last_seen, *([images, values] if last_seen else []))
 
 
 def mean_composite(
@@ -108,28 +162,43 @@ def mean_composite(
     name: str = "weather_{field}_mean_l{days}d",
     count_name: str = "weather_era5_obs_count",
     entity: str = "patch_id",
+    ends: int = 0,
+    last_seen: str | None = None,
 ) -> DataFrame:
-    """Mean over time per pixel, then mean over pixels; pixels weigh the same.
+    """Mean over time per pixel, then mean over pixels; pixels weigh the same. The look-back is [ref - L, ref + ends].
+
+    ``last_seen`` adds the latest observation day that a mean or the image count used.
 
     Sums and counts per pixel and day are taken first, so a pixel with a huge number
     of observations is one row per day from there on.
     """
     keys = [entity, "reference_date"]
-    parts = [f"_{part}_{f}" for f in fields for part in ("s", "n")]
     per_day = observations.groupBy(entity, "pixel_id", "obs_date").agg(
         *[F.sum(f).alias(f"_s_{f}") for f in fields], *[F.count(f).alias(f"_n_{f}") for f in fields]
     )
-    pixel = pixel_spans(spine, per_day, {"past": (-lookback_days, 0)}, {p: F.sum for p in parts}, entity=entity).select(
-        *keys, *[F.try_divide(f"past__s_{f}", f"past__n_{f}").alias(f) for f in fields]
-    )
+    parts = [f"_{part}_{f}" for f in fields for part in ("s", "n")]
+    beside = pixel_stretches(spine, per_day, parts, first=-lookback_days, last=ends, entity=entity)
+    each = beside.select(entity, "seen", F.explode("asked").alias("reference_date"))
+    since, until = F.date_add("reference_date", -lookback_days), F.date_add("reference_date", ends)
+    inside = F.filter("seen", lambda x: x["day"].between(since, until))
+    each = each.select(*keys, inside.alias("seen"))
+
+    def total(part: str) -> Column:
+        return F.aggregate(F.col(f"seen.{part}"), F.lit(0.0), lambda sum, x: sum + F.coalesce(x, F.lit(0.0)))
+
+    ratios = [F.when(total(f"_n_{f}") > 0, total(f"_s_{f}") / total(f"_n_{f}")).alias(f) for f in fields]
+    pixel = each.select(*keys, *ratios, *([F.array_max("seen.day").alias("_day")] if last_seen else []))
     means = pixel.groupBy(*keys).agg(
-        *[F.avg(f).alias(name.format(field=f, days=lookback_days)) for f in fields]
+        *[F.avg(f).alias(name.format(field=f, days=lookback_days)) for f in fields], *([F.max("_day").alias("_seen_values")] if last_seen else [])
     )
-    counted = image_counts(spine, observations, lookback_days=lookback_days, out=count_name, entity=entity)
-    return counted.join(means, keys, "left")
+    images = "_seen_images" if last_seen else None
+    images_of = image_counts(spine, observations, lookback_days=lookback_days, out=count_name, entity=entity, ends=ends, last_seen=images)
+    return _latest(images_of.join(means, keys, "left"), last_seen, *([images, "_seen_values"] if last_seen else []))
 
 
-def cloud_probability(spine: DataFrame, observations: DataFrame, *, lookback_days: int, band: str = "probability") -> DataFrame:
+def cloud_probability(
+    spine: DataFrame, observations: DataFrame, *, lookback_days: int, band: str = "probability", **reach
+) -> DataFrame:
     return mean_composite(
         spine,
         observations.withColumnRenamed(band, "probability"),
@@ -137,11 +206,12 @@ def cloud_probability(spine: DataFrame, observations: DataFrame, *, lookback_day
         lookback_days=lookback_days,
         name="optical_cloud_{field}_mean_l{days}d",
         count_name="optical_cloud_probability_obs_count",
+        **reach,
     )
 
 
 def cloud_score(
-    spine: DataFrame, observations: DataFrame, *, lookback_days: int, fields: Sequence[str] = ("cs", "cs_cdf")
+    spine: DataFrame, observations: DataFrame, *, lookback_days: int, fields: Sequence[str] = ("cs", "cs_cdf"), **reach
 ) -> DataFrame:
     """Clear-score means; a field the observations lack comes out NULL."""
     for f in fields:
@@ -154,6 +224,7 @@ def cloud_score(
         lookback_days=lookback_days,
         name="optical_cloudscore_{field}_mean_l{days}d",
         count_name="optical_cloudscore_obs_count",
+        **reach,
     )
 
 
@@ -162,6 +233,32 @@ def terrain_means(terrain: DataFrame, bands: Sequence[str] = ("elevation",)) ->
     return terrain.groupBy("patch_id").agg(*[F.avg(b).alias(f"terrain_{b}_mean") for b in bands])
 
 
+def event_spans(
+    fires: DataFrame,
+    *,
+    window: tuple[int, int],
+    past: str,
+    horizons: Sequence[int] = HORIZONS,
+    threshold: int = FIRE_THRESHOLD,
+    mask: str = "fire_mask",
+    last_seen: str | None = None,
+) -> tuple[Daily, dict[str, Span]]:
+    """Source and spans of the past count and the nested future counts of fire pixels.
+
+    ``last_seen`` is the latest observation day in the very frame of the past count.
+    """
+    spans: dict[str, Span] = {past: ("hits", "sum", *window)}
+    spans |= {f"viirs_future_fire_count_{h}d": ("hits", "sum", 1, h) for h in horizons}
+    daily = {"hits": F.count_if(F.col(mask) >= threshold)}
+    if last_seen is not None:
+        daily["fire_at"] = F.max("obs_date")
+        spans[last_seen] = ("fire_at", "max", *window)
+    else:
+        # only fires matter: the filter reaches the scan
+        fires = fires.filter(F.col(mask) >= threshold)
+    return Daily(fires, daily), spans
+
+
 def past_future_event_counts(
     spine: DataFrame,
     fires: DataFrame,
@@ -170,6 +267,7 @@ def past_future_event_counts(
     horizons: Sequence[int] = HORIZONS,
     threshold: int = FIRE_THRESHOLD,
     mask: str = "fire_mask",
+    ends: int = 0,
     last_seen: str | None = None,
 ) -> DataFrame:
     """Past count and nested future counts of fire pixels, all from one window pass.
@@ -178,36 +276,32 @@ def past_future_event_counts(
     the look-back span, which the leakage check compares with the reference date.
     """
     past = f"temporal_fire_past_count_l{lookback_days}d"
-    spans = {past: ("hits", "sum", -lookback_days, 0)}
-    spans |= {f"viirs_future_fire_count_{h}d": ("hits", "sum", 1, h) for h in horizons}
-    daily = {"hits": F.count_if(F.col(mask) >= threshold)}
-    counts = list(spans)
-    if last_seen is not None:
-        daily["seen"] = F.max("obs_date")
-        spans[last_seen] = ("seen", "max", -lookback_days, 0)
-    else:
-        # only fires matter: the filter reaches the scan
-        fires = fires.filter(F.col(mask) >= threshold)
-    rolled = span_rollup(spine, fires, daily=daily, spans=spans)
-    return rolled.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("double") for c in counts})
+    source, spans = event_spans(
+        fires, window=(-lookback_days, ends), past=past, horizons=horizons, threshold=threshold, mask=mask, last_seen=last_seen
+    )
+    return counted(span_rollups(spine, [source], spans), *[c for c in spans if c != last_seen])
 
 
-def burn_date(spine: DataFrame, burns: DataFrame, *, horizon_days: int = 60, slack_days: int = 31) -> DataFrame:
-    """Latest burn day-of-year among images dated [ref+1, ref+H+31), set in the year of ref+1.
+def burn_spans(burns: DataFrame, *, out: str, horizon_days: int = 60, slack_days: int = 31) -> tuple[Daily, dict[str, Span]]:
+    """Source and span of the latest burn day-of-year among images dated [ref+1, ref+H+31)."""
+    return Daily(burns, {"doy": F.max("burn_doy")}, "image_date"), {out: ("doy", "max", 1, horizon_days + slack_days - 1)}
+
+
+def with_burn_date(rolled: DataFrame, doy: str) -> DataFrame:
+    """Replace the day-of-year by a date in the year of ref+1; without a positive one it is NULL.
 
     Kept as is: the year is that of the window start, so a burn after New Year
-    lands a year early. Rows without a positive day-of-year get NULL.
+    lands a year early.
     """
-    rolled = span_rollup(
-        spine,
-        burns,
-        daily={"doy": F.max("burn_doy")},
-        spans={"_doy": ("doy", "max", 1, horizon_days + slack_days - 1)},
-        day="image_date",
-    )
     start_year = F.trunc(F.date_add("reference_date", 1), "year")
-    day = F.col("_doy").cast("int")
-    return rolled.withColumn("burn_date", F.when(day > 0, F.date_add(start_year, day - 1))).drop("_doy")
+    day = F.col(doy).cast("int")
+    return rolled.withColumn("burn_date", F.when(day > 0, F.date_add(start_year, day - 1))).drop(doy)
+
+
+def burn_date(spine: DataFrame, burns: DataFrame, *, horizon_days: int = 60, slack_days: int = 31) -> DataFrame:
+    """Date of the latest burn after each reference date; see ``with_burn_date``."""
+    source, spans = burn_spans(burns, out="_doy", horizon_days=horizon_days, slack_days=slack_days)
+    return with_burn_date(span_rollups(spine, [source], spans), "_doy")
 
 
 def pre_post_composites(
@@ -218,16 +312,16 @@ def pre_post_composites(
     swir2: str = "b12",
     prefire_days: int = PREFIRE_DAYS,
     postfire: tuple[int, int] = (POSTFIRE_START, POSTFIRE_END),
-    hot_rows: int | None = HOT_ROWS,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Composites before and after each burn, with burn ratios and their difference.
 
     Many reference dates share a burn, so medians are taken once per patch and
-    burn date; both windows are frames of one pass.
+    burn date, both windows from the same arrays.
     """
     anchors = burned.filter("burn_date is not null").select("patch_id", "burn_date").distinct()
     spans = {"pre": (-prefire_days, -1), "post": postfire}
-    medians = median_over_spans(anchors, observations, [nir, swir2], spans, anchor="burn_date", hot_rows=hot_rows)
+    medians = median_over_spans(anchors, observations, [nir, swir2], spans, anchor="burn_date", chunk_rows=chunk_rows)
     wide = medians.withColumnsRenamed(
         {
             f"pre_{nir}": "prefire_nir_mean",

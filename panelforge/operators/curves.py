@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bins import edges_at_or_below, uniform_edges
 from .keys import KEYS
-from .metrics import GROUP, bin_stats, ladder_metrics, score_ladder, unpivot_scores, with_model
+from .metrics import GROUP, bin_stats, ladder_metrics, score_counts, score_ladder, unpivot_scores, with_model
 from .ordered import running_sums, tie_digest
 
 TRADEOFF_STEPS = 99
@@ -29,7 +29,7 @@ def roc_curve(df: DataFrame, *, drop_collinear: bool = True) -> DataFrame:
     those whose next rung adds the same positives and negatives. The first and last
     rung always stay. Models with one class give no rows.
     """
-    ladder = score_ladder(unpivot_scores(df), lead=True).filter(_both_classes())
+    ladder = score_ladder(score_counts(unpivot_scores(df)), lead=True).filter(_both_classes())
     area = ladder_metrics(ladder).select(*GROUP, F.col("roc_auc").alias("metric"))
     if drop_collinear:
         is_first = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
@@ -48,7 +48,7 @@ def roc_curve(df: DataFrame, *, drop_collinear: bool = True) -> DataFrame:
 
 def pr_curve(df: DataFrame) -> DataFrame:
     """Recall/precision per distinct score, ending at (0, 1) with a NULL threshold."""
-    ladder = score_ladder(unpivot_scores(df)).filter(_both_classes())
+    ladder = score_ladder(score_counts(unpivot_scores(df))).filter(_both_classes())
     area = ladder_metrics(ladder).select(*GROUP, F.col("pr_trapezoid").alias("metric"))
     points = ladder.select(
         *GROUP,

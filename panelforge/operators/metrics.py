@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 from ..functions.bins import uniform_bin
 from ..functions.labels import clip
 from ..functions.missing import nan_to_null
+from ..session import staged
 from .keys import KEYS
-from .ordered import running_sums, top_k
+from .ordered import first_hits, running_sums, tie_digest
 from .splits import has_prefix
 
 SCORES = {"raw": "y_prob", "calibrated": "y_prob_calibrated"}
 DEFAULT_TOP_K = (100, 500)  # fixed values
+RISK_SUBSET = "severity_available_intersection"  # fixed value
 GROUP = ["model", "score"]
 
 
@@ -49,22 +51,27 @@ def unpivot_scores(df: DataFrame) -> DataFrame:
     return long.withColumn("y_score", nan_to_null(F.col("y_score"))).filter(F.col("y_score").isNotNull())
 
 
-def score_ladder(long: DataFrame, *, lead: bool = False, slices: int | None = None) -> DataFrame:
-    """Distinct scores in descending order with running true and false positives.
-
-    Columns: ``y_score, pos, neg, tp, fp, n_pos, n_neg`` (and ``next_pos/next_neg``).
-    """
+def score_counts(long: DataFrame) -> DataFrame:
+    """Positives and negatives per model and distinct score, as a written table that all else reads."""
     counted = long.groupBy(*GROUP, "y_score").agg(
         F.count_if(F.col("y_true") == 1).alias("pos"), F.count_if(F.col("y_true") != 1).alias("neg")
     )
+    return staged(counted, "scores")
+
+
+def score_ladder(counts: DataFrame, *, lead: bool = False, slices: int | None = None) -> DataFrame:
+    """Distinct scores in descending order with running true and false positives, from ``score_counts``.
+
+    Columns: ``y_score, pos, neg, tp, fp, n_pos, n_neg`` (and ``next_pos/next_neg``). Every
+    distinct score is one row of work, so the cut points are quantiles of distinct scores.
+    """
     sums = running_sums(
-        counted,
+        counts,
         by=GROUP,
         value="y_score",
         sums=["pos", "neg"],
         lead=["pos", "neg"] if lead else [],
         slices=slices,
-        cuts_from=long,
     )
     renamed = {"cum_pos": "tp", "cum_neg": "fp", "total_pos": "n_pos", "total_neg": "n_neg"}
     return sums.withColumnsRenamed(renamed)
@@ -91,7 +98,7 @@ def ladder_metrics(ladder: DataFrame, bins: int = 10) -> DataFrame:
         F.sum(pos * ((n_neg - fp) + 0.5 * neg)).alias("pairs"),
         F.sum(gained * precision).alias("ap"),
         F.sum(gained * (precision + before) / 2).alias("pr_area"),
-        F.max(F.struct(rung_f1.alias("f1"), (-F.col("y_score")).alias("minus_t"))).alias("best"),
+        F.max(rung_f1).alias("best"),
         F.sum(count).alias("n"),
         F.sum("pos").alias("hits"),
         F.sum(F.col("y_score") * count).alias("mass"),
@@ -113,6 +120,9 @@ def ladder_metrics(ladder: DataFrame, bins: int = 10) -> DataFrame:
         F.max("n_pos").alias("n_pos"),
         F.max("n_neg").alias("n_neg"),
     )
+    # the lowest of the thresholds that reach the best F1
+    rungs = ladder.select(*GROUP, "y_score", rung_f1.alias("best")).join(out.select(*GROUP, "best"), [*GROUP, "best"])
+    out = out.join(rungs.groupBy(*GROUP).agg(F.min("y_score").alias("best_at")), GROUP)
     both = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
     area = F.try_divide("pairs", F.col("n_pos").cast("double") * F.col("n_neg").cast("double"))
     return out.select(
@@ -123,14 +133,14 @@ def ladder_metrics(ladder: DataFrame, bins: int = 10) -> DataFrame:
         F.when(both, F.col("ap")).alias("pr_auc"),
         F.when(both, F.col("pr_area")).alias("pr_trapezoid"),
         (F.col("gap") / F.col("n")).alias("ece"),
-        F.when(both, -F.col("best.minus_t")).otherwise(0.5).alias("best_threshold"),
-        F.when(both, F.col("best.f1")).otherwise(0.0).alias("best_f1"),
+        F.when(both, F.col("best_at")).otherwise(0.5).alias("best_threshold"),
+        F.when(both, F.col("best")).otherwise(0.0).alias("best_f1"),
         f1(F.col("tp_half"), F.col("alerts_half"), F.col("n_pos")).alias("f1_half"),
     )
 
 
 def _ranked(df: DataFrame, bins: int = 10) -> DataFrame:
-    return ladder_metrics(score_ladder(unpivot_scores(df)), bins)
+    return ladder_metrics(score_ladder(score_counts(unpivot_scores(df))), bins)
 
 
 def roc_auc(df: DataFrame) -> DataFrame:
@@ -170,6 +180,40 @@ def best_f1_threshold(df: DataFrame) -> DataFrame:
     return _ranked(df).select(*GROUP, "best_threshold", "best_f1")
 
 
+def topk_hits(rows: DataFrame, ladder: DataFrame, ks: Sequence[int], *, by: Sequence[str]) -> DataFrame:
+    """Positives among the k best scores, in columns ``caught_<k>``, for any k.
+
+    ``ladder`` has a row per group and distinct score with ``pos``, ``neg`` and their running sums ``tp``, ``fp``: all
+    scores above the one where the count crosses k are settled by it. Of ``rows`` (``score``, ``hit``, ``digest``)
+    only those that share this score are looked at, in the order of the digest.
+    """
+    by = list(by)
+    upto, own = F.col("tp") + F.col("fp"), F.col("pos") + F.col("neg")
+    parts = []
+    for k in ks:
+        crosses = (upto > k) & (upto - own < k)
+        parts += [
+            F.coalesce(F.max(F.when(upto <= k, F.col("tp"))), F.lit(0)).alias(f"full_{k}"),
+            F.max(F.when(crosses, F.col("y_score"))).alias(f"edge_{k}"),
+            F.max(F.when(crosses, k - (upto - own))).alias(f"rest_{k}"),
+        ]
+    settled = ladder.groupBy(*by).agg(*parts)
+    edges = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"edge_{k}").alias("edge"), F.col(f"rest_{k}").alias("rest")) for k in ks])
+    edges = settled.select(*by, F.inline(edges)).filter("edge is not null")
+    ties = rows.join(edges.withColumnRenamed("edge", "score"), [*by, "score"])
+    found = first_hits(ties.select(*by, "k", "rest", "digest", "hit"), by=[*by, "k"])
+    wide = found.groupBy(*by).agg(*[F.sum(F.when(F.col("k") == k, F.col("hits"))).alias(f"tied_{k}") for k in ks])
+    return settled.join(wide, by, "left").select(
+        *by, *[(F.col(f"full_{k}") + F.coalesce(f"tied_{k}", F.lit(0))).alias(f"caught_{k}") for k in ks]
+    )
+
+
+def _hit_rows(df: DataFrame, score: str, by: Sequence[str]) -> DataFrame:
+    x = nan_to_null(F.col(score).cast("double")) + F.lit(0.0)
+    rows = df.select(*by, x.alias("score"), (F.col("y_true") > 0).cast("long").alias("hit"), tie_digest(KEYS).alias("digest"))
+    return rows.filter("score is not null")
+
+
 def topk_recall(
     df: DataFrame,
     ks: Sequence[int],
@@ -178,29 +222,30 @@ def topk_recall(
     by: Sequence[str] = ("model",),
     name: str = "topk_recall",
     extra: Sequence[Column] = (),
+    ladder: DataFrame | None = None,
 ) -> DataFrame:
     """Share of positives among the k best scores; ``k`` beyond the rows takes all rows.
 
-    Ties go by patch and date. No positives give 0.0. ``extra`` aggregates ride along
-    with the totals, in the same pass.
+    Ties go by a digest of patch and date. No positives give 0.0. ``extra`` aggregates ride along
+    with the totals, in the same pass. ``ladder`` may bring the score's ladder where there is one.
     """
     if min(ks) <= 0:
         raise ValueError("k must be positive")
     df = with_model(df)
     by = list(by)
-    hit = (F.col("y_true") > 0).cast("long")
-    order = [F.col(score).desc(), *[F.col(k).asc() for k in KEYS]]
-    best = top_k(
-        df.select(*by, *KEYS, score, hit.alias("hit")).filter(F.col(score).isNotNull()), max(ks), by=by, order=order, salt=KEYS
-    )
-    caught = best.groupBy(*by).agg(*[F.sum(F.when(F.col("rank") <= k, F.col("hit")).otherwise(0)).alias(f"_c{k}") for k in ks])
-    totals = df.groupBy(*by).agg(F.sum(hit).alias("_pos"), F.count("*").alias("_n"), *extra)
+    rows = _hit_rows(df, score, by)
+    if ladder is None:
+        counts = rows.groupBy(*by, F.col("score").alias("y_score")).agg(F.sum("hit").alias("pos"), F.sum(1 - F.col("hit")).alias("neg"))
+        sums = running_sums(staged(counts, "scores"), by=by, value="y_score", sums=["pos", "neg"])
+        ladder = sums.withColumnsRenamed({"cum_pos": "tp", "cum_neg": "fp"})
+    caught = topk_hits(rows, ladder, ks, by=by)
+    totals = df.groupBy(*by).agg(F.sum((F.col("y_true") > 0).cast("long")).alias("_pos"), F.count("*").alias("_n"), *extra)
     others = [c for c in totals.columns if c not in (*by, "_pos", "_n")]
     return totals.join(caught, by, "left").select(
         *by,
         F.col("_n").alias("n"),
         *others,
-        *[F.coalesce(F.try_divide(F.col(f"_c{k}"), F.col("_pos")), F.lit(0.0)).alias(f"{name}_{k}") for k in ks],
+        *[F.coalesce(F.try_divide(F.col(f"caught_{k}"), F.col("_pos")), F.lit(0.0)).alias(f"{name}_{k}") for k in ks],
     )
 
 
@@ -223,9 +268,11 @@ def evaluate_occurrence(df: DataFrame, *, bins: int = 10, topk: Sequence[int] |
         alert = F.col("y_prob_calibrated") >= F.col("occurrence_decision_threshold")
         counts |= {"n_tp_deployed": truth & alert, "n_deployed": alert}
         extra = [F.max("occurrence_decision_threshold").alias("deployment_threshold")]
-    base = topk_recall(df, ks, extra=[*[F.count_if(c).alias(n) for n, c in counts.items()], *extra])
+    rungs = score_ladder(score_counts(unpivot_scores(df)))
+    extra = [*[F.count_if(c).alias(n) for n, c in counts.items()], *extra]
+    base = topk_recall(df, ks, extra=extra, ladder=rungs.filter("score = 'raw'"))
 
-    ladder = _ranked(df, bins)
+    ladder = ladder_metrics(rungs, bins)
     raw = F.col("score") == "raw"
 
     def pick(column: str, out: str, kind: Column = raw) -> Column:
@@ -351,7 +398,11 @@ def risk_pairs(occ: DataFrame, sev: DataFrame) -> DataFrame:
 
 
 def evaluate_combined_risk(occ: DataFrame, sev: DataFrame, *, topk: Sequence[int] | None = None) -> DataFrame:
-    """Risk figures for every occurrence x severity model; pairs without common keys have n = 0."""
+    """Risk figures for every occurrence x severity model; pairs without common keys have n = 0.
+
+    Severity is predicted where it is available only, so the figures rank rows within that part; the
+    column ``combined_risk_subset`` says so.
+    """
     ks = list(topk or DEFAULT_TOP_K)
     by = ["occ_model", "sev_model"]
     if any(k not in sev.columns for k in KEYS):
@@ -382,6 +433,7 @@ def evaluate_combined_risk(occ: DataFrame, sev: DataFrame, *, topk: Sequence[int
         *by,
         F.lit("combined_risk").alias("task"),
         n.alias("combined_risk_n"),
+        F.when(n > 0, F.lit(RISK_SUBSET)).alias("combined_risk_subset"),
         "expected_risk_mean",
         "expected_risk_std",
         *[F.when(n >= k, F.col(f"combined_topk_recall_{k}")).alias(f"combined_topk_recall_{k}") for k in ks],

@@ -116,26 +116,31 @@ def running_sums(
     )
 
 
-def top_k(df: DataFrame, k: int, *, by: Sequence[str], order: Sequence[Column], salt: Sequence[str]) -> DataFrame:
-    """First k rows of each group, with ``rank``; at most k rows per salt meet in one task.
+DIGEST_LEVELS = (1, 4)  # ties are narrowed by three hex digits of their digest at each of these places
 
-    Up to k = 1000 Spark cuts each group to k rows before the shuffle. Beyond that it does
-    not, so the salts follow the shuffle partitions.
+
+def first_hits(rows: DataFrame, *, by: Sequence[str]) -> DataFrame:
+    """Sum of ``hit`` over the first ``rest`` rows of each group in the order of ``digest``: ``(*by, hits)``.
+
+    Counts per three hex digits tell which rows are in, which are out, and which few
+    share the digits where the count ends; only those go on. Last, at most a sixteen-millionth
+    of a group's rows (those of six equal digits) are put in order.
     """
-    if k <= 0:
-        raise ValueError("k must be positive")
-    by = list(by) or []
-    salts = 64 if k <= 1000 else max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*salt), F.lit(salts)))
-    local = Window.partitionBy(*by, "_salt").orderBy(*order)
-    final = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)
-    return (
-        salted.withColumn("_rn", F.row_number().over(local))
-        .filter(F.col("_rn") <= k)
-        .withColumn("rank", F.row_number().over(final))
-        .filter(F.col("rank") <= k)
-        .drop("_salt", "_rn")
-    )
+    by, found = list(by), None
+    for place in DIGEST_LEVELS:
+        part = rows.withColumn("_d", F.substring("digest", place, 3))
+        counts = part.groupBy(*by, "_d").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("h"), F.max("rest").alias("rest"))
+        upto = F.sum("n").over(Window.partitionBy(*by).orderBy("_d").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        placed = counts.withColumn("upto", upto)
+        inside = placed.filter(F.col("upto") <= F.col("rest")).select(*by, F.col("h").alias("hits"))
+        found = inside if found is None else found.unionByName(inside)
+        edge = placed.filter((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("n") < F.col("rest")))
+        edge = edge.select(*by, "_d", (F.col("rest") - F.col("upto") + F.col("n")).alias("_left"))
+        rows = part.join(edge, [*by, "_d"]).withColumn("rest", F.col("_left")).drop("_left")
+        rows = rows.withColumn("_in", F.concat(F.col("_in"), "_d") if "_in" in rows.columns else F.col("_d")).drop("_d")
+    number = F.row_number().over(Window.partitionBy(*by, "_in").orderBy("digest"))
+    last = rows.withColumn("_n", number).filter(F.col("_n") <= F.col("rest")).select(*by, F.col("hit").alias("hits"))
+    return found.unionByName(last).groupBy(*by).agg(F.sum("hits").alias("hits"))
 
 
 def melt(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -146,7 +151,7 @@ def melt(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataF
     return df.select(*by, F.inline(pairs)).filter(F.col("value").isNotNull())
 
 
-FEW_PROBS = 16
+FEW_PROBS = 16  # up to so many quantiles of whole columns are bracketed by a sketch first
 NARROW_ERROR = 1e-3
 ONE_SLICE_ROWS = 1_000_000  # below this a single slice per group is enough
 

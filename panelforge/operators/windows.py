@@ -2,20 +2,21 @@
 
 Three ways:
 
-* ``span_rollup`` for measures that can be summed or maximised per day first:
+* ``span_rollups`` for measures that can be summed or maximised per day first:
   observations shrink to one row per patch and day before the shuffle, then one
   range-framed window gives any number of look-back and future spans. No join,
   and no row is multiplied. A window group is bounded by the calendar (days of
   observations plus reference dates of one patch), whatever the raw row count.
-* ``pixel_spans`` for per-pixel aggregates: anchors are laid beside the rows of each
-  pixel, and range frames aggregate them. One shuffle; an observation is moved once,
+* ``pixel_stretches`` for per-pixel aggregates: a pixel's observations of two stretches
+  of time as one array, beside the anchors that see them. An observation is moved twice,
   not once per window that covers it (26 times for weekly dates and 180 days).
 * ``span_join`` where the pairs themselves are wanted: an equi join on patch and
   time bucket. Buckets are as wide as the span, so an anchor touches two at most
   and every observation has exactly one.
 """
 
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,27 +39,37 @@ def within_period(
     return observations.filter((F.col(day) >= low) & (F.col(day) <= high))
 
 
-def span_rollup(
+@dataclass(frozen=True)
+class Daily:
+    """Rows of one source and the aggregates that shrink them to one row per entity and day."""
+
+    events: DataFrame
+    measures: Mapping[str, Column]
+    day: str = "obs_date"
+
+
+Span = tuple[str, str, int | None, int | None]
+
+
+def span_rollups(
     spine: DataFrame,
-    events: DataFrame,
+    sources: Sequence[Daily],
+    spans: Mapping[str, Span],
     *,
-    daily: Mapping[str, Column],
-    spans: Mapping[str, tuple[str, str, int | None, int | None]],
-    day: str = "obs_date",
     entity: str = "patch_id",
     anchor: str = "reference_date",
 ) -> DataFrame:
-    """Aggregate events in day spans relative to every spine row.
+    """Aggregate the daily measures of several sources in day spans around every spine row, in one window.
 
-    ``daily`` names an aggregate per entity and day; ``spans`` maps an output
-    column to ``(daily measure, sum|max|min, first day, last day)`` with days
-    relative to the anchor, both included, None for unbounded. Sums over spans
-    without events are NULL; callers choose their own zero rule.
+    Measures must have different names. ``spans`` maps an output column to ``(daily measure,
+    sum|max|min, first day, last day)`` with days relative to the anchor, both included, None
+    for unbounded. Sums over spans without events are NULL; callers choose their own zero rule.
     """
-    per_day = events.groupBy(entity, F.col(day).alias("_day")).agg(*[c.alias(f"_m_{n}") for n, c in daily.items()])
-    rows = spine.select("*", F.col(anchor).alias("_day"), F.lit(True).alias("_spine")).unionByName(
-        per_day.withColumn("_spine", F.lit(False)), allowMissingColumns=True
-    )
+    rows = spine.select("*", F.col(anchor).alias("_day"), F.lit(True).alias("_spine"))
+    for source in sources:
+        measures = [c.alias(f"_m_{n}") for n, c in source.measures.items()]
+        per_day = source.events.groupBy(entity, F.col(source.day).alias("_day")).agg(*measures)
+        rows = rows.unionByName(per_day.withColumn("_spine", F.lit(False)), allowMissingColumns=True)
     by_day = Window.partitionBy(entity).orderBy(day_number(F.col("_day")))
 
     def frame(first: int | None, last: int | None):
@@ -71,6 +82,20 @@ def span_rollup(
     return rows.select(*spine.columns, "_spine", *outputs).filter("_spine").drop("_spine")
 
 
+def span_rollup(
+    spine: DataFrame,
+    events: DataFrame,
+    *,
+    daily: Mapping[str, Column],
+    spans: Mapping[str, Span],
+    day: str = "obs_date",
+    entity: str = "patch_id",
+    anchor: str = "reference_date",
+) -> DataFrame:
+    """``span_rollups`` of a single source."""
+    return span_rollups(spine, [Daily(events, daily, day)], spans, entity=entity, anchor=anchor)
+
+
 def span_join(
     anchors: DataFrame,
     observations: DataFrame,
@@ -95,97 +120,92 @@ def span_join(
     return left.join(right, [entity, "_bucket"]).filter(away.between(first, last)).drop("_bucket")
 
 
-def pixel_spans(
+def pixel_stretches(
     anchors: DataFrame,
     observations: DataFrame,
-    spans: Mapping[str, tuple[int, int]],
-    aggregates: Mapping[str, Callable[[str], Column]],
+    fields: Sequence[str],
     *,
+    first: int,
+    last: int,
     entity: str = "patch_id",
     anchor: str = "reference_date",
     day: str = "obs_date",
     pixel: str = "pixel_id",
+    within: Sequence[str] = (),
 ) -> DataFrame:
-    """Aggregates per anchor and pixel: ``(entity, anchor, pixel, <span>_<column>)``.
+    """Each pixel's observations beside the anchors that see them ``first..last`` days away.
 
-    ``spans`` names day ranges relative to the anchor, ``aggregates`` maps observation
-    columns to an aggregate of that column. Anchors too far from a pixel's first and
-    last observation to see any are left out.
+    Time is cut into stretches as long as the span, so an anchor's span lies in the stretch where it begins and the
+    next one. A row ``(entity, pixel, *within, seen, asked)`` holds what was observed in such a pair of
+    stretches (``seen``: the day and the fields) and the anchors whose span begins in the first (``asked``). An
+    observation is moved twice, whatever the number of anchors that see it; pixels without observations in a pair
+    have no row. ``within`` columns split a pixel's observations further.
     """
-    low, high = min(a for a, _ in spans.values()), max(z for _, z in spans.values())
-    life = observations.groupBy(entity, pixel).agg(F.min(day).alias("_first"), F.max(day).alias("_last"))
-    at = F.col(anchor)
-    asked = (
-        anchors.select(entity, anchor)
-        .join(life, entity)
-        .filter((F.date_add(at, high) >= F.col("_first")) & (F.date_add(at, low) <= F.col("_last")))
-        .select(entity, pixel, anchor, at.alias("_day"), F.lit(True).alias("_spine"))
-    )
-    seen = observations.select(entity, pixel, F.col(day).alias("_day"), *aggregates, F.lit(False).alias("_spine"))
-    by_day = Window.partitionBy(entity, pixel).orderBy(day_number(F.col("_day")))
-    outputs = [
-        aggregate(c).over(by_day.rangeBetween(a, z)).alias(f"{name}_{c}")
-        for name, (a, z) in spans.items()
-        for c, aggregate in aggregates.items()
-    ]
-    rows = asked.unionByName(seen, allowMissingColumns=True)
-    return rows.select(entity, anchor, pixel, "_spine", *outputs).filter("_spine").drop("_spine")
-
-
-def lookback_join(anchors: DataFrame, observations: DataFrame, *, lookback_days: int, **names: str) -> DataFrame:
-    """Pairs with observations dated in [ref - L, ref]."""
-    return span_join(anchors, observations, first=-lookback_days, last=0, **names)
-
-
-def future_join(anchors: DataFrame, observations: DataFrame, *, horizon_days: int, **names: str) -> DataFrame:
-    """Pairs with observations dated in [ref + 1, ref + H]."""
-    return span_join(anchors, observations, first=1, last=horizon_days, **names)
+    width = last - first + 1
+    own = F.floor(day_number(F.col(day)) / width)
+    rows = observations.select(entity, pixel, *within, F.struct(F.col(day).alias("day"), *fields).alias("_row"), F.explode(F.array(own - 1, own)).alias("_pair"))
+    seen = rows.groupBy(entity, pixel, *within, "_pair").agg(F.collect_list("_row").alias("seen"))
+    begins = F.floor((day_number(F.col(anchor)) + first) / width)
+    asked = anchors.groupBy(entity, begins.alias("_pair")).agg(F.collect_set(anchor).alias("asked"))
+    return seen.join(asked, [entity, "_pair"]).drop("_pair")
 
 
-def image_counts(
-    spine: DataFrame,
+def image_spans(
     observations: DataFrame,
     *,
-    lookback_days: int,
+    window: tuple[int, int],
     out: str,
+    last_seen: str | None = None,
     entity: str = "patch_id",
-    anchor: str = "reference_date",
     day: str = "obs_date",
     image: str = "image_id",
-    last_seen: str | None = None,
-) -> DataFrame:
-    """Distinct images in [ref - L, ref] as a double, 0.0 when none.
+    prefix: str = "image",
+) -> tuple[Daily, dict[str, Span]]:
+    """Source and spans that count distinct images whose day lies in ``window`` around an anchor.
 
-    An image dated d counts for anchors d .. d+L, but only up to the day before
-    its next date, so that it counts once. Each dated image thus adds one at the
+    An image dated d counts for anchors d - last .. d - first, but only up to the day before
+    its next date would count, so that it counts once. Each dated image thus adds one at the
     start of an interval and takes it back after the end; per-day sums of these
     steps and one running sum give exact distinct counts without a range join.
-    ``last_seen`` adds the latest observation day inside the window.
+    ``last_seen`` adds the latest image day that the window really reached.
     """
+    first, last = window
     dated = observations.select(entity, image, day).distinct()
     following = F.lead(day).over(Window.partitionBy(entity, image).orderBy(day))
-    until = F.least(F.date_add(F.col(day), lookback_days + 1), F.coalesce(following, F.lit("9999-12-31").cast("date")))
-    steps = dated.select(entity, F.col(day).alias("_start"), until.alias("_end")).select(
+    until = F.least(F.date_add(F.col(day), 1 - first), F.coalesce(F.date_add(following, -last), F.lit("9999-12-31").cast("date")))
+    steps = dated.select(entity, F.col(day).alias("_at"), F.date_add(F.col(day), -last).alias("_start"), until.alias("_end")).select(
         entity,
         F.inline(
             F.array(
-                F.struct(F.col("_start").alias("obs_date"), F.lit(1).alias("step")),
-                F.struct(F.col("_end").alias("obs_date"), F.lit(-1).alias("step")),
+                F.struct(F.col("_start").alias("obs_date"), F.lit(1).alias("step"), F.col("_at").alias("at")),
+                F.struct(F.col("_end").alias("obs_date"), F.lit(-1).alias("step"), F.lit(None).cast("date").alias("at")),
             )
         ),
     )
-    daily = {"step": F.sum("step")}
-    spans = {out: ("step", "sum", None, 0)}
+    measures = {f"{prefix}_step": F.sum("step")}
+    spans: dict[str, Span] = {out: (f"{prefix}_step", "sum", None, 0)}
     if last_seen:
-        daily["seen"] = F.max(F.when(F.col("step") > 0, F.col("obs_date")))
-        spans[last_seen] = ("seen", "max", -lookback_days, 0)
-    counted = span_rollup(
-        spine,
-        steps,
-        daily=daily,
-        spans=spans,
-        entity=entity,
-        anchor=anchor,
-    )
-    return counted.withColumn(out, F.coalesce(F.col(out), F.lit(0)).cast("double"))
+        measures[f"{prefix}_at"] = F.max("at")
+        spans[last_seen] = (f"{prefix}_at", "max", first - last, 0)
+    return Daily(steps, measures), spans
+
 
+def counted(df: DataFrame, *names: str) -> DataFrame:
+    """Counts as doubles, 0.0 where nothing was counted."""
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("double") for c in names})
+
+
+def image_counts(
+    spine: DataFrame,
+    observations: DataFrame,
+    *,
+    lookback_days: int,
+    out: str,
+    entity: str = "patch_id",
+    anchor: str = "reference_date",
+    ends: int = 0,
+    last_seen: str | None = None,
+) -> DataFrame:
+    """Distinct images in [ref - L, ref + ends] as a double, 0.0 when none."""
+    source, spans = image_spans(observations, window=(-lookback_days, ends), out=out, last_seen=last_seen, entity=entity)
+    return counted(span_rollups(spine, [source], spans, entity=entity, anchor=anchor), out)

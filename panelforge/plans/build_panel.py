@@ -10,7 +10,7 @@ from ..operators.features import rolling_stats, spectral_indices
 from ..operators.keys import KEYS, finish_keys
 from ..operators.labels import occurrence_labels, severity_labels
 from ..operators.lookups import static_join
-from ..operators.windows import within_period
+from ..operators.windows import Daily, Span, counted, image_spans, span_rollups, within_period
 
 
 def build_panel(
@@ -22,69 +22,96 @@ def build_panel(
     weather: Sequence[str] = ("temperature_2m", "total_precipitation_sum"),
     weather_cell: str = "patch_id",
     period: tuple[str, str] | None = None,
-    hot_rows: int | None = comp.HOT_ROWS,
+    chunk_rows: int = comp.CHUNK_ROWS,
+    ends: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """Canonical panel of a spine from the sources that are given.
 
     Sources: ``viirs_active_fire``, ``sentinel2_sr``, ``sentinel2_cloud_probability``,
     ``cloud_score_plus``, ``era5_land_daily``, ``srtm``, ``burn_severity`` (burn rows;
-    its bands come from ``sentinel2_sr``). The latest observation day that a look-back
-    summary used becomes ``feature_max_timestamp``, so the leakage check has something to test.
-    ``period`` gives the first and last reference date where they are known, so that scans
-    skip observations no window can reach.
+    its bands come from ``sentinel2_sr``). ``period`` gives the first and last reference date where they
+    are known, so that scans skip observations no window can reach. ``ends`` moves the end of a
+    source's look-back by days; beyond 0 it looks ahead.
+
+    The latest day of any observation that a look-back summary really used becomes ``feature_max_timestamp``: each source
+    carries it through the window of its own summary, so the leakage check finds a window that reaches too far.
+
+    Counts, images and burns of all sources are rolled up in one window over keys; summaries are
+    made on keys alone and meet once, before the row's other columns join.
     """
+    ends = dict(ends or {})
+    needs = {"burn_severity": "sentinel2_sr"}
+    for name, other in needs.items():
+        if name in sources and other not in sources:
+            raise ValueError(f"source {name} needs {other}, which holds its bands")
     if period is not None:
-        sources = _in_period(sources, period, lookback_days)
-    out = spine
-    seen = []
+        sources = _in_period(sources, period, lookback_days, max([0, *ends.values()]))
+    keys = spine.select(*KEYS)
+    parts: list[Daily] = []
+    spans: dict[str, Span] = {}
+    counts, seen, tables = [], [], []
+
+    def roll(part: Daily, named: Mapping[str, Span], *numbers: str) -> None:
+        parts.append(part)
+        spans.update(named)
+        counts.extend(numbers)
+
+    def reach(name: str) -> dict:
+        seen.append(f"_seen_{name}")
+        return {"ends": ends.get(name, 0), "last_seen": seen[-1]}
+
     if "viirs_active_fire" in sources:
-        out = comp.past_future_event_counts(
-            out, sources["viirs_active_fire"], lookback_days=lookback_days, last_seen="_seen_fire"
-        )
-        seen.append("_seen_fire")
+        past, at = f"temporal_fire_past_count_l{lookback_days}d", reach("viirs_active_fire")
+        part, named = comp.event_spans(sources["viirs_active_fire"], window=(-lookback_days, at["ends"]), past=past, last_seen=at["last_seen"])
+        roll(part, named, *[n for n in named if n != at["last_seen"]])
     if "sentinel2_sr" in sources:
-        out = comp.median_composite(
-            out,
-            sources["sentinel2_sr"],
-            bands,
-            lookback_days=lookback_days,
-            last_seen="_seen_optical",
-            hot_rows=hot_rows,
-        )
-        seen.append("_seen_optical")
+        optical, at = sources["sentinel2_sr"], reach("sentinel2_sr")
+        seen.append("_seen_images")
+        window, count = (-lookback_days, at["ends"]), "optical_s2_observation_count"
+        roll(*image_spans(optical, window=window, out=count, last_seen="_seen_images"), count)
+        tables.append(comp.optical_medians(keys, optical, bands, lookback_days=lookback_days, chunk_rows=chunk_rows, **at))
+    if "burn_severity" in sources:
+        roll(*comp.burn_spans(sources["burn_severity"], out="_doy"))
     if "sentinel2_cloud_probability" in sources:
-        out = comp.cloud_probability(out, sources["sentinel2_cloud_probability"], lookback_days=lookback_days)
+        clouds = sources["sentinel2_cloud_probability"]
+        tables.append(comp.cloud_probability(keys, clouds, lookback_days=lookback_days, **reach("sentinel2_cloud_probability")))
     if "cloud_score_plus" in sources:
-        out = comp.cloud_score(out, sources["cloud_score_plus"], lookback_days=lookback_days)
+        tables.append(comp.cloud_score(keys, sources["cloud_score_plus"], lookback_days=lookback_days, **reach("cloud_score_plus")))
     if "era5_land_daily" in sources:
         # weather cells are coarser than patches: summarise each cell once, then look it up
-        cells = spine.select(weather_cell, "reference_date").distinct()
+        places = [weather_cell, "reference_date"]
+        cells = spine.select(*places).distinct()
         summary = comp.mean_composite(
-            cells, sources["era5_land_daily"], weather, lookback_days=lookback_days, entity=weather_cell
+            cells, sources["era5_land_daily"], weather, lookback_days=lookback_days, entity=weather_cell, **reach("era5_land_daily")
         )
-        out = out.join(summary, [weather_cell, "reference_date"], "left")
-    if "srtm" in sources:
-        out = static_join(out, comp.terrain_means(sources["srtm"]))
+        mine = spine.select(*dict.fromkeys([*KEYS, weather_cell])).join(summary, places, "left")
+        tables.append(mine if weather_cell == "patch_id" else mine.drop(weather_cell))
+    rolled = keys
+    if parts:
+        rolled = counted(span_rollups(keys, parts, spans), *counts)
     if "burn_severity" in sources:
-        burned = comp.burn_date(spine.select(*KEYS), sources["burn_severity"])
-        burned = comp.pre_post_composites(burned, sources["sentinel2_sr"], hot_rows=hot_rows)
-        out = out.join(burned, KEYS, "left")
+        burned = comp.with_burn_date(rolled, "_doy")
+        rolled = comp.pre_post_composites(burned, sources["sentinel2_sr"], chunk_rows=chunk_rows)
+    for table in tables:
+        rolled = rolled.join(table, KEYS, "left")
+    whole = static_join(spine, comp.terrain_means(sources["srtm"])) if "srtm" in sources else spine
+    out = whole.join(rolled, KEYS, "left") if parts or tables else whole
     latest = F.greatest(*[F.col(s) for s in seen]) if len(seen) > 1 else (F.col(seen[0]) if seen else F.lit(None))
     out = out.withColumn("feature_max_timestamp", F.coalesce(latest.cast("date"), F.col("reference_date"))).drop(*seen)
     out = severity_labels(occurrence_labels(out))
     return finish_keys(rolling_stats(spectral_indices(out)))
 
 
-def _in_period(sources: Mapping[str, DataFrame], period: tuple[str, str], lookback_days: int) -> dict[str, DataFrame]:
+def _in_period(sources: Mapping[str, DataFrame], period: tuple[str, str], lookback_days: int, ahead: int = 0) -> dict[str, DataFrame]:
     """Sources cut to the days their windows can reach. Optical rows also serve burns,
     whose date lies within a year of the window start, 90 days before to 120 after."""
     reach = {
-        "viirs_active_fire": ("obs_date", -lookback_days, max(comp.HORIZONS)),
-        "sentinel2_cloud_probability": ("obs_date", -lookback_days, 0),
-        "cloud_score_plus": ("obs_date", -lookback_days, 0),
-        "era5_land_daily": ("obs_date", -lookback_days, 0),
+        "viirs_active_fire": ("obs_date", -lookback_days, max(*comp.HORIZONS, ahead)),
+        "sentinel2_cloud_probability": ("obs_date", -lookback_days, ahead),
+        "cloud_score_plus": ("obs_date", -lookback_days, ahead),
+        "era5_land_daily": ("obs_date", -lookback_days, ahead),
         "burn_severity": ("image_date", 1, 90),
-        "sentinel2_sr": ("obs_date", -lookback_days, 0),
+        "sentinel2_sr": ("obs_date", -lookback_days, ahead),
     }
     if "burn_severity" in sources:
         longest = 366 + comp.PREFIRE_DAYS

@@ -197,9 +197,9 @@ def _(t: Tables) -> DataFrame:
     ),
 )
 def _(t: Tables) -> DataFrame:
-    # a low limit sends the busier pixels down the rank path
+    # a low limit cuts the busier pixels into chunks
     return rounded(
-        composites.median_composite(t.keys, t.sources["sentinel2_sr"], ["b8"], lookback_days=LOOKBACK, hot_rows=4), 6
+        composites.median_composite(t.keys, t.sources["sentinel2_sr"], ["b8"], lookback_days=LOOKBACK, chunk_rows=4), 6
     )
 
 
@@ -777,7 +777,7 @@ _ECE = f"""SELECT model, score, sum(abs(mean_prediction - observed_frequency) *
 _BEST = """SELECT model, score, y_score AS best_threshold, f1 AS best_f1 FROM (
     SELECT *, row_number() OVER (PARTITION BY model, score ORDER BY f1 DESC, y_score ASC) AS rn
     FROM (SELECT *, 2 * tp / (tp + fp + n_pos) AS f1 FROM ladder)) WHERE rn = 1"""
-_TOP = """SELECT model, {cols} FROM (SELECT model, y_true, row_number() OVER (PARTITION BY model ORDER BY y_prob DESC, patch_id, reference_date) AS rn,
+_TOP = """SELECT model, {cols} FROM (SELECT model, y_true, row_number() OVER (PARTITION BY model ORDER BY y_prob DESC, md5(patch_id || '|' || reference_date)) AS rn,
     CAST(sum(y_true) OVER (PARTITION BY model) AS DOUBLE) AS p FROM occurrence) GROUP BY model"""
 
 
@@ -927,10 +927,10 @@ _RISK = """(SELECT o.model AS occ_model, s.model AS sev_model, patch_id, referen
 @query(
     "evaluate_combined_risk",
     with_views(
-        f"""SELECT occ_model, sev_model, 'combined_risk' AS task, count(*) AS combined_risk_n, {rnd('avg(risk)')} AS expected_risk_mean,
+        f"""SELECT occ_model, sev_model, 'combined_risk' AS task, count(*) AS combined_risk_n, 'severity_available_intersection' AS combined_risk_subset, {rnd('avg(risk)')} AS expected_risk_mean,
           {rnd('stddev_pop(risk)')} AS expected_risk_std,
           {', '.join(f'''{rnd(f'CASE WHEN count(*) >= {k} THEN sum(y_true) FILTER (WHERE rn <= {k}) * 1e0 / sum(y_true) END')} AS combined_topk_recall_{k}''' for k in (100, 500))}
-        FROM (SELECT *, row_number() OVER (PARTITION BY occ_model, sev_model ORDER BY risk DESC, patch_id, reference_date) AS rn FROM {_RISK})
+        FROM (SELECT *, row_number() OVER (PARTITION BY occ_model, sev_model ORDER BY risk DESC, md5(patch_id || '|' || reference_date)) AS rn FROM {_RISK})
         GROUP BY occ_model, sev_model""",
         "occurrence",
         "severity_reg",

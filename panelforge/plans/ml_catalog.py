@@ -5,13 +5,14 @@ from pyspark.sql import functions as F
 
 from ..functions import normal
 from ..ml import fit as fitting
-from ..ml import score
+from ..ml import isotonic, score
 from ..ml.transformers import MedianImputer, QuantileNormalizer, Winsorizer
 from ..operators import splits
 from ..operators.keys import KEYS
+from ..session import staged
 from . import bindings as b
 from .bindings import Tables, rnd, rounded, with_views
-from .catalog import SPLIT_ENDS, SPLIT_SQL, query
+from .catalog import QUERIES, SPLIT_ENDS, SPLIT_SQL, query  # noqa: F401
 
 FEATURES = ["weather_balance", "optical_price", "terrain_prio"]
 FEW_TREES = {"n_estimators": 5, "max_depth": 3}
@@ -107,10 +108,29 @@ def _(t: Tables) -> DataFrame:
     return rounded(model.transform(panel).select(*KEYS, *_out("normal")), 6)
 
 
-@query("isotonic_calibrate")
+_ISOTONIC = f"""points AS (SELECT model, y_prob AS x, count(*) AS n, sum(y_true) AS s FROM occurrence
+      WHERE reference_date > DATE '{b.TRAIN_END}' AND reference_date <= DATE '{b.VAL_END}' GROUP BY ALL),
+    sums AS (SELECT model, x, row_number() OVER w AS k, sum(n) OVER w AS n, sum(s) OVER w AS s FROM points WINDOW w AS (PARTITION BY model ORDER BY x)),
+    starts AS (SELECT model, k, n, s FROM sums UNION ALL SELECT DISTINCT model, 0, 0, 0 FROM sums),
+    least_means AS (SELECT i.model, j.k, min((j.s - i.s) * 1e0 / (j.n - i.n)) OVER (PARTITION BY i.model, i.k ORDER BY j.k DESC) AS v
+      FROM starts i JOIN sums j ON i.model = j.model AND j.k > i.k),
+    steps AS (SELECT model, x, v FROM sums JOIN (SELECT model, k, max(v) AS v FROM least_means GROUP BY model, k) USING (model, k)),
+    found AS (SELECT t.*, p.x AS px, p.v AS pv FROM (SELECT * FROM occurrence WHERE reference_date > DATE '{b.VAL_END}' AND reference_date <= DATE '{b.TEST_END}') t
+      ASOF LEFT JOIN steps p ON t.model = p.model AND t.y_prob >= p.x)"""
+
+
+@query(
+    "isotonic_calibrate",
+    with_views("", "occurrence") + ", " + _ISOTONIC + f""" SELECT f.model, patch_id, reference_date, y_true, y_prob,
+      {rnd('CASE WHEN pv IS NULL THEN n.v WHEN n.v IS NULL OR px = y_prob THEN pv ELSE pv + (y_prob - px) / (n.x - px) * (n.v - pv) END')} AS y_prob_calibrated
+    FROM found f ASOF LEFT JOIN steps n ON f.model = n.model AND f.y_prob <= n.x""",
+)
 def _(t: Tables) -> DataFrame:
-    scored = t.occurrence.filter("model = 'price'").select(*KEYS, "y_true", "y_prob")
-    return fitting.apply_calibrator(fitting.fit_calibrator(scored), scored)
+    """Both models, fitted on the validation rows and applied to the test rows."""
+    split = splits.temporal_split(t.occurrence.select("model", *KEYS, "y_true", "y_prob"), **SPLIT_ENDS)
+    blocks = staged(isotonic.isotonic_blocks(split.filter("split = 'val'"), group="model"), "blocks")
+    out = isotonic.calibrated(split.filter("split = 'test'").drop("split"), blocks, group="model")
+    return out.withColumn("y_prob_calibrated", F.round("y_prob_calibrated", 9) + F.lit(0.0))
 
 
 @query(

@@ -1,10 +1,14 @@
 """Session settings this library is tuned for; callers may bring their own session."""
 
 import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _made: dict[str, str] = {}  # folders by application
+_shipped: set[str] = set()  # applications whose workers have this package
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -47,3 +51,24 @@ def shared_folder(spark: SparkSession) -> str:
     if app not in _made:
         _made[app] = tempfile.mkdtemp(prefix="panelforge-")
     return _made[app]
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/panelforge/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to Python workers, once per application; for the few operators that need them."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    top = Path(__file__).resolve().parent
+    file = Path(tempfile.mkdtemp(prefix="panelforge-code-")) / "panelforge_workers.zip"
+    with zipfile.ZipFile(file, "w") as z:
+        for source in sorted(top.rglob("*.py")):
+            z.write(source, source.relative_to(top.parent))
+    spark.sparkContext.addPyFile(str(file))

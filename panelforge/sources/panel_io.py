@@ -18,16 +18,25 @@ def read_panel(spark: SparkSession, path: str, schema: T.StructType | str | None
     return nulls_for_nans(reader.parquet(path))
 
 
-def write_panel(df: DataFrame, path: str, partition_cols: Sequence[str] | None = None, mode: str = "overwrite") -> None:
+def write_panel(
+    df: DataFrame,
+    path: str,
+    partition_cols: Sequence[str] | None = None,
+    mode: str = "overwrite",
+    *,
+    partitions_only: bool = False,
+) -> None:
     """Parquet, partitioned on request. Rebalancing gives each partition folder few,
-    even files: large ones are split, small ones merged, at run time."""
+    even files: large ones are split, small ones merged, at run time. With ``partitions_only``
+    overwriting replaces the partitions that ``df`` has rows of and leaves the others."""
     if not partition_cols:
         df.write.mode(mode).parquet(path)
         return
     missing = [c for c in partition_cols if c not in df.columns]
     if missing:
         raise ValueError(f"missing partition columns: {missing}")
-    df.hint("rebalance", *partition_cols).write.mode(mode).partitionBy(*partition_cols).parquet(path)
+    writer = df.hint("rebalance", *partition_cols).write.mode(mode).partitionBy(*partition_cols)
+    writer.option("partitionOverwriteMode", "dynamic" if partitions_only else "static").parquet(path)
 
 
 def validate_and_write(
@@ -39,6 +48,7 @@ def validate_and_write(
     leakage: bool = True,
     required: bool = True,
     mode: str = "overwrite",
+    partitions_only: bool = False,
 ) -> None:
     """Check the contract, then write; a broken panel leaves ``path`` as it was.
 
@@ -56,7 +66,7 @@ def validate_and_write(
             enforce_unique(staged)
         if leakage:
             enforce_no_leakage(staged)
-        write_panel(staged, path, partition_cols, mode)
+        write_panel(staged, path, partition_cols, mode, partitions_only=partitions_only)
     finally:
         where = spark._jvm.org.apache.hadoop.fs.Path(stage)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -1,3 +1,5 @@
+import datetime as dt
+import hashlib
 import math
 import random
 
@@ -79,7 +81,7 @@ def test_small_exact(spark):
 def test_ranked_metrics_against_brute_force(spark, digits):
     y, p = random_predictions(digits=digits)
     p[:5] = 1.0
-    row = metrics.ladder_metrics(metrics.score_ladder(metrics.unpivot_scores(frame(spark, y, p)), slices=7)).first()
+    row = metrics.ladder_metrics(metrics.score_ladder(metrics.score_counts(metrics.unpivot_scores(frame(spark, y, p))), slices=7)).first()
     step, area = brute_pr(y, p)
     assert row["roc_auc"] == pytest.approx(brute_auc(y, p))
     assert row["pr_auc"] == pytest.approx(step) and row["pr_trapezoid"] == pytest.approx(area)
@@ -129,6 +131,23 @@ def test_models_with_and_without_calibration_share_a_table(spark):
     assert risk == {"plain": pytest.approx(2 * p.mean()), "tuned": pytest.approx(p.mean())}
 
 
+@pytest.mark.parametrize("distinct", [1, 3, 1000])
+def test_topk_of_any_k_with_ties(spark, distinct):
+    """One score for all rows, a few scores, and many: every k from one to beyond the rows."""
+    rng = random.Random(distinct)
+    data = [(m, f"p{i % 37}", day("2020-01-01") + dt.timedelta(i), int(rng.random() < 0.3), rng.randrange(distinct) / distinct) for m in "ab" for i in range(700)]
+    data += [("a", "none", day("2020-01-01"), 1, None), ("a", "none", day("2020-01-02"), 1, float("nan"))]
+    df = spark.createDataFrame(data, "model string, patch_id string, reference_date date, y_true int, y_prob double")
+    ks = [1, 2, 5, 99, 350, 699, 700, 701, 1_000_000]
+    got = {r["model"]: r for r in metrics.topk_recall(df, ks).collect()}
+    for m in "ab":
+        mine = [r for r in data if r[0] == m]
+        fine = [r for r in mine if r[4] is not None and r[4] == r[4]]
+        order = sorted(fine, key=lambda r: (-r[4], hashlib.md5(f"{r[1]}|{r[2]}".encode()).hexdigest()))
+        for k in ks:
+            assert got[m][f"topk_recall_{k}"] == pytest.approx(sum(r[3] for r in order[:k]) / sum(r[3] for r in mine))
+
+
 def test_topk(spark):
     df = frame(spark, [1, 0, 1, 0], [0.9, 0.8, 0.1, 0.05])
     assert rows(metrics.topk_recall(df, [1, 3, 10])) == [("m", 4, 0.5, 1.0, 1.0)]

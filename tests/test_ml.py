@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from conftest import day
 from panelforge.functions.normal import with_inverse_normal
 from panelforge.ml import fit as fitting
-from panelforge.ml import score
+from panelforge.ml import isotonic, score
 from panelforge.ml.transformers import MedianImputer, MedianImputerModel, QuantileNormalizer, Winsorizer, WinsorizerModel
 from panelforge.operators import metrics, splits
 
@@ -94,13 +94,51 @@ def test_calibrator_against_pooling(spark):
     x = [round(rng.random(), 2) for _ in range(600)]
     y = [int(rng.random() < v * v) for v in x]
     df = spark.createDataFrame(list(zip(y, x)), "y_true int, y_prob double")
-    calibrator = fitting.fit_calibrator(df)
+    calibrator = isotonic.fit_calibrator(df)
     expected = brute_isotonic(x, y)
-    got = {r["y_prob"]: r["y_prob_calibrated"] for r in fitting.apply_calibrator(calibrator, df).collect()}
-    assert {k: pytest.approx(v) for k, v in expected.items()} == got
-    outside = spark.createDataFrame([(-1.0,), (2.0,)], "y_prob double")
-    ends = [r["y_prob_calibrated"] for r in fitting.apply_calibrator(calibrator, outside).collect()]
-    assert ends == [pytest.approx(min(expected.values())), pytest.approx(max(expected.values()))]
+    for way in (calibrator, isotonic.Calibrator(calibrator.blocks)):  # looked up and joined
+        got = {r["y_prob"]: r["y_prob_calibrated"] for r in way.apply(df).collect()}
+        assert {k: pytest.approx(v) for k, v in expected.items()} == got
+        outside = spark.createDataFrame([(-1.0,), (2.0,)], "y_prob double")
+        ends = sorted(r["y_prob_calibrated"] for r in way.apply(outside).collect())
+        assert ends == [pytest.approx(min(expected.values())), pytest.approx(max(expected.values()))]
+
+
+@pytest.mark.parametrize("shape", ["rising", "flat", "falling", "one"])
+def test_isotonic_blocks_by_group(spark, shape):
+    """Hulls in many partitions: blocks equal pooled ones, and both ways to apply them agree with straight lines between."""
+    rng = random.Random(shape)
+    chance = {"rising": lambda v: v, "flat": lambda v: 0.3, "falling": lambda v: 1 - v, "one": lambda v: 1.0}[shape]
+    data = []
+    for g in ("a", "b"):
+        for _ in range(1500 if shape != "one" else 1):
+            v = round(rng.random(), 3)
+            data.append((g, int(rng.random() < chance(v)), v if g == "a" else 1 - v))
+    data += [("a", 1, None), ("a", None, 0.5), ("a", 0, float("nan"))]
+    df = spark.createDataFrame(data, "model string, y_true int, y_prob double")
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        blocks = isotonic.staged(isotonic.isotonic_blocks(df.repartition(9), group="model"), "test")
+    finally:
+        spark.conf.set(key, "true")
+    every = [i / 700 for i in range(-5, 710)]
+    asked = spark.createDataFrame([(g, v) for g in "abc" for v in every] + [("a", None)], "model string, y_prob double")
+    got = {(r["model"], r["y_prob"]): r["y_prob_calibrated"] for r in isotonic.calibrated(asked, blocks, group="model").collect()}
+    assert got["a", None] is None and all(got["c", v] is None for v in every)
+    for g in "ab":
+        mine = [r for r in data if r[0] == g and r[1] is not None and r[2] is not None and r[2] == r[2]]
+        expected = brute_isotonic([r[2] for r in mine], [r[1] for r in mine])
+        xs = sorted(expected)
+        line = np.interp(every, xs, [expected[v] for v in xs])
+        assert [got[g, v] for v in every] == pytest.approx(line.tolist())
+        values = [r["value"] for r in blocks.filter(F.col("model") == g).orderBy("low").collect()]
+        assert values == sorted(values) and sum(r["rows"] for r in blocks.filter(F.col("model") == g).collect()) == len(mine)
+
+
+def test_no_scores_no_blocks(spark):
+    none = spark.createDataFrame([], "y_true int, y_prob double")
+    assert isotonic.isotonic_blocks(none).count() == 0
 
 
 @pytest.fixture(scope="module")

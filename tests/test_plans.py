@@ -5,13 +5,13 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry_module
 from conftest import DATA
 from panelforge.operators import composites, curves, keys, metrics
 from panelforge.operators.windows import within_period
+from panelforge.plans import ml_catalog
 from panelforge.plans.bindings import Tables
 
-QUERIES = entry_module.queries()
+QUERIES = ml_catalog.QUERIES  # the panel queries; text queries have plan tests of their own
 TRAINS = {n for n in QUERIES if n.startswith("fit_") or n in ("score_panel", "feature_importances", "linear_attribution", "evaluate_all")}
 
 
@@ -70,9 +70,12 @@ def test_ladder_is_shared_between_its_uses(spark):
     assert final.count("ReusedExchange") >= 3
 
 
-def test_top_k_limits_before_the_final_shuffle(spark):
-    text = plan(metrics.topk_recall(Tables(spark, DATA).occurrence, [100]))
-    assert "WindowGroupLimit" in text
+def test_top_k_never_orders_the_rows_of_a_model(spark):
+    text = plan(metrics.topk_recall(Tables(spark, DATA).occurrence, [100, 1_000_000]))
+    windows = [line for line in text.splitlines() if re.search(r"Window \[", line)]
+    assert windows and "WindowGroupLimit" not in text
+    for line in windows:  # over slices of scores, totals per digits of the digest, or rows that share six digits
+        assert any(c in line for c in ("_slice", "_d#", "_in#"))
 
 
 def test_queries_follow_the_data(spark):

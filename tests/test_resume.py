@@ -1,5 +1,7 @@
 """Resumed builds equal whole ones; errors that were silent are raised."""
 
+import datetime as dt
+
 import pytest
 from conftest import day
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from panelforge.ml import fit
 from panelforge.operators import metrics
 from panelforge.operators.features import rolling_stats
+from panelforge.streaming import incremental
 from panelforge.streaming.incremental import append_pending
 
 
@@ -29,10 +32,55 @@ def test_resume_equals_rebuild(spark, tmp_path):
     stored = spark.read.parquet(path).select("patch_id", "reference_date", "temporal_optical_ndvi_rmean_3", "temporal_optical_ndvi_rstd_3")
     assert sorted(map(tuple, stored.collect())) == whole
 
-    gap = str(tmp_path / "gap")
-    append_pending(spine.filter("reference_date >= '2020-01-03'"), build, gap, roll=roll, history=2)
-    with pytest.raises(Exception, match="before stored rows"):
-        append_pending(spine, build, gap, roll=roll, history=2)
+
+@pytest.mark.parametrize("first", ["reference_date >= '2020-12-29'", "patch_id = 'a'", "dayofyear(reference_date) % 3 = 0", "reference_date = '2021-01-03'"])
+def test_resume_with_earlier_dates_equals_rebuild(spark, tmp_path, first):
+    """Missing rows before, between and after stored ones, across a partition boundary, of some patches only."""
+    dates = [day("2020-12-25") + dt.timedelta(d) for d in range(14)]
+    rows = [(p, d, float(n * n + 7 * k)) for k, p in enumerate("abc") for n, d in enumerate(dates) if (n + k) % 5]
+    source = spark.createDataFrame(rows, "patch_id string, reference_date date, optical_ndvi double")
+
+    def build(spine):
+        return spine.join(source, ["patch_id", "reference_date"]).withColumn("reference_year", F.year("reference_date"))
+
+    def content(df):
+        return sorted(map(tuple, df.select("patch_id", "reference_date", "reference_year", "temporal_optical_ndvi_rmean_3", "temporal_optical_ndvi_rstd_3").collect()))
+
+    spine = source.select("patch_id", "reference_date")
+    path = str(tmp_path / "panel")
+    append_pending(spine.filter(first), build, path, roll=roll, history=2)
+    assert spark.read.parquet(path).count() == spine.filter(first).count()
+    append_pending(spine, build, path, roll=roll, history=2)
+    whole = content(roll(build(spine)))
+    assert content(spark.read.parquet(path)) == whole
+    append_pending(spine, build, path, roll=roll, history=2)  # nothing is missing
+    assert content(spark.read.parquet(path)) == whole
+
+
+def test_resume_goes_on_after_a_stop_between_partitions(spark, tmp_path, monkeypatch):
+    rows = [("a", day(d), float(n * n)) for n, d in enumerate(["2019-12-30", "2019-12-31", "2020-01-01", "2020-01-02", "2021-01-01"])]
+    source = spark.createDataFrame(rows, "patch_id string, reference_date date, optical_ndvi double")
+
+    def build(spine):
+        return spine.join(source, ["patch_id", "reference_date"]).withColumn("reference_year", F.year("reference_date"))
+
+    spine, path = source.select("patch_id", "reference_date"), str(tmp_path / "panel")
+    append_pending(spine.filter("reference_date not in ('2019-12-30', '2020-01-01')"), build, path, roll=roll, history=2)
+    write, calls = incremental.validate_and_write, []
+
+    def stops(*args, **kwargs):
+        calls.append(1)
+        if len(calls) == 3:
+            raise RuntimeError("lost")
+        write(*args, **kwargs)
+
+    monkeypatch.setattr(incremental, "validate_and_write", stops)
+    with pytest.raises(RuntimeError, match="lost"):
+        append_pending(spine, build, path, roll=roll, history=2)
+    monkeypatch.undo()
+    append_pending(spine, build, path, roll=roll, history=2)
+    keep = ["reference_date", "temporal_optical_ndvi_rmean_3"]
+    assert sorted(map(tuple, spark.read.parquet(path).select(*keep).collect())) == sorted(map(tuple, roll(build(spine)).select(*keep).collect()))
 
 
 def test_damaged_folder_is_an_error(spark, tmp_path):

@@ -43,13 +43,13 @@ def _random_observations(seed=5):
     ]
 
 
-@pytest.mark.parametrize("hot_rows", [None, 1, 24])
-def test_median_composite_against_brute_force(spark, hot_rows):
+@pytest.mark.parametrize("chunk_rows", [10_000, 1, 2, 7])
+def test_median_composite_against_brute_force(spark, chunk_rows):
     data = _random_observations()
     refs = [day("2020-02-01"), day("2020-03-15"), day("2020-12-01")]
     spine = spark.createDataFrame([(f"p{p}", r) for p in range(4) for r in refs], SPINE)
     out = composites.median_composite(
-        spine, spark.createDataFrame(data, OBS), ["b8", "b12"], lookback_days=30, hot_rows=hot_rows
+        spine, spark.createDataFrame(data, OBS), ["b8", "b12"], lookback_days=30, chunk_rows=chunk_rows
     )
     got = {(r["patch_id"], r["reference_date"]): r for r in out.collect()}
     assert len(got) == 12
@@ -202,6 +202,6 @@ def test_median_of_crowded_and_sparse_pixels_ignores_nan(spark):
     values = [1.0, 2.0, 3.0, float("nan")]
     seen = spark.createDataFrame([("p", 1, n, v) for n, v in enumerate(values)], "patch_id string, pixel_id int, n int, b4 double")
     seen = seen.selectExpr("patch_id", "pixel_id", "date_add(DATE'2020-01-05', n) AS obs_date", "b4")
-    for hot_rows in (None, 2):
-        (row,) = median_over_spans(spine, seen, ["b4"], {"past": (-10, 0)}, hot_rows=hot_rows).collect()
+    for chunk_rows in (10_000, 2):
+        (row,) = median_over_spans(spine, seen, ["b4"], {"past": (-10, 0)}, chunk_rows=chunk_rows).collect()
         assert row["past_b4"] == 2.0
