@@ -98,6 +98,7 @@ class Tables:
                 F.col("o_orderkey").alias("image_id"),
                 F.col("o_orderdate").cast("date").alias("obs_date"),
                 (F.col("o_totalprice") * UNIT).alias("temperature_2m"),
+                (F.col("o_orderkey") % 97 * UNIT).alias("total_precipitation_sum"),
             )
         )
 
@@ -267,7 +268,8 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     "weather": (
         [],
         f"""SELECT c_nationkey AS cell, o_custkey AS pixel_id, o_orderkey AS image_id,
-             CAST(o_orderdate AS DATE) AS obs_date, o_totalprice * {UNIT}e0 AS temperature_2m
+             CAST(o_orderdate AS DATE) AS obs_date, o_totalprice * {UNIT}e0 AS temperature_2m,
+             o_orderkey % 97 * {UNIT}e0 AS total_precipitation_sum
            FROM orders JOIN customer ON o_custkey = c_custkey""",
     ),
     "points": (
@@ -366,9 +368,9 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     ),
     "cell_weather": (
         ["spine", "weather"],
-        """SELECT c.cell, c.reference_date, CAST(coalesce(max(n), 0) AS DOUBLE) AS images, avg(m) AS mean
+        """SELECT c.cell, c.reference_date, CAST(coalesce(max(n), 0) AS DOUBLE) AS images, avg(m) AS mean, avg(r) AS rain, max(seen) AS seen
            FROM (SELECT DISTINCT cell, reference_date FROM spine) c
-           LEFT JOIN (SELECT c2.cell, c2.reference_date, pixel_id, avg(temperature_2m) AS m
+           LEFT JOIN (SELECT c2.cell, c2.reference_date, pixel_id, avg(temperature_2m) AS m, avg(total_precipitation_sum) AS r, max(obs_date) AS seen
                  FROM (SELECT DISTINCT cell, reference_date FROM spine) c2 JOIN weather w
                    ON c2.cell = w.cell AND obs_date BETWEEN reference_date - 60 AND reference_date
                  GROUP BY c2.cell, c2.reference_date, pixel_id) px USING (cell, reference_date)

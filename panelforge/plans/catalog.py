@@ -206,15 +206,15 @@ def _(t: Tables) -> DataFrame:
 @query(
     "mean_composite",
     with_views(
-        f"""SELECT cell, reference_date, images AS weather_era5_obs_count,
-          {rnd('mean', 6)} AS weather_temperature_2m_mean_l{LOOKBACK}d FROM cell_weather""",
+        f"""SELECT cell, reference_date, images AS weather_era5_obs_count, {rnd('mean', 6)} AS weather_temperature_2m_mean_l{LOOKBACK}d,
+          {rnd('rain', 6)} AS weather_total_precipitation_sum_mean_l{LOOKBACK}d FROM cell_weather""",
         "cell_weather",
     ),
 )
 def _(t: Tables) -> DataFrame:
     cells = t.spine.select("cell", "reference_date").distinct()
     return rounded(
-        composites.mean_composite(cells, t.weather, ["temperature_2m"], lookback_days=LOOKBACK, entity="cell"), 6
+        composites.mean_composite(cells, t.weather, ["temperature_2m", "total_precipitation_sum"], lookback_days=LOOKBACK, entity="cell"), 6
     )
 
 
@@ -1208,36 +1208,48 @@ def _(t: Tables) -> DataFrame:
     )
 
 
+_SEVERITY_COLUMNS = {
+    "prefire_nir_mean": "pre_nir", "prefire_swir2_mean": "pre_swir2", "postfire_nir_mean": "post_nir", "postfire_swir2_mean": "post_swir2",
+    "prefire_nbr": "pre_nbr", "postfire_nbr": "post_nbr", "dnbr": "pre_nbr - post_nbr",
+}
+_INDEX_COLUMNS = {"optical_ndvi": "ndvi", "optical_ndmi": "ndmi", "optical_evi": "evi", "optical_nbr_prefire": "nbr"}
+
+
 @query(
     "panel_build",
     with_views(
         f"""SELECT l.patch_id, l.reference_date, CAST(year(l.reference_date) AS INTEGER) AS reference_year,
-          CAST(coalesce(l.seen, l.reference_date) AS DATE) AS feature_max_date, {_COUNT_NAMES},
-          l.images AS optical_s2_observation_count, {rnd('ndvi')} AS optical_ndvi, {rnd('evi')} AS optical_evi,
+          CAST(coalesce(greatest(l.seen, w.seen), l.reference_date) AS DATE) AS feature_max_date, {_COUNT_NAMES},
+          l.images AS optical_s2_observation_count, {', '.join(f'{rnd(f"o.{x}", 6)} AS optical_{x}_mean_l{LOOKBACK}d' for x in b.BANDS)},
+          {', '.join(f'{rnd(f"i.{v}", 8)} AS {k}' for k, v in _INDEX_COLUMNS.items())}, CAST(i.images > 0 AS INTEGER) AS optical_s2_signal_available,
+          r.* EXCLUDE (patch_id, reference_date), {', '.join(f'{rnd(v, 6)} AS {k}' for k, v in _SEVERITY_COLUMNS.items())}, burn_date,
           w.images AS weather_era5_obs_count, {rnd('w.mean', 6)} AS weather_temperature_2m_mean_l{LOOKBACK}d,
-          {rnd('p.elevation')} AS terrain_elevation_mean, y_occ_7d, y_occ_30d, y_occ_60d, {rnd('clipped')} AS y_sev_reg, y_sev_cls,
+          {rnd('w.rain', 6)} AS weather_total_precipitation_sum_mean_l{LOOKBACK}d,
+          {rnd('p.elevation', 6)} AS terrain_elevation_mean, y_occ_7d, y_occ_30d, y_occ_60d, {rnd('clipped', 6)} AS y_sev_reg, y_sev_cls,
           CAST(clipped IS NOT NULL AS INTEGER) AS y_sev_available
         FROM labels_view l JOIN indices i USING (patch_id, reference_date) JOIN patches p USING (patch_id)
+        LEFT JOIN optical o USING (patch_id, reference_date)
+        JOIN (SELECT patch_id, reference_date, {', '.join(_rolling_sql(c, n) for c, n in _ROLLING.items())} FROM indices) r USING (patch_id, reference_date)
         JOIN cell_weather w ON w.cell = p.cell AND w.reference_date = l.reference_date""",
         "labels_view",
         "indices",
+        "optical",
         "cell_weather",
     ),
 )
 def panel_query(t: Tables) -> DataFrame:
-    """The whole panel build, all sources to labels and features."""
+    """The whole panel build, all sources to labels and features, with every column it makes."""
     panel = full_panel(t)
-    past = f"temporal_fire_past_count_l{LOOKBACK}d"
-    weather = f"weather_temperature_2m_mean_l{LOOKBACK}d"
+    rolled = {c: 8 for c in panel.columns if c.startswith("temporal_") and "_r" in c}
     chosen = panel.select(
-        *_PANEL_KEYS, "reference_year", F.col("feature_max_timestamp").cast("date").alias("feature_max_date"), past,
-        *[f"viirs_future_fire_count_{h}d" for h in (7, 30, 60)], "optical_s2_observation_count", "optical_ndvi", "optical_evi",
-        "weather_era5_obs_count", weather, "terrain_elevation_mean", "y_occ_7d", "y_occ_30d", "y_occ_60d",
-        "y_sev_reg", "y_sev_cls", "y_sev_available",
+        *_PANEL_KEYS, "reference_year", F.col("feature_max_timestamp").cast("date").alias("feature_max_date"),
+        f"temporal_fire_past_count_l{LOOKBACK}d", *[f"viirs_future_fire_count_{h}d" for h in (7, 30, 60)], "optical_s2_observation_count",
+        *[f"optical_{x}_mean_l{LOOKBACK}d" for x in b.BANDS], *_INDEX_COLUMNS, "optical_s2_signal_available", *rolled, *_SEVERITY_COLUMNS, "burn_date",
+        "weather_era5_obs_count", *[f"weather_{v}_mean_l{LOOKBACK}d" for v in ("temperature_2m", "total_precipitation_sum")],
+        "terrain_elevation_mean", "y_occ_7d", "y_occ_30d", "y_occ_60d", "y_sev_reg", "y_sev_cls", "y_sev_available",
     )
-    return rounded(chosen, 9, **{weather: 6})
+    return rounded(chosen, 6, **rolled, **{c: 8 for c in _INDEX_COLUMNS})
 
 
 def full_panel(t: Tables) -> DataFrame:
-    # The table bound as weather holds no precipitation.
-    return build_panel(t.spine, t.sources, lookback_days=LOOKBACK, bands=b.BANDS, weather=("temperature_2m",), weather_cell="cell", period=(b.START, b.END))
+    return build_panel(t.spine, t.sources, lookback_days=LOOKBACK, bands=b.BANDS, weather_cell="cell", period=(b.START, b.END))
