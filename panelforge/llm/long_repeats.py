@@ -74,21 +74,25 @@ def _per_text(t: Texts, places: np.ndarray, *values: np.ndarray) -> list[pa.Arra
     return [pa.array([v[cut[i] : cut[i + 1]].tobytes() for i in range(t.n)], pa.binary()) for v in (local, *values)]
 
 
+def _window_rows(row: np.ndarray, ord: np.ndarray, n: np.ndarray, pos: np.ndarray, h: np.ndarray, g: np.ndarray):
+    """Batches of one row per window, of documents with ``n`` windows each."""
+    columns = [np.repeat(row, n), np.repeat(ord, n), pos, h, g]
+    for i in range(0, len(pos), 200_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 200_000]) for c in columns], names=["row", "ord", "pos", "h", "g"])
+
+
+WINDOW_ROWS = "row long, ord long, pos int, h long, g int"
+
+
 def _unpacked(df: DataFrame) -> DataFrame:
-    """One row per window: ``ord``, ``k``, ``pos``, ``h``, ``g``."""
+    """The windows sampled by the first pass: ``row``, ``ord``, ``pos``, ``h``, ``g``."""
 
     def run(batch):
-        pos = [np.frombuffer(x.as_buffer(), "<i4") for x in column(batch, "pos")]
-        n = np.array([len(p) for p in pos])
-        if not n.sum():
-            return
-        each = lambda name: np.repeat(column(batch, name).to_numpy(zero_copy_only=False), n)
-        flat = lambda name, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in column(batch, name)])
-        rows = [each("ord"), each("k"), np.concatenate(pos), flat("h", "<i8"), flat("g", "<i4")]
-        for i in range(0, int(n.sum()), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(r[i : i + 200_000]) for r in rows], names=["ord", "k", "pos", "h", "g"])
+        flat = [np.frombuffer(b"".join(column(batch, c).to_pylist()), kind) for c, kind in (("pos", "<i4"), ("h", "<i8"), ("g", "<i4"))]
+        n = np.array([len(x) // 4 for x in column(batch, "pos").to_pylist()])
+        yield from _window_rows(column(batch, "row").to_numpy(), column(batch, "ord").to_numpy(), n, *flat)
 
-    return map_batches(df.select("ord", "k", "pos", "h", "g"), run, "ord long, k long, pos int, h long, g int")
+    return map_batches(df.select("row", "ord", "pos", "h", "g"), run, WINDOW_ROWS)
 
 
 def _hashes(t: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,8 +102,8 @@ def _hashes(t: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
     return window_hashes(t.word_hashes, size), (window_hashes(second, size) >> np.uint64(32)).astype(np.uint32).view("<i4")
 
 
-def _windows(t: Texts, sizes: list[int], level: int, alive: np.ndarray | None) -> list[pa.Array]:
-    """The windows to be tested at a level, a row a text: ``pos``, ``h``, ``g``."""
+def _windows(t: Texts, sizes: list[int], level: int, alive: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows to be tested at a level: places and both hashes."""
     size, last = sizes[level], level == len(sizes) - 1
     h, g = _hashes(t, size)
     if level == 0:
@@ -108,7 +112,23 @@ def _windows(t: Texts, sizes: list[int], level: int, alive: np.ndarray | None) -
         places = covering(t, window_hashes(t.word_hashes, sizes[level - 1]), alive, sizes[level - 1], size)
         if not last:
             places = np.intersect1d(places, sampled(t, h, size, sizes[level + 1]), assume_unique=True)
-    return _per_text(t, places, h[places].view("<i8"), g[places])
+    return places, h[places].view("<i8"), g[places]
+
+
+def _extended(texts: DataFrame, sizes: list[int], level: int) -> DataFrame:
+    """The windows of a level that cover the places found alive at the one before."""
+
+    def run(batch):
+        for lo, hi, t in slices(column(batch, "text")):
+            places = column(batch, "places").slice(lo, hi - lo)
+            each = np.diff(places.offsets.to_numpy())
+            alive = places.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(t.word_bounds[:-1], each)
+            at, h, g = _windows(t, sizes, level, alive)
+            n = np.diff(np.searchsorted(at, t.word_bounds))
+            pos = (at - np.repeat(t.word_bounds[:-1], n)).astype("<i4")
+            yield from _window_rows(*(column(batch, c).slice(lo, hi - lo).to_numpy() for c in ("row", "ord")), n, pos, h, g)
+
+    return map_batches(texts.select("row", "ord", "text", "places"), run, WINDOW_ROWS)
 
 
 def _kept(text: bytes, gone: np.ndarray) -> bytes:
@@ -150,21 +170,25 @@ def long_repeats(docs: DataFrame, *, length: int = 50, texts: bool = False) -> D
             own = [column(batch, c).slice(lo, hi - lo) for c in names[:3]]
             raw = t.raw.tobytes()
             sha = [hashlib.sha256(_kept(raw[a:b], ())).hexdigest() for a, b in zip(t.bounds[:-1], t.bounds[1:])]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(t.n_words.astype(np.int64)), pa.array(sha, pa.string()), *_windows(t, sizes, 0, None)], names=names)
+            yield pa.RecordBatch.from_arrays([*own, pa.array(t.n_words.astype(np.int64)), pa.array(sha, pa.string()), *_per_text(t, *_windows(t, sizes, 0, None))], names=names)
 
-    base = interim.stage(map_batches(source, first, "ord long, doc_id long, k long, n_words long, sha string, pos binary, h binary, g binary"), "sampled")
-    tested, whole = base.select("ord", "k", "pos", "h", "g"), source.select("ord", "k", "text")
+    numbered = lambda df: df.withColumn("row", F.monotonically_increasing_id())
+    base = map_batches(source, first, "ord long, doc_id long, k long, n_words long, sha string, pos binary, h binary, g binary")
+    held = base = interim.stage(numbered(base), "sampled")
+    whole = source.select("ord", "k", "text")
     for level, size in enumerate(sizes):
-        rows, last = _unpacked(tested), size == length
+        rows, last = _extended(held, sizes, level) if level else _unpacked(base), size == length
         repeated = rows.groupBy("h", "g").agg(F.min("ord").alias("least"), F.max("ord").alias("most")).where("least < most")
         repeated = interim.stage(repeated.select("h", "g", "least"), "repeated")
         lives = rows.join(repeated, ["h", "g"])
         alive = lives.where("least < ord") if last else lives
-        places = interim.stage(alive.groupBy("ord", "k").agg(F.sort_array(F.collect_set("pos")).alias("places")), "places")
-        if last or places.isEmpty():
+        alive = interim.stage(alive.groupBy("row").agg(F.sort_array(F.collect_set("pos")).alias("places")), "places")
+        places = held.select("row", "ord", "k").join(alive, "row").drop("row").dropDuplicates(["ord", "k"])  # equal rows have equal places
+        if last or alive.isEmpty():
+            whole = whole if last else whole.limit(0)
             break
-        whole = interim.stage(map_batches(whole.join(places, ["ord", "k"]), _extend(sizes, level + 1), "ord long, k long, text string, pos binary, h binary, g binary"), "extended")
-        tested, whole = whole, whole.select("ord", "k", "text")
+        held = interim.stage(numbered(whole.join(places, ["ord", "k"])), "extended")
+        whole = held.select("ord", "k", "text")
 
     kinds = "ord long, k long, n_removed long, spans array<struct<start:int,words:int>>, cut string, kept string"
     changed = map_batches(whole.join(places, ["ord", "k"]), _removal(length, texts), kinds)
@@ -182,18 +206,6 @@ def long_repeats(docs: DataFrame, *, length: int = 50, texts: bool = False) -> D
     return out
 
 
-def _extend(sizes: list[int], level: int):
-    def run(batch):
-        for lo, hi, t in slices(column(batch, "text")):
-            places = column(batch, "places").slice(lo, hi - lo)
-            each = np.diff(places.offsets.to_numpy())
-            alive = places.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(t.word_bounds[:-1], each)
-            own = [column(batch, c).slice(lo, hi - lo) for c in ("ord", "k", "text")]
-            yield pa.RecordBatch.from_arrays([*own, *_windows(t, sizes, level, alive)], names=["ord", "k", "text", "pos", "h", "g"])
-
-    return run
-
-
 def _removal(length: int, texts: bool):
     def run(batch):
         removed, spans, sha, kept = [], [], [], []
