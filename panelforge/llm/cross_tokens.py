@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from .common import Interim, column, map_batches, prepare, stage
 
 HEAVY = 131_072  # most frequent irregular pairs that tasks look up themselves; rarer ones are joined
-CACHE_PIECES, CACHE_BYTES, LONG_PIECE = 300_000, 64 << 20, 200
+CACHE_PIECES, LONG_PIECE = 400_000, 200  # remembered, twice as many at most, none longer
 FLUSH = 1_000_000  # irregular pairs a task counts before it hands them on
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 4_000_000
 # Bytes after a blank that surely begin no blank of any script (lead bytes that may are left out).
 _SAFE = np.zeros(256, bool)
 _SAFE[0x21:0x7F] = True
@@ -66,61 +66,82 @@ class Aligner:
         self.same = np.array([at.get(x, -1) for x in self.a_bytes], np.int64)  # the identity map
         self.a_len = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_len = np.array([len(x) for x in self.b_bytes], np.int64)
-        self.a_names = [str(i) for i in range(len(self.a_bytes))]
-        self.b_names = [str(i) for i in range(self.width)]
-        self.cache: dict[str, tuple | None] = {" ": None}  # the blank before an empty text
-        self.held = 0
+        self.a_names = pa.array([str(i) for i in range(len(self.a_bytes))])
+        self.b_names = pa.array([str(i) for i in range(self.width)])
+        self.cache: dict[str, tuple[bytes, bytes] | None] = {" ": None}  # the blank before an empty text
+        self.older: dict[str, tuple[bytes, bytes] | None] = {}
 
-    def _one(self, text: str) -> tuple | None:
-        """(A tokens, B tokens, groups, link codes, group text) of a text that begins with a blank; None if bytes differ."""
-        return self._many([text])[0]
+    def _whole(self, text: str) -> tuple[bytes, bytes] | None:
+        """A and B ids (unsigned 32-bit) of a text that begins with a blank; None if either doesn't give it back."""
+        return self._encode([text])[0]
 
-    def _many(self, texts: list[str]) -> list[tuple | None]:
+    def _encode(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """The same for pieces, encoded together and cut where both end; if that fails, one by one."""
         whole = "".join(texts)
         data = whole.encode()
-        a = np.array(self.a.encode(whole, add_special_tokens=False).ids, np.int64)
-        b = np.array(self.b.encode(whole[1:], num_threads=1), np.int64)
-        joined = b"".join(map(self.a_bytes.__getitem__, a.tolist())) == data == b"".join(map(self.b_bytes.__getitem__, b.tolist()))
-        a_ends, b_ends = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
-        cut = np.cumsum([len(t.encode()) for t in texts]) if len(texts) > 1 else np.array([len(data)])
-        if not joined or not (np.isin(cut, a_ends).all() and np.isin(cut, b_ends).all()):
-            return [None] if len(texts) == 1 else [self._one(t) for t in texts]
-        both, any_end = np.intersect1d(a_ends, b_ends), np.union1d(a_ends, b_ends)
-        codes = a[np.searchsorted(a_ends, any_end)] * self.width + b[np.searchsorted(b_ends, any_end)]
-        ga, gb = np.searchsorted(a_ends, both, "right").tolist(), np.searchsorted(b_ends, both, "right").tolist()
-        names_a, names_b = list(map(self.a_names.__getitem__, a.tolist())), list(map(self.b_names.__getitem__, b.tolist()))
-        groups, i, j = [], 0, 0
-        for x, y in zip(ga, gb):
-            groups.append(names_a[i] + "|" + names_b[j] if x - i == 1 == y - j else ",".join(names_a[i:x]) + "|" + ",".join(names_b[j:y]))
+        a = np.array(self.a.encode(whole, add_special_tokens=False).ids, np.uint32)
+        b = np.array(self.b.encode(whole[1:], num_threads=1), np.uint32)
+        same = b"".join(map(self.a_bytes.__getitem__, a.tolist())) == data == b"".join(map(self.b_bytes.__getitem__, b.tolist()))
+        if same and len(texts) == 1:
+            return [(a.tobytes(), b.tobytes())]
+        if same:
+            size = np.fromiter(map(len, texts), np.int64, len(texts)) if whole.isascii() else np.array([len(t.encode()) for t in texts])
+            cut, a_ends, b_ends = np.cumsum(size), np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
+            na, nb = np.searchsorted(a_ends, cut, "right"), np.searchsorted(b_ends, cut, "right")
+            same = bool((a_ends[na - 1] == cut).all() and (b_ends[nb - 1] == cut).all())
+        if not same:
+            return [None] if len(texts) == 1 else [self._whole(t) for t in texts]
+        xa, xb, i, j, out = a.tobytes(), b.tobytes(), 0, 0, []
+        for x, y in zip((na * 4).tolist(), (nb * 4).tolist()):
+            out.append((xa[i:x], xb[j:y]))
             i, j = x, y
-        na, nb = np.searchsorted(a_ends, cut, "right"), np.searchsorted(b_ends, cut, "right")
-        ng, nl = np.searchsorted(both, cut, "right"), np.searchsorted(any_end, cut, "right")
-        out, before = [], (0, 0, 0, 0)
-        small = codes.astype("<u4").tobytes()
-        for now in zip(na.tolist(), nb.tolist(), ng.tolist(), nl.tolist()):
-            out.append((now[0] - before[0], now[1] - before[1], now[2] - before[2], small[4 * before[3] : 4 * now[3]], ";".join(groups[before[2] : now[2]]).encode()))
-            before = now
         return out
 
-    def pieces(self, texts: list[str]) -> list[tuple | None]:
-        if len(self.cache) > CACHE_PIECES or self.held > CACHE_BYTES:
-            self.cache, self.held = {" ": None}, 0
-        fresh = [t for t in texts if t not in self.cache]
-        found, i = {}, 0
+    def _pieces(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Ids of pieces: recent ones are remembered, in two generations, long ones are not."""
+        if len(self.cache) > CACHE_PIECES:
+            self.cache, self.older = {" ": None}, self.cache
+        cache, older, fresh, found = self.cache, self.older, [], {}
+        for t in texts:
+            if t not in cache:
+                if t in older:
+                    cache[t] = older[t]
+                else:
+                    fresh.append(t)
+        i = 0
         while i < len(fresh):
             j, size = i, 0
             while j < len(fresh) and (j == i or size + len(fresh[j]) < 40_000):
                 size += len(fresh[j])
                 j += 1
-            for t, known in zip(fresh[i:j], self._many(fresh[i:j])):
-                if len(t) <= LONG_PIECE:
-                    self.cache[t] = known
-                    self.held += 200 + (len(known[3]) + len(known[4]) if known else 0)
-                else:
-                    found[t] = known
+            for t, known in zip(fresh[i:j], self._encode(fresh[i:j])):
+                (cache if len(t) <= LONG_PIECE else found)[t] = known
             i = j
-        cache = self.cache
-        return [found[t] if t in found else cache[t] for t in texts] if found else [cache[t] for t in texts]
+        return [cache[t] if t in cache else found[t] for t in texts] if found else list(map(cache.__getitem__, texts))
+
+    def _aligned(self, ids: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """Of each piece (A tokens, B tokens, groups, links), and the group text; then the codes of all links in order."""
+        a, b = (np.frombuffer(b"".join(x[i] for x in ids), np.uint32).astype(np.int64) for i in (0, 1))
+        na, nb = (np.cumsum(np.fromiter((len(x[i]) >> 2 for x in ids), np.int64, len(ids))) for i in (0, 1))
+        a_ends, b_ends = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
+        marks = np.zeros(int(a_ends[-1]) + 1 if len(a) else 1, np.uint8)
+        marks[a_ends] = 1
+        marks[b_ends] += 2
+        any_end = np.flatnonzero(marks)
+        both = np.flatnonzero(marks == 3)
+        codes = a[np.searchsorted(a_ends, any_end)] * self.width + b[np.searchsorted(b_ends, any_end)]
+        ga, gb = np.searchsorted(a_ends, both, "right"), np.searchsorted(b_ends, both, "right")
+        cut = np.concatenate([[0], a_ends])[na]  # bytes at which pieces end
+        ng, nl = np.searchsorted(both, cut, "right"), np.searchsorted(any_end, cut, "right")
+
+        def listed(names: pa.Array, tokens: np.ndarray, ends: np.ndarray, mark: str) -> pa.Array:
+            offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
+            return pc.binary_join(pa.ListArray.from_arrays(offsets, names.take(pa.array(tokens))), mark)
+
+        groups = pc.binary_join_element_wise(listed(self.a_names, a, ga, ","), listed(self.b_names, b, gb, ","), "|")
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ng]), pa.int32()), groups), ";")
+        counts = np.stack([np.diff(x, prepend=0) for x in (na, nb, ng, nl)])
+        return counts, codes, nl, text
 
     def documents(self, texts: pa.Array):
         """For each text: (A tokens, B tokens, groups, links), its group text, and its pairs as (codes, times), pairs once each."""
@@ -140,43 +161,56 @@ class Aligner:
         starts = np.flatnonzero(start)
         offsets = np.concatenate([starts, [len(raw)]]).astype(np.int64)
         coded = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(raw)).dictionary_encode()
-        known = self.pieces(coded.dictionary.to_pylist())
+        known = self._pieces(coded.dictionary.to_pylist())
         at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         cut = np.searchsorted(starts, bounds)
         bad = np.array([k is None for k in known], bool)
         empty = np.diff(bounds) == 1
         odd = (np.add.reduceat(bad[at], cut[:-1]) > 0) & ~empty
-        fine = [k or (0, 0, 0, b"", b"") for k in known]
-        links = np.array([len(k[3]) // 4 for k in fine], np.int64)
-        counts = np.stack([*np.array([k[:3] for k in fine], np.int64).reshape(-1, 3).T, links])
+        none = empty | odd
+        counts, codes, _, names = self._aligned([k or (b"", b"") for k in known])
         total = np.add.reduceat(counts[:, at], cut[:-1], axis=1)
-        total[:, empty | odd] = 0
-        names, order = [k[4] for k in fine], at.tolist()
-        groups = [b"" if empty[d] or odd[d] else b";".join([names[p] for p in order[cut[d] : cut[d + 1]]]) for d in range(len(texts))]
+        total[:, none] = 0
+        names, order, edges = names.to_pylist(), at.tolist(), cut.tolist()
+        groups = [b"" if none[d] else ";".join([names[p] for p in order[edges[d] : edges[d + 1]]]).encode() for d in range(len(texts))]
 
-        codes = np.frombuffer(b"".join(k[3] for k in fine), "<u4").astype(np.int64)
+        links = counts[3]
         doc = np.repeat(np.arange(len(texts)), np.diff(cut))
-        use = ~(empty | odd)[doc]
-        uses, times = np.unique(doc[use] * len(fine) + at[use], return_counts=True)
-        doc, piece = np.divmod(uses, len(fine))
+        use = np.flatnonzero(~none[doc])
+        uses, times = _counted_keys(doc[use] * len(known) + at[use])
+        doc, piece = np.divmod(uses, len(known))
         size, ends = links[piece], np.cumsum(links)
         take = np.arange(size.sum()) + np.repeat((ends - links)[piece] - (np.cumsum(size) - size), size)
-        pairs, back = np.unique((np.repeat(doc, size) << 32) | codes[take], return_inverse=True)
-        often = np.bincount(back, np.repeat(times, size), len(pairs)).astype("<u4")
-        at_doc = np.searchsorted(pairs >> 32, np.arange(len(texts) + 1))
-        pairs = (pairs & 0xFFFFFFFF).astype("<u4")
-        linked = [(pairs[x:y].tobytes(), often[x:y].tobytes()) for x, y in zip(at_doc[:-1], at_doc[1:])]
+        pairs, often = _counted_keys((np.repeat(doc, size) << 32) | codes[take], np.repeat(times, size))
+        at_doc = np.searchsorted(pairs >> 32, np.arange(len(texts) + 1)) * 4
+        data, times = (pairs & 0xFFFFFFFF).astype("<u4").tobytes(), often.astype("<u4").tobytes()
+        linked = [(data[x:y], times[x:y]) for x, y in zip(at_doc[:-1].tolist(), at_doc[1:].tolist())]
 
         for d in np.flatnonzero(odd).tolist():  # some piece can't be rebuilt: the whole text decides
-            one = self._one(" " + texts[d].as_py())
+            one = self._whole(" " + texts[d].as_py())
             if one is not None:
-                total[:, d] = [*one[:3], len(one[3]) // 4]
-                groups[d] = one[4]
-                mine, n = np.unique(np.frombuffer(one[3], "<u4"), return_counts=True)
-                linked[d] = (mine.astype("<u4").tobytes(), n.astype("<u4").tobytes())
+                n, codes, _, text = self._aligned([one])
+                total[:, d] = n[:, 0]
+                groups[d] = text[0].as_py().encode()
+                mine, often = _counted_keys(codes)
+                linked[d] = (mine.astype("<u4").tobytes(), often.astype("<u4").tobytes())
         return total.T, groups, linked
 
 
+def _counted_keys(keys: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and how often (or with what weight) each occurs."""
+    if not len(keys):
+        return keys, np.zeros(0, np.int64)
+    if weight is None:
+        keys = np.sort(keys)
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        return keys[first], np.diff(np.append(first, len(keys)))
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(weight[order], first)
+
+
 _aligners: dict[tuple[str, str], Aligner] = {}
 
 
