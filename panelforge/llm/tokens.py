@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,8 @@ class Encoder:
 
     Three rules, each checked on creation, save calls: case may not matter, a piece of
     letters followed by full stops or commas is the ids of both parts, and the last id of a
-    word of letters is marked, so that many new words are encoded in one call.
+    word of letters is marked, so that many new words are encoded in one call; each word's share of the ids must
+    have the word's bytes. Letters that normalisation changes, or whose lower case has other ids, are encoded as they stand.
     """
 
     def __init__(self, file: str):
@@ -37,6 +39,11 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.size = np.zeros(len(self.last), np.int64)  # bytes of an id: vocabularies write one letter for each
+        for t, i in vocabulary.items():
+            self.size[i] = len(t.removesuffix("</w>"))
+        cased = [c for c in map(chr, range(0x110000)) if c.isalpha() and c.lower() != c]
+        self.odd = frozenset("Σİ" + "".join(c for c in cased if self.lowers and self._plain(c) != self._plain(c.lower())))  # Σ and İ change case by context or length
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -48,30 +55,38 @@ class Encoder:
         return np.array(self._plain(text), self.dtype).tobytes()
 
     def _learn_words(self, fresh: list[str]) -> None:
-        """Encode new words of letters together, cut after the marked ids."""
+        """Encode new words of letters together, cut after the marked ids, if every cut has the bytes of its word."""
         for i in range(0, len(fresh), 4000):
             group = fresh[i : i + 4000]
             ids = np.array(self._plain(" ".join(group)), np.int64)
-            cut = ((np.flatnonzero(self.last[ids]) + 1) * self.dtype.itemsize).tolist()
-            if len(cut) != len(group):
+            cut = np.flatnonzero(self.last[ids]) + 1
+            fits = len(cut) == len(group) and cut[-1] == len(ids)
+            if fits:
+                bytes_of = np.add.reduceat(self.size[ids], np.concatenate([[0], cut[:-1]]))
+                fits = bool((bytes_of == np.array([len(w.encode()) for w in group])).all())
+            if not fits:
                 self.cache.update((w, self._bytes(w)) for w in group)
                 continue
             data, start = ids.astype(self.dtype).tobytes(), 0
-            for word, end in zip(group, cut):
+            for word, end in zip(group, (cut * self.dtype.itemsize).tolist()):
                 self.cache[word] = data[start:end]
                 start = end
 
+    def _whole_letters(self, base: str, key: str) -> bool:
+        """Whether ``base`` is letters that normalisation leaves alone, with ``key`` as their lower case."""
+        if base.isascii():
+            return base.isalpha()
+        return base.isalpha() and is_normalized("NFC", base) and is_normalized("NFC", key) and self.odd.isdisjoint(base)
+
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         if len(self.cache) > CACHE_PIECES:
             self.cache, self.older = {}, self.cache
-        cache, older, splits, lowers = self.cache, self.older, self.splits, self.lowers
+        cache, older, splits, lowers, whole = self.cache, self.older, self.splits, self.lowers, self._whole_letters
         fresh, keys, tails = {}, [], []
         for p in pieces:
             base = p.rstrip(".,") if splits else p
-            if base.isalpha() and "Σ" not in base and "İ" not in base:  # both change case by context or length
-                key = base.lower() if lowers else base
-                tail = p[len(base) :]
-            else:
+            key, tail = base.lower() if lowers else base, p[len(base) :]
+            if not whole(base, key):
                 key, tail, base = p, "", ""
             if key not in cache:
                 if key in older:
