@@ -77,7 +77,7 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 
 
 OP5_SQL = r"""
-WITH d AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
+WITH d AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS k,
     len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT source, source_size, [5e0, 2e0, 1e0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight, 3e0 * source_size AS cap FROM s),
@@ -88,7 +88,7 @@ t AS (SELECT source, source_size, least(cap, coalesce((SELECT common FROM c) * w
 p AS (SELECT *, floor(target / greatest(source_size, 1) + 1e-9) AS whole FROM t),
 q AS (SELECT *, floor(target - whole * source_size + 1e-3) AS extra FROM p),
 r AS (SELECT d.doc_id, d.size, q.source_size, round(q.target, 6) AS target, q.whole, q.extra,
-      sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k) AS upto FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
+      sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k ROWS UNBOUNDED PRECEDING) AS upto FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * (whole + CASE WHEN extra > 0 AND upto <= extra THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r"""
 
 

@@ -145,8 +145,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, trusted_rows: int = TRUSTED_ROWS,
 OUT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double"
 
 
-def rate(docs: DataFrame, model: QualityModel, keep_columns: list[str]) -> DataFrame:
-    """The counts, the score and the verdict for each row, after the columns named.
+def rate(docs: DataFrame, model: QualityModel, keep_columns: list[str], prefix: str = "") -> DataFrame:
+    """The counts, the score and the verdict for each row, after the columns named; ``prefix`` goes before the new names.
 
     Null text is an empty one: it has no words and is rejected by the counts. Every row is rated on
     its whole text; repeated rows get equal verdicts.
@@ -166,9 +166,10 @@ def rate(docs: DataFrame, model: QualityModel, keep_columns: list[str]) -> DataF
                 [*own, *made, pa.array(failed), pa.array(~failed & (s >= m.threshold)), pa.array(s)], schema=None, names=out_names
             )
 
-    out_names = [*keep_columns, *[x.split()[0] for x in OUT.split(", ")]]
+    made_names = [prefix + x for x in OUT.split(", ")]
+    out_names = [*keep_columns, *[x.split()[0] for x in made_names]]
     kinds = dict(docs.dtypes)
-    return map_batches(source, run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep_columns), OUT]))
+    return map_batches(source, run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep_columns), *made_names]))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -180,6 +181,6 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that pass, with all their columns."""
-    kept = rate(docs, fit(docs, labels), docs.columns)
-    return kept.where("kept").select(*docs.columns)
+    """The rows that pass, with all their columns, whatever their names; a null text has no words and goes."""
+    kept = rate(docs, fit(docs, labels), docs.columns, prefix="__quality_")
+    return kept.where("__quality_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
