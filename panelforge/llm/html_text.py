@@ -1,14 +1,16 @@
 """Main text of web pages with site templates removed.
 
-Pages are parsed to a flat list of events. What tags, roles and names declare as menus,
-adverts, forms, comments and so on goes first. Of the rest, each element subtree that is
-not prose of a marked article is hashed, Spark counts in how many pages (with different
+Pages are parsed to a flat list of events. Every element subtree of a page that is not prose of
+a marked article is hashed, whatever it is called; Spark counts in how many pages (with different
 main texts) of a host each hash occurs, and subtrees that recur across many are deleted.
+What does not recur, as a host has few pages or each page has its own menu or advert, goes by
+tags, roles and names that declare it to be no article text.
 """
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -45,20 +47,91 @@ FURNITURE = frozenset(
 )
 MAIN_NAMES = frozenset("content post entry article story maincontent postcontent entrycontent articlebody".split())
 
-_TOKEN = re.compile(
-    r"""<!--.*?(?:--!?>|\Z)|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|<[A-Za-z/][^<]*\Z""",
-    re.S,
-)
+_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+_STOP = re.compile(r"""[>=]""")
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+# Words that only place or wrap the furniture a class names.
+PLACES = frozenset(
+    "site page main global primary secondary top bottom left right inner outer wrapper wrap container holder box block area section bar "
+    "list item items panel slot unit row col column strip group module region text message links link posts articles stories".split()
+)
 # A start tag that ends open elements of these names, up to one of the limits.
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
          "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
          "option": ({"option"}, {"select"})}
+
+
+@lru_cache(100_000)
+def _meanings(text: str) -> frozenset[str]:
+    """What the words in class, id and role say: each whole word, and the one part of it that more than places it.
+
+    ``site-footer`` means footer, ``entry-header`` and ``story-share-wrap`` mean neither header nor share.
+    """
+    out = set()
+    for word in text.split():
+        out.add(word.lower().replace("-", "").replace("_", ""))
+        parts = {p.lower() for p in _PARTS.findall(word)}
+        said = parts - PLACES
+        if len(said) <= 1 or said <= FURNITURE:
+            out |= said or parts
+        elif len(parts) > 1 and parts <= MAIN_NAMES | PLACES:
+            out |= parts
+    return frozenset(out)
+
+
 _MOD = (1 << 61) - 1
 _BASE = 1_000_003
 
 
+def _tag_end(html: str, at: int, last: dict[str, int]) -> int:
+    """Place after the ``>`` that ends a tag whose attributes begin at ``at``; quoted values may hold one.
+
+    A quote that nothing closes counts as none. ``last`` has the last place of each quote. Without an end the
+    rest of the page belongs to the tag.
+    """
+    while True:
+        m = _STOP.search(html, at)
+        if not m:
+            return len(html)
+        if m[0] == ">":
+            return m.end()
+        at = m.end()
+        while at < len(html) and html[at].isspace():
+            at += 1
+        quote = html[at : at + 1]
+        if quote in last and at < last[quote]:
+            at = html.index(quote, at + 1) + 1
+
+
+def tokens(html: str):
+    """(text, tag, attributes, whether it ends an element, place after it) in one pass; markup that is no tag has tag ``""``."""
+    last = {q: html.rfind(q) for q in "\"'"}
+    at, n = 0, len(html)
+    while at < n:
+        lt = html.find("<", at)
+        while lt >= 0 and not (lt + 1 < n and (html[lt + 1] in "!?" or html[lt + 1].isascii() and (html[lt + 1].isalpha() or html[lt + 1] == "/"))):
+            lt = html.find("<", lt + 1)
+        if lt < 0:
+            yield html[at:], "", "", False, n
+            return
+        text, ends = html[at:lt], html[lt + 1] == "/"
+        name = _NAME.match(html, lt + 1 + ends)
+        if html.startswith("<!--", lt):
+            stops = [p + len(e) for e in ("-->", "--!>") if (p := html.find(e, lt + 2)) >= 0]
+            at, tag, attrs = min(stops, default=n), "", ""
+        elif not name:
+            at = (html.find(">", lt) + 1) or n
+            tag, attrs = "", ""
+        else:
+            at = _tag_end(html, name.end(), last)
+            tag, attrs = name[0].lower(), html[name.end() : at].rstrip(">")
+        got = yield text, tag, attrs, ends, at
+        if got is not None:  # the reader went on by itself
+            at = got
+            yield None
+
+
 class Page:
     """Events of one page. ``nodes``: [tag, names, parent, first event, end event, hidden]."""
 
@@ -72,7 +145,7 @@ class Page:
         if attrs and not attrs.isspace():
             found = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)}
             text = " ".join(found.get(k, "") for k in ("class", "id", "role"))
-            names = frozenset(x.lower() for x in _PARTS.findall(text)) | frozenset(text.lower().replace("-", "").replace("_", "").split())
+            names = _meanings(text)
             hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
         node = len(self.nodes)
         self.nodes.append([tag, names, stack[-1] if stack else -1, len(self.events), -1, hidden])
@@ -86,7 +159,6 @@ class Page:
     def _parse(self, html: str) -> None:
         stack: list[int] = []
         opened: dict[str, int] = {}  # how many open elements of each name
-        at, n = 0, len(html)
 
         def pop() -> None:
             node = stack.pop()
@@ -97,17 +169,12 @@ class Page:
             if piece:
                 self.events.append((stack[-1] if stack else -1, unescape(piece) if "&" in piece else piece))
 
-        while at < n:
-            m = _TOKEN.search(html, at)
-            if not m:
-                text(html[at:])
-                break
-            text(html[at : m.start()])
-            at = m.end()
-            if not m["tag"]:
+        reader = tokens(html)
+        for before, tag, attrs, ends_one, at in reader:
+            text(before)
+            if not tag:
                 continue
-            tag = m["tag"].lower()
-            if m["end"]:
+            if ends_one:
                 if opened.get(tag):
                     while self.nodes[stack[-1]][0] != tag:
                         pop()
@@ -126,13 +193,13 @@ class Page:
                             pop()
                         if tag != "tr":
                             break
-            node = self._open(tag, m["attrs"], stack)
+            node = self._open(tag, attrs, stack)
             if tag in VOID:
                 self._close(node)
                 continue
             if tag in RAW:
                 end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, at)
-                at = end.end() if end else n
+                reader.send(end.end() if end else len(html))
                 self._close(node)
                 continue
             stack.append(node)
@@ -171,24 +238,32 @@ class Page:
                 return max(found, key=lambda i: (length(i), -i))
         return None
 
+    def around(self, main: int | None) -> set[int]:
+        """The main element and all it lies in."""
+        out = set()
+        while main is not None and main >= 0:
+            out.add(main)
+            main = self.nodes[main][2]
+        return out
+
     def furniture(self, main: int | None) -> set[int]:
-        """Elements that their own tag or names declare to be no article text."""
-        around = set()
-        k = main
-        while k is not None and k >= 0:
-            around.add(k)
-            k = self.nodes[k][2]
+        """Elements that their own tag or names declare to be no article text; never one that holds most of the text."""
+        around, sizes = self.around(main), self._sizes()
+        lo, hi = (self.nodes[main][3], self.nodes[main][4]) if main is not None else (0, len(self.events))
+        whole = sizes[hi] - sizes[lo]
         out = set()
-        for i, (tag, names, _, _, _, hidden) in enumerate(self.nodes):
+        for i, (tag, names, _, first, end, hidden) in enumerate(self.nodes):
             if i in around or tag in ("html", "body"):
                 continue
-            if tag in NEVER_TEXT or hidden or tag == "header" and (main is None or not self._within(i, main)) or names & FURNITURE and tag not in INLINE_HEAD:
+            if tag in NEVER_TEXT or hidden or tag == "header" and (main is None or not self._within(i, main)):
+                out.add(i)
+            elif names & FURNITURE and tag not in INLINE_HEAD and not (lo <= first < hi and 2 * (sizes[end] - sizes[first]) > whole):
                 out.add(i)
         return out
 
-    def candidates(self, main: int | None, gone: set[int]) -> list[tuple[int, int]]:
-        """(element, hash) of subtrees a site template could be made of."""
-        prefix, power, h = [0], [1], 0
+    def candidates(self, main: int | None) -> list[tuple[int, int]]:
+        """(element, hash) of subtrees a site template could be made of: all that hold text, but prose of the main element."""
+        prefix, power, h, texts = [0], [1], 0, [0]
         for node, text in self.events:
             if text is not None:
                 key = "t" + " ".join(text.split())
@@ -199,20 +274,30 @@ class Page:
             h = (h * _BASE + xxhash.xxh64_intdigest(key) + 1) % _MOD
             prefix.append(h)
             power.append(power[-1] * _BASE % _MOD)
-        out, skip = [], -1
-        region = self._inside(main) if main is not None else range(len(self.events))
-        for k in region:
-            node, text = self.events[k]
-            if k < skip or text is not None or node < 0:
+            texts.append(texts[-1] + (text is not None and not text.isspace()))
+        around, out = self.around(main), []
+        for i, (tag, _, _, lo, hi, _) in enumerate(self.nodes):
+            if i in around or tag in ("html", "body", "article", "main", "head") or texts[hi] == texts[lo]:
                 continue
-            tag = self.nodes[node][0]
-            if node in gone:
-                skip = self.nodes[node][4]
-            elif node != main and tag not in ("html", "body", "article", "main") and (tag in BLOCKS) and not (main is not None and tag in PROSE):
-                lo, hi = self.nodes[node][3], self.nodes[node][4]
-                out.append((node, (prefix[hi] - prefix[lo] * power[hi - lo]) % _MOD))
+            if tag not in BLOCKS and tag not in NEVER_TEXT or tag in PROSE and main is not None and self._within(i, main):
+                continue
+            out.append((i, (prefix[hi] - prefix[lo] * power[hi - lo]) % _MOD))
         return out
 
+    def shares(self, templates: set[int], named: set[int]) -> tuple[int, int]:
+        """Characters of text that templates take, and that names take besides."""
+        taken, until = [0, 0], [-1, -1]
+        for k, (node, text) in enumerate(self.events):
+            if text is None:
+                for j, some in enumerate((templates, named)):
+                    if node >= 0 and node in some:
+                        until[j] = max(until[j], self.nodes[node][4])
+            elif k < until[0]:
+                taken[0] += len(text.strip())
+            elif k < until[1]:
+                taken[1] += len(text.strip())
+        return taken[0], taken[1]
+
     def text(self, main: int | None, gone: set[int]) -> str:
         """Blocks of the kept part, blanks folded, joined by line breaks."""
         blocks: list[str] = []
@@ -265,7 +350,9 @@ def _read(html: str | None) -> tuple[Page, int | None, set[int]]:
 
 
 def extract_main_text(pages: DataFrame, *, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, enough: int = ENOUGH_PAGES) -> DataFrame:
-    """``page_id``, ``url``, ``text``, ``n_chars`` for every row of ``pages`` (page_id, url, html).
+    """``page_id``, ``url``, ``text``, ``n_chars``, ``n_template``, ``n_named`` for every row of ``pages`` (page_id, url, html).
+
+    ``n_template`` counts the characters that went as recurring subtrees, ``n_named`` those that went only by tag or name.
 
     Null html is an empty page, null url the host "". Null or repeated page_ids are fine: a page is
     known by the digest of its url and html, so repeated rows get equal texts; they count once
@@ -279,7 +366,7 @@ def extract_main_text(pages: DataFrame, *, min_pages: int = MIN_PAGES, min_share
         hosts, texts, found = [], [], []
         for url, html in zip(urls, htmls):
             page, main, gone = _read(html)
-            subtrees = sorted({h for _, h in page.candidates(main, gone)})
+            subtrees = sorted({h for _, h in page.candidates(main)})
             hosts.append(host(url))
             texts.append(xxhash.xxh64_intdigest(page.text(main, gone)) >> 1)
             found.append(subtrees)
@@ -301,18 +388,19 @@ def extract_main_text(pages: DataFrame, *, min_pages: int = MIN_PAGES, min_share
     removed = stage(hits.groupBy("page").agg(F.sort_array(F.collect_set("hash")).alias("removed")), "templates")
 
     def texts(batch):
-        out = []
+        out, shares = [], []
         for html, gone_hashes in zip(column(batch, "html").to_pylist(), column(batch, "removed").to_pylist()):
-            page, main, gone = _read(html)
-            if gone_hashes:
-                wanted = set(gone_hashes)
-                gone |= {node for node, h in page.candidates(main, gone) if h in wanted}
-            out.append(page.text(main, gone))
+            page, main, named = _read(html)
+            wanted = set(gone_hashes or ())
+            templates = {node for node, h in page.candidates(main) if h in wanted} if wanted else set()
+            out.append(page.text(main, templates | named))
+            shares.append(page.shares(templates, named))
+        counts = [pa.array(x, pa.int64()) for x in ([len(t) for t in out], *([x[i] for x in shares] for i in (0, 1)))]
         yield pa.RecordBatch.from_arrays(
-            [column(batch, "page_id"), column(batch, "url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())],
-            names=["page_id", "url", "text", "n_chars"],
+            [column(batch, "page_id"), column(batch, "url"), pa.array(out, pa.string()), *counts],
+            names=["page_id", "url", "text", "n_chars", "n_template", "n_named"],
         )
 
     joined = source.join(removed, "page", "left")
     kind = dict(pages.dtypes)["page_id"]
-    return map_batches(joined.select("page_id", "url", "html", "removed"), texts, f"page_id {kind}, url string, text string, n_chars long")
+    return map_batches(joined.select("page_id", "url", "html", "removed"), texts, f"page_id {kind}, url string, text string, n_chars long, n_template long, n_named long")

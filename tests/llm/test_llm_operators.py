@@ -121,6 +121,51 @@ def test_templates_of_hosts_with_copies_and_of_large_hosts(spark):
     assert out.where("text like '%Read more%'").count() == 0 and out.where("text like 'Title%text'").count() == len(rows)
 
 
+def test_templates_go_by_recurrence_and_the_rest_by_names(spark):
+    """Every text of the given pages against subtree counts in a dictionary; menus and footers go as templates where they recur."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    rows = [(r["page_id"], r["url"], r["html"]) for r in pages.collect()]
+    read = [(html_text.host(u), *html_text._read(h)) for _, u, h in rows]
+    bodies, where = {}, {}
+    for host, page, main, named in read:
+        body = page.text(main, named)
+        bodies.setdefault(host, set()).add(body)
+        for _, h in page.candidates(main):
+            where.setdefault((host, h), set()).add(body)
+    wanted, by_template = [], 0
+    for (i, u, _), (host, page, main, named) in zip(rows, read):
+        least = max(5, min(0.01 * len(bodies[host]), 50))
+        templates = {n for n, h in page.candidates(main) if len(where[host, h]) >= least}
+        wanted.append((i, page.text(main, templates | named), *page.shares(templates, named)))
+        by_template += wanted[-1][2]
+    got = html_text.extract_main_text(pages).select("page_id", "text", "n_template", "n_named").collect()
+    assert Counter(map(tuple, got)) == Counter(wanted) and by_template > 1000
+
+
+def test_article_text_stays_and_markup_goes():
+    def text(html):
+        page, main, named = html_text._read(html)
+        return page.text(main, named)
+
+    article = '<article><div class="entry-header"><h1>Title</h1></div><div class="story-share-wrap"><p>Story text</p></div><div class="share">x</div></article>'
+    assert text(article) == "Title\nStory text"
+    assert text('<article><div class="comments"><p>All of the text is in here</p></div></article>') == "All of the text is in here"
+    assert text('<article><p>Some text of the story</p><div class="cookie-banner">no</div><div class="related-posts"><p>no</p></div></article>') == "Some text of the story"
+    assert text('<p>a <a title="x>y</a> b</p>') == "a y b" and text("<p a='1 > 2'>x</p><p b=\"'>y") == "x\ny"
+    assert text("a<!-- x > y --!>b<!--><p>c<!-- never closed") == "ab\nc" and text("1 < 2 <3 & <b>x</b></") == "1 < 2 <3 & x"
+
+
+@pytest.mark.parametrize("piece", ["<a b", '<a b="', "<div>", "<li><b>", "<!--", "</", "<p><table><tr><td>", "<script>", "a<"])
+def test_broken_markup_takes_linear_time(piece):
+    import time
+
+    start = time.perf_counter()
+    page, main, named = html_text._read(piece * (1_000_000 // len(piece)))
+    page.text(main, named)
+    page.candidates(main)
+    assert time.perf_counter() - start < 20
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(40, 16))
