@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.indices import normalized_difference
 from ..functions.missing import nulls_for_nans
 from .keys import KEYS
-from .windows import Daily, Span, counted, day_number, image_counts, pixel_stretches, span_rollups
+from .pixels import MEDIAN, SUM, pixel_windows
+from .windows import Daily, Span, counted, day_number, image_counts, span_rollups
 
 FIRE_THRESHOLD = 7  # fixed value: mask classes from here on are fires
 HORIZONS = (7, 30, 60)
@@ -18,20 +19,17 @@ CHUNK_ROWS = 10_000  # observations of one pixel and stretch of time that are so
 CROWDED = 10_000  # fullest stretches that are looked for
 
 
-def _chunked(rows: DataFrame, bands: Sequence[str], width: int, chunk_rows: int) -> DataFrame:
-    """Add ``chunk`` and ``chunks``: crowded stretches of a pixel are dealt over chunks by a hash of the row.
+def crowded_pixels(rows: DataFrame, width: int, chunk_rows: int) -> DataFrame:
+    """Pixels with more than ``chunk_rows`` rows in a stretch of ``width`` days, and over how many chunks to deal them.
 
     The ``CROWDED`` fullest stretches are looked up, a table of bounded size; any other
     holds less than that share of all rows.
     """
     keys = ["patch_id", "pixel_id", "_stretch"]
-    placed = rows.withColumn("_stretch", F.floor(day_number(F.col("obs_date")) / width))
+    placed = rows.select("patch_id", "pixel_id", F.floor(day_number(F.col("obs_date")) / width).alias("_stretch"))
     fullest = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > chunk_rows)
-    # both stretches of a pair need the same number of chunks, so the pixel decides
     fullest = fullest.orderBy(F.desc("_n"), *keys).limit(CROWDED)
-    pixels = fullest.groupBy("patch_id", "pixel_id").agg(F.ceil(F.max("_n") / chunk_rows).cast("int").alias("chunks"))
-    dealt = placed.join(F.broadcast(pixels), ["patch_id", "pixel_id"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    return dealt.withColumn("chunk", F.when(F.col("chunks") > 1, F.pmod(F.xxhash64("obs_date", *bands), "chunks")).otherwise(0)).drop("_stretch")
+    return fullest.groupBy("patch_id", "pixel_id").agg(F.ceil(F.max("_n") / chunk_rows).cast("int").alias("chunks"))
 
 
 def _middle(values: Column) -> tuple[Column, Column]:
@@ -83,38 +81,27 @@ def median_over_spans(
 
     ``last_seen`` adds the latest day of a value that went into any of them.
 
-    A pixel's values of two stretches of time are sorted once per band, and every anchor
-    takes the middle of those inside its span. A pixel with more than ``chunk_rows``
-    observations in a stretch is cut into chunks by hash, whose medians bound the
-    pixel's, so no task holds a crowded pixel. NaN counts as missing.
+    A pixel with more than ``chunk_rows`` observations in a stretch is cut into chunks by hash,
+    whose medians bound the pixel's, so no task holds a crowded pixel. NaN counts as missing.
     """
     low, high = min(a for a, _ in spans.values()), max(z for _, z in spans.values())
     narrow = nulls_for_nans(observations.select("patch_id", "pixel_id", "obs_date", *bands))
-    dealt = _chunked(narrow, bands, high - low + 1, chunk_rows)
-    beside = pixel_stretches(
-        anchors, dealt, bands, first=low, last=high, anchor=anchor, within=["chunk", "chunks"]
-    )
-    ladders = [F.sort_array(F.arrays_zip(F.col(f"seen.{b}").alias("value"), F.col("seen.day").alias("day"))).alias(f"_{b}") for b in bands]
-    each = beside.select("patch_id", "pixel_id", "chunks", *ladders, "asked").select("*", F.explode("asked").alias(anchor)).drop("asked")
-
-    def inside(band: str, span: tuple[int, int]) -> Column:
-        since, until = F.date_add(anchor, span[0]), F.date_add(anchor, span[1])
-        return F.filter(f"_{band}", lambda x: x["day"].between(since, until) & x["value"].isNotNull())
-
+    crowded = crowded_pixels(narrow, high - low + 1, chunk_rows)
+    pixel = ["patch_id", "pixel_id"]
     names = [f"{s}_{b}" for s in spans for b in bands]
     keys = ["patch_id", anchor, "pixel_id"]
-    kept = each.select(*keys, "chunks", *[inside(b, spans[s]).alias(f"{s}_{b}") for s in spans for b in bands])
-    values = kept.select(*keys, "chunks", *[F.col(n)["value"].alias(n) for n in names])
-    middles = [((_middle(F.col(n)["value"])[0] + _middle(F.col(n)["value"])[1]) / 2).alias(n) for n in names]
-    crowded = _merged_medians(values.filter("chunks > 1"), keys, names)
-    seen = []
-    if last_seen is not None:
-        days = [F.array_max(F.col(n)["day"]) for n in names]
-        latest = (F.greatest(*days) if len(days) > 1 else days[0]).alias(last_seen)
-        middles.append(latest)
-        seen = [F.max(last_seen).alias(last_seen)]
-        crowded = crowded.join(kept.filter("chunks > 1").select(*keys, latest).groupBy(*keys).agg(*seen), keys, "left")
-    medians = kept.filter("chunks = 1").select(*keys, *middles).unionByName(crowded)
+    usual = narrow.join(F.broadcast(crowded.withColumn("_crowded", F.lit(True))), pixel, "left").filter("_crowded is null")
+    whole = pixel_windows(anchors, usual, bands, spans, statistic=MEDIAN, anchor=anchor).select(*keys, *names, "seen")
+    # without crowded pixels all that follows is empty, and adaptive execution leaves it out
+    full = narrow.join(F.broadcast(crowded.select(*pixel)), pixel)
+    near = anchors.join(F.broadcast(crowded.select("patch_id").distinct()), "patch_id", "left_semi")
+    parts = pixel_windows(near, full, bands, spans, statistic=MEDIAN, anchor=anchor, crowded=crowded)
+    parts = parts.select(*keys, *[F.col(f"{n}_values").alias(n) for n in names], "seen")
+    merged = _merged_medians(parts, keys, names).withColumn("seen", F.lit(None).cast("date"))
+    medians = whole.unionByName(merged)
+    if last_seen:
+        medians = medians.unionByName(parts.select(*keys, *[F.lit(None).cast("double").alias(n) for n in names], "seen"))
+    seen = [F.max("seen").alias(last_seen)] if last_seen else []
     return medians.groupBy("patch_id", anchor).agg(*[F.avg(n).alias(n) for n in names], *seen)
 
 
@@ -177,19 +164,10 @@ def mean_composite(
         *[F.sum(f).alias(f"_s_{f}") for f in fields], *[F.count(f).alias(f"_n_{f}") for f in fields]
     )
     parts = [f"_{part}_{f}" for f in fields for part in ("s", "n")]
-    beside = pixel_stretches(spine, per_day, parts, first=-lookback_days, last=ends, entity=entity)
-    each = beside.select(entity, "seen", F.explode("asked").alias("reference_date"))
-    since, until = F.date_add("reference_date", -lookback_days), F.date_add("reference_date", ends)
-    inside = F.filter("seen", lambda x: x["day"].between(since, until))
-    each = each.select(*keys, inside.alias("seen"))
-
-    def total(part: str) -> Column:
-        return F.aggregate(F.col(f"seen.{part}"), F.lit(0.0), lambda sum, x: sum + F.coalesce(x, F.lit(0.0)))
-
-    ratios = [F.when(total(f"_n_{f}") > 0, total(f"_s_{f}") / total(f"_n_{f}")).alias(f) for f in fields]
-    pixel = each.select(*keys, *ratios, *([F.array_max("seen.day").alias("_day")] if last_seen else []))
-    means = pixel.groupBy(*keys).agg(
-        *[F.avg(f).alias(name.format(field=f, days=lookback_days)) for f in fields], *([F.max("_day").alias("_seen_values")] if last_seen else [])
+    found = pixel_windows(spine, per_day, parts, {"past": (-lookback_days, ends)}, statistic=SUM, entity=entity)
+    ratios = [F.try_divide(f"past__s_{f}", f"past__n_{f}").alias(f) for f in fields]
+    means = found.select(*keys, *ratios, "seen").groupBy(*keys).agg(
+        *[F.avg(f).alias(name.format(field=f, days=lookback_days)) for f in fields], *([F.max("seen").alias("_seen_values")] if last_seen else [])
     )
     images = "_seen_images" if last_seen else None
     images_of = image_counts(spine, observations, lookback_days=lookback_days, out=count_name, entity=entity, ends=ends, last_seen=images)

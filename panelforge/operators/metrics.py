@@ -8,7 +8,7 @@ spread over slices, so a model (or a score) with most of the rows is no bottlene
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.bins import uniform_bin
@@ -51,30 +51,25 @@ def unpivot_scores(df: DataFrame) -> DataFrame:
     return long.withColumn("y_score", nan_to_null(F.col("y_score"))).filter(F.col("y_score").isNotNull())
 
 
-def score_counts(long: DataFrame) -> DataFrame:
-    """Positives and negatives per model and distinct score, as a written table that all else reads."""
-    counted = long.groupBy(*GROUP, "y_score").agg(
-        F.count_if(F.col("y_true") == 1).alias("pos"), F.count_if(F.col("y_true") != 1).alias("neg")
-    )
-    return staged(counted, "scores")
-
+def score_ladder(long: DataFrame, *, lead: bool = False, by: Sequence[str] = GROUP, slices: int | None = None) -> DataFrame:
+    """Distinct scores in descending order with running true and false positives, as a written table that all else reads.
 
-def score_ladder(counts: DataFrame, *, lead: bool = False, slices: int | None = None) -> DataFrame:
-    """Distinct scores in descending order with running true and false positives, from ``score_counts``.
-
-    Columns: ``y_score, pos, neg, tp, fp, n_pos, n_neg`` (and ``next_pos/next_neg``). Every
-    distinct score is one row of work, so the cut points are quantiles of distinct scores.
+    Columns: ``y_score, pos, neg, tp, fp, n_pos, n_neg`` (and ``next_pos/next_neg``). Two jobs make it: one counts
+    per distinct score, and on the way observes quantiles of these, as every distinct score is one row of the
+    work to come; the other adds up slice by slice.
     """
-    sums = running_sums(
-        counts,
-        by=GROUP,
-        value="y_score",
-        sums=["pos", "neg"],
-        lead=["pos", "neg"] if lead else [],
-        slices=slices,
+    spark = long.sparkSession
+    counted = long.groupBy(*by, "y_score").agg(
+        F.count_if(F.col("y_true") == 1).alias("pos"), F.count_if(F.col("y_true") != 1).alias("neg")
     )
+    n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    seen = Observation()
+    probs = [i / n for i in range(1, n)] or [0.5]
+    counted = staged(counted.observe(seen, F.percentile_approx("y_score", probs, 100 * n).alias("cuts")), "scores")
+    points = sorted({v + 0.0 for v in seen.get["cuts"] or []}) if n > 1 else []
+    sums = running_sums(counted, by=by, value="y_score", sums=["pos", "neg"], lead=["pos", "neg"] if lead else [], cuts=(points, []))
     renamed = {"cum_pos": "tp", "cum_neg": "fp", "total_pos": "n_pos", "total_neg": "n_neg"}
-    return sums.withColumnsRenamed(renamed)
+    return staged(sums.withColumnsRenamed(renamed), "ladder")
 
 
 def f1(tp: Column, predicted: Column, actual: Column) -> Column:
@@ -140,7 +135,7 @@ def ladder_metrics(ladder: DataFrame, bins: int = 10) -> DataFrame:
 
 
 def _ranked(df: DataFrame, bins: int = 10) -> DataFrame:
-    return ladder_metrics(score_ladder(score_counts(unpivot_scores(df))), bins)
+    return ladder_metrics(score_ladder(unpivot_scores(df)), bins)
 
 
 def roc_auc(df: DataFrame) -> DataFrame:
@@ -235,9 +230,7 @@ def topk_recall(
     by = list(by)
     rows = _hit_rows(df, score, by)
     if ladder is None:
-        counts = rows.groupBy(*by, F.col("score").alias("y_score")).agg(F.sum("hit").alias("pos"), F.sum(1 - F.col("hit")).alias("neg"))
-        sums = running_sums(staged(counts, "scores"), by=by, value="y_score", sums=["pos", "neg"])
-        ladder = sums.withColumnsRenamed({"cum_pos": "tp", "cum_neg": "fp"})
+        ladder = score_ladder(rows.select(*by, F.col("score").alias("y_score"), F.col("hit").alias("y_true")), by=by)
     caught = topk_hits(rows, ladder, ks, by=by)
     totals = df.groupBy(*by).agg(F.sum((F.col("y_true") > 0).cast("long")).alias("_pos"), F.count("*").alias("_n"), *extra)
     others = [c for c in totals.columns if c not in (*by, "_pos", "_n")]
@@ -268,7 +261,7 @@ def evaluate_occurrence(df: DataFrame, *, bins: int = 10, topk: Sequence[int] |
         alert = F.col("y_prob_calibrated") >= F.col("occurrence_decision_threshold")
         counts |= {"n_tp_deployed": truth & alert, "n_deployed": alert}
         extra = [F.max("occurrence_decision_threshold").alias("deployment_threshold")]
-    rungs = score_ladder(score_counts(unpivot_scores(df)))
+    rungs = score_ladder(unpivot_scores(df))
     extra = [*[F.count_if(c).alias(n) for n, c in counts.items()], *extra]
     base = topk_recall(df, ks, extra=extra, ladder=rungs.filter("score = 'raw'"))
 

@@ -78,14 +78,18 @@ def running_sums(
     lead: Sequence[str] = (),
     slices: int | None = None,
     cuts_from: DataFrame | None = None,
+    cuts: tuple[list[float], list[float]] | None = None,
 ) -> DataFrame:
     """Add ``cum_<c>`` (up to and with the row) and ``total_<c>`` for each sum column.
 
+    Cut points are taken from ``cuts_from`` (or the rows) unless ``cuts`` brings them.
+
     ``by`` columns must not be NULL. Rows must be unique in (by, value, digest).
     ``lead`` columns get ``next_<c>``: the value in the following row of the order.
     """
     by = list(by)
-    cuts = cut_points(cuts_from if cuts_from is not None else df, value, slices)
+    if cuts is None:
+        cuts = cut_points(cuts_from if cuts_from is not None else df, value, slices)
     ranked = with_slice(df, value, descending=descending, cuts=cuts, digest=digest)
     key = [*by, "_slice"]
     order = [F.col(value).desc() if descending else F.col(value).asc()]
@@ -116,31 +120,26 @@ def running_sums(
     )
 
 
-DIGEST_LEVELS = (1, 4)  # ties are narrowed by three hex digits of their digest at each of these places
+TIE_DIGITS = 4  # hex digits of the digest that tied rows are counted by
 
 
 def first_hits(rows: DataFrame, *, by: Sequence[str]) -> DataFrame:
     """Sum of ``hit`` over the first ``rest`` rows of each group in the order of ``digest``: ``(*by, hits)``.
 
-    Counts per three hex digits tell which rows are in, which are out, and which few
-    share the digits where the count ends; only those go on. Last, at most a sixteen-millionth
-    of a group's rows (those of six equal digits) are put in order.
+    Counts per leading digits (65,536 at most) tell which rows are in, which are out, and which
+    few share the digits where the count ends; only those, one in so many of a group, are put in order.
     """
-    by, found = list(by), None
-    for place in DIGEST_LEVELS:
-        part = rows.withColumn("_d", F.substring("digest", place, 3))
-        counts = part.groupBy(*by, "_d").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("h"), F.max("rest").alias("rest"))
-        upto = F.sum("n").over(Window.partitionBy(*by).orderBy("_d").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        placed = counts.withColumn("upto", upto)
-        inside = placed.filter(F.col("upto") <= F.col("rest")).select(*by, F.col("h").alias("hits"))
-        found = inside if found is None else found.unionByName(inside)
-        edge = placed.filter((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("n") < F.col("rest")))
-        edge = edge.select(*by, "_d", (F.col("rest") - F.col("upto") + F.col("n")).alias("_left"))
-        rows = part.join(edge, [*by, "_d"]).withColumn("rest", F.col("_left")).drop("_left")
-        rows = rows.withColumn("_in", F.concat(F.col("_in"), "_d") if "_in" in rows.columns else F.col("_d")).drop("_d")
-    number = F.row_number().over(Window.partitionBy(*by, "_in").orderBy("digest"))
-    last = rows.withColumn("_n", number).filter(F.col("_n") <= F.col("rest")).select(*by, F.col("hit").alias("hits"))
-    return found.unionByName(last).groupBy(*by).agg(F.sum("hits").alias("hits"))
+    by = list(by)
+    part = rows.withColumn("_d", F.substring("digest", 1, TIE_DIGITS))
+    counts = part.groupBy(*by, "_d").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hits"), F.max("rest").alias("rest"))
+    upto = F.sum("n").over(Window.partitionBy(*by).orderBy("_d").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = counts.withColumn("upto", upto)
+    inside = placed.filter(F.col("upto") <= F.col("rest")).select(*by, "hits")
+    edge = placed.filter((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("n") < F.col("rest")))
+    edge = edge.select(*by, "_d", (F.col("rest") - F.col("upto") + F.col("n")).alias("_left"))
+    number = F.row_number().over(Window.partitionBy(*by, "_d").orderBy("digest"))
+    last = part.join(edge, [*by, "_d"]).withColumn("_n", number).filter(F.col("_n") <= F.col("_left"))
+    return inside.unionByName(last.select(*by, F.col("hit").alias("hits"))).groupBy(*by).agg(F.sum("hits").alias("hits"))
 
 
 def melt(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

@@ -7,8 +7,8 @@ Three ways:
   range-framed window gives any number of look-back and future spans. No join,
   and no row is multiplied. A window group is bounded by the calendar (days of
   observations plus reference dates of one patch), whatever the raw row count.
-* ``pixel_stretches`` for per-pixel aggregates: a pixel's observations of two stretches
-  of time as one array, beside the anchors that see them. An observation is moved twice,
+* ``pixels.pixel_windows`` for per-pixel statistics: rows of two stretches of time are sorted
+  beside the anchors that see them. An observation is moved twice,
   not once per window that covers it (26 times for weekly dates and 180 days).
 * ``span_join`` where the pairs themselves are wanted: an equi join on patch and
   time bucket. Buckets are as wide as the span, so an anchor touches two at most
@@ -120,36 +120,6 @@ def span_join(
     return left.join(right, [entity, "_bucket"]).filter(away.between(first, last)).drop("_bucket")
 
 
-def pixel_stretches(
-    anchors: DataFrame,
-    observations: DataFrame,
-    fields: Sequence[str],
-    *,
-    first: int,
-    last: int,
-    entity: str = "patch_id",
-    anchor: str = "reference_date",
-    day: str = "obs_date",
-    pixel: str = "pixel_id",
-    within: Sequence[str] = (),
-) -> DataFrame:
-    """Each pixel's observations beside the anchors that see them ``first..last`` days away.
-
-    Time is cut into stretches as long as the span, so an anchor's span lies in the stretch where it begins and the
-    next one. A row ``(entity, pixel, *within, seen, asked)`` holds what was observed in such a pair of
-    stretches (``seen``: the day and the fields) and the anchors whose span begins in the first (``asked``). An
-    observation is moved twice, whatever the number of anchors that see it; pixels without observations in a pair
-    have no row. ``within`` columns split a pixel's observations further.
-    """
-    width = last - first + 1
-    own = F.floor(day_number(F.col(day)) / width)
-    rows = observations.select(entity, pixel, *within, F.struct(F.col(day).alias("day"), *fields).alias("_row"), F.explode(F.array(own - 1, own)).alias("_pair"))
-    seen = rows.groupBy(entity, pixel, *within, "_pair").agg(F.collect_list("_row").alias("seen"))
-    begins = F.floor((day_number(F.col(anchor)) + first) / width)
-    asked = anchors.groupBy(entity, begins.alias("_pair")).agg(F.collect_set(anchor).alias("asked"))
-    return seen.join(asked, [entity, "_pair"]).drop("_pair")
-
-
 def image_spans(
     observations: DataFrame,
     *,
@@ -170,7 +140,8 @@ def image_spans(
     ``last_seen`` adds the latest image day that the window really reached.
     """
     first, last = window
-    dated = observations.select(entity, image, day).distinct()
+    # a repeated row is followed by its own day, so its interval is empty
+    dated = observations.select(entity, image, day)
     following = F.lead(day).over(Window.partitionBy(entity, image).orderBy(day))
     until = F.least(F.date_add(F.col(day), 1 - first), F.coalesce(F.date_add(following, -last), F.lit("9999-12-31").cast("date")))
     steps = dated.select(entity, F.col(day).alias("_at"), F.date_add(F.col(day), -last).alias("_start"), until.alias("_end")).select(

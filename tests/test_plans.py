@@ -19,10 +19,18 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+# sliding statistics of pixels have the one Python worker among the panel operators (operators/pixels.py)
+PIXELS = {
+    "median_composite", "median_composite_hot_pixels", "mean_composite", "cloud_probability", "cloud_score", "merge_sources",
+    "pre_post_dnbr", "severity_labels", "spectral_indices", "rolling_stats", "panel_build", "evaluate_panel",
+}
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - TRAINS))
 def test_no_cross_joins_and_no_python_workers(spark, name):
     text = plan(QUERIES[name](spark, DATA))
-    assert not re.search("CartesianProduct|BroadcastNestedLoopJoin|BatchEvalPython|ArrowEvalPython|InPandas|MapInArrow", text)
+    assert not re.search("CartesianProduct|BroadcastNestedLoopJoin|BatchEvalPython|ArrowEvalPython|InPandas", text)
+    assert name in PIXELS or "MapInArrow" not in text
 
 
 def test_spine_and_scoring_expressions_do_not_shuffle(spark):
@@ -64,10 +72,10 @@ def test_order_metrics_never_window_a_whole_model(spark):
 
 
 def test_ladder_is_shared_between_its_uses(spark):
-    df = curves.pr_curve(Tables(spark, DATA).occurrence)
-    df.collect()
-    final = plan(df).split("Initial Plan")[0]
-    assert final.count("ReusedExchange") >= 3
+    # a report and curves read the written ladder, which is made once
+    for df in (curves.pr_curve(Tables(spark, DATA).occurrence), curves.roc_curve(Tables(spark, DATA).occurrence)):
+        text = plan(df)
+        assert "ladder-" in text and "lineitem" not in text and "orders.parquet" not in text
 
 
 def test_top_k_never_orders_the_rows_of_a_model(spark):
@@ -75,7 +83,7 @@ def test_top_k_never_orders_the_rows_of_a_model(spark):
     windows = [line for line in text.splitlines() if re.search(r"Window \[", line)]
     assert windows and "WindowGroupLimit" not in text
     for line in windows:  # over slices of scores, totals per digits of the digest, or rows that share six digits
-        assert any(c in line for c in ("_slice", "_d#", "_in#"))
+        assert any(c in line for c in ("_slice", "_d#"))
 
 
 def test_queries_follow_the_data(spark):
