@@ -30,6 +30,7 @@ LOGISTIC, SOFTMAX, SQUARED = "logistic", "softmax", "squared"
 CUT_ROUNDS = 10  # rounds between written tables that end the lineage of margins
 LEAST_CURVATURE = 1e-6
 MAX_BINS = 64
+TASK_ROWS = 20_000  # rows a task has at least, where there are so many
 
 
 @dataclass
@@ -143,6 +144,8 @@ def boost(
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     base = rows.select(F.col(features).alias("_x"), F.col(label).cast("double").alias("_y"), w.alias("_w"), F.coalesce(F.col(is_val), F.lit(False)).alias("_val"))
     start = _start(base.filter("not _val"), loss, n)
+    # a round is many short jobs, so small data go to few tasks
+    base = base.coalesce(max(1, min(base.rdd.getNumPartitions(), base.count() // TASK_ROWS)))
     state = base.withColumn("_m", F.array(*[F.lit(float(b)) for b in start])).persist()
     figures = [F.avg(F.when(F.col("_val"), _row_loss(loss, n))), F.count_if(~F.col("_val"))]
     figures += [F.sum(F.when(~F.col("_val"), F.col("_w") * h)) for _, h in _steps(loss, n)]

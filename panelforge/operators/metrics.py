@@ -8,7 +8,7 @@ spread over slices, so a model (or a score) with most of the rows is no bottlene
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bins import uniform_bin
@@ -54,20 +54,16 @@ def unpivot_scores(df: DataFrame) -> DataFrame:
 def score_ladder(long: DataFrame, *, lead: bool = False, by: Sequence[str] = GROUP, slices: int | None = None) -> DataFrame:
     """Distinct scores in descending order with running true and false positives, as a written table that all else reads.
 
-    Columns: ``y_score, pos, neg, tp, fp, n_pos, n_neg`` (and ``next_pos/next_neg``). Two jobs make it: one counts
-    per distinct score, and on the way observes quantiles of these, as every distinct score is one row of the
-    work to come; the other adds up slice by slice.
+    Columns: ``y_score, pos, neg, tp, fp, n_pos, n_neg`` (and ``next_pos/next_neg``). Rows are
+    counted per distinct score once, into a written table; its quantiles cut the order, as every distinct
+    score is one row of the work to come.
     """
-    spark = long.sparkSession
     counted = long.groupBy(*by, "y_score").agg(
         F.count_if(F.col("y_true") == 1).alias("pos"), F.count_if(F.col("y_true") != 1).alias("neg")
     )
-    n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    seen = Observation()
-    probs = [i / n for i in range(1, n)] or [0.5]
-    counted = staged(counted.observe(seen, F.percentile_approx("y_score", probs, 100 * n).alias("cuts")), "scores")
-    points = sorted({v + 0.0 for v in seen.get["cuts"] or []}) if n > 1 else []
-    sums = running_sums(counted, by=by, value="y_score", sums=["pos", "neg"], lead=["pos", "neg"] if lead else [], cuts=(points, []))
+    sums = running_sums(
+        staged(counted, "scores"), by=by, value="y_score", sums=["pos", "neg"], lead=["pos", "neg"] if lead else [], slices=slices
+    )
     renamed = {"cum_pos": "tp", "cum_neg": "fp", "total_pos": "n_pos", "total_neg": "n_neg"}
     return staged(sums.withColumnsRenamed(renamed), "ladder")
 

@@ -1104,16 +1104,28 @@ def _(t: Tables) -> DataFrame:
     return rounded(curves.residuals(t.severity_reg))
 
 
-@query("evaluate_all")
+def _spatial_sql(name: str, out: str) -> str:
+    """A severity report on the rows of the prefixes, its columns prefixed."""
+    sql = ORACLES[name].replace("FROM unique_orders WHERE prio <= 3", f"FROM unique_orders WHERE prio <= 3 AND {_PREFIX_SQL}")
+    sql = sql.replace("AS m(model) WHERE prio <= 3", f"AS m(model) WHERE prio <= 3 AND {_PREFIX_SQL}")
+    return f"(SELECT model, COLUMNS(* EXCLUDE (model)) AS 'spatial_\\0', n_samples AS spatial_holdout_n FROM ({sql})) {out}"
+
+
+_EVERY_REPORT = f"""SELECT * FROM ({ORACLES['evaluate_occurrence']}) LEFT JOIN ({ORACLES['spatial_subset_metrics']}) o USING (model)
+UNION ALL BY NAME SELECT * FROM ({ORACLES['severity_cls_summary']}) LEFT JOIN {_spatial_sql('severity_cls_summary', 'c')} USING (model)
+UNION ALL BY NAME SELECT * FROM ({ORACLES['evaluate_severity_reg']}) LEFT JOIN {_spatial_sql('evaluate_severity_reg', 'r')} USING (model)
+UNION ALL BY NAME SELECT 'risk__' || occ_model || '+' || sev_model AS model, * EXCLUDE (occ_model, sev_model) FROM ({ORACLES['evaluate_combined_risk']})"""
+
+
+@query("evaluate_all", _EVERY_REPORT)
 def _(t: Tables) -> DataFrame:
-    # without SQL of its own: it joins reports that each have theirs
     everything = (
         t.occurrence.withColumn("y_true", F.col("y_true").cast("double"))
         .withColumn("y_pred", F.col("y_pred").cast("double"))
         .unionByName(t.severity_cls.withColumns({c: F.col(c).cast("double") for c in ("y_true", "y_pred")}), allowMissingColumns=True)
         .unionByName(t.severity_reg, allowMissingColumns=True)
     )
-    return evaluate_all(everything, prefixes=_PREFIXES)
+    return rounded(evaluate_all(everything, prefixes=_PREFIXES))
 
 
 @query(

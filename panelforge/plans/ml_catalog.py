@@ -1,6 +1,6 @@
 """Registered queries of fitted stages, training runs and scoring."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normal
@@ -15,7 +15,6 @@ from .bindings import Tables, rnd, rounded, with_views
 from .catalog import QUERIES, SPLIT_ENDS, SPLIT_SQL, query  # noqa: F401
 
 FEATURES = ["weather_balance", "optical_price", "terrain_prio"]
-FEW_TREES = {"n_estimators": 5, "max_depth": 3}
 
 
 def _panel(t: Tables) -> DataFrame:
@@ -145,48 +144,139 @@ def _(t: Tables) -> DataFrame:
     return rounded(score.capped_sample(t.order_panel).select(*KEYS, "optical_price"))
 
 
-@query("fit_occurrence")
+# A trained model has no SQL, but its rows do: which they are, their truth, and what must hold of every prediction.
+_TEST = f"(SELECT * FROM order_panel WHERE reference_date > DATE '{b.VAL_END}' AND reference_date <= DATE '{b.TEST_END}')"
+_ALL = f"(SELECT * FROM order_panel WHERE reference_date <= DATE '{b.TEST_END}')"
+_SEVERE = "y_sev_available = 1"
+
+
+def _counts_sql(where: str = "TRUE") -> str:
+    parts = {"train": f"reference_date <= DATE '{b.TRAIN_END}'", "val": f"reference_date > DATE '{b.TRAIN_END}' AND reference_date <= DATE '{b.VAL_END}'", "test": f"reference_date > DATE '{b.VAL_END}'"}
+    return ", ".join(f"count(*) FILTER (WHERE {where} AND {c}) AS n_{k}" for k, c in parts.items())
+
+
+def _share(column: str):
+    return F.col(column).between(0.0, 1.0)
+
+
+def _fire_rows(fit: fitting.Fit) -> DataFrame:
+    """Every test row: both probabilities are probabilities, and both alerts follow from them."""
+    tuned = (F.col("y_prob_calibrated") >= F.col("occurrence_decision_threshold")).cast("int") == F.col("y_pred_calibrated_tuned")
+    plain = (F.col("y_prob") >= 0.5).cast("int") == F.col("y_pred")
+    return fit.predictions.select(*KEYS, "y_true", (_share("y_prob") & _share("y_prob_calibrated")).alias("probabilities"), (tuned & plain).alias("alerts"))
+
+
+def _fire_report(fit: fitting.Fit) -> DataFrame:
+    """What the report says of the data, and that its figures are in range and the threshold is one it tried."""
+    figures = ("f1", "roc_auc", "pr_auc", "ece_raw", "ece_calibrated", "optimal_threshold", "optimal_val_f1")
+    good = _share(figures[0])
+    for c in figures[1:]:
+        good = good & _share(c)
+    names = ["model", "n_features", "n_train", "n_val", "n_test", "train_positive_rate", "test_positive_rate", "train_nan_rate"]
+    return rounded(fit.report.select(*names, good.alias("in_range")))
+
+
+_FIRE_REPORT_SQL = f"""SELECT '{{model}}' AS model, 3 AS n_features, {_counts_sql()},
+  {rnd(f"avg(y_occ_30d) FILTER (WHERE reference_date <= DATE '{b.TRAIN_END}')")} AS train_positive_rate,
+  {rnd(f"avg(y_occ_30d) FILTER (WHERE reference_date > DATE '{b.VAL_END}')")} AS test_positive_rate,
+  (SELECT {rnd('(avg(CAST(weather_balance IS NULL AS INTEGER)) + avg(CAST(optical_price IS NULL AS INTEGER)) + avg(CAST(terrain_prio IS NULL AS INTEGER))) / 3')} FROM {_TRAIN}) AS train_nan_rate,
+  TRUE AS in_range FROM {_ALL}"""
+
+
+@query(
+    "fit_occurrence",
+    with_views(f"SELECT patch_id, reference_date, y_occ_30d AS y_true, TRUE AS probabilities, TRUE AS alerts FROM {_TEST}", "order_panel"),
+)
 def _(t: Tables) -> DataFrame:
-    return fitting.fit_occurrence(_panel(t), fitting.LOGREG).predictions
+    return _fire_rows(fitting.fit_occurrence(_panel(t), fitting.LOGREG))
 
 
-@query("fit_occurrence_forest")
+@query("fit_occurrence_forest", with_views(_FIRE_REPORT_SQL.format(model="random_forest"), "order_panel"))
 def _(t: Tables) -> DataFrame:
-    return fitting.fit_occurrence(_panel(t), fitting.FOREST, FEW_TREES).report
+    return _fire_report(fitting.fit_occurrence(_panel(t), fitting.FOREST))
 
 
-@query("fit_occurrence_boosted")
+@query("fit_occurrence_boosted", with_views(_FIRE_REPORT_SQL.format(model="boosted"), "order_panel"))
 def _(t: Tables) -> DataFrame:
-    return fitting.fit_occurrence(_panel(t), fitting.BOOSTED, FEW_TREES).report
+    return _fire_report(fitting.fit_occurrence(_panel(t), fitting.BOOSTED))
 
 
-@query("fit_severity_cls")
+@query(
+    "fit_severity_cls",
+    with_views(
+        f"SELECT patch_id, reference_date, y_sev_cls AS y_true, TRUE AS shares, TRUE AS likeliest, {{}} FROM {_TEST} CROSS JOIN (SELECT {_counts_sql(_SEVERE)} FROM {_ALL}) WHERE {_SEVERE}".format("n_train, n_val, n_test"),
+        "order_panel",
+    ),
+)
 def _(t: Tables) -> DataFrame:
-    return fitting.fit_severity_cls(_panel(t), FEW_TREES).report
+    """Class probabilities of every test row sum to 1 and the likeliest class is the one predicted."""
+    fit = fitting.fit_severity_cls(_panel(t))
+    probs = F.col("y_probs")
+    total = F.aggregate(probs, F.lit(0.0), lambda a, x: a + x)
+    shares = (F.abs(total - 1.0) < 1e-9) & (F.size(probs) == 3) & F.forall(probs, lambda x: x.between(0.0, 1.0))
+    likeliest = F.element_at(probs, F.col("y_pred") + 1) == F.array_max(probs)
+    sizes = fit.report.select("n_train", "n_val", "n_test").first()
+    rows = fit.predictions.select(*KEYS, "y_true", shares.alias("shares"), likeliest.alias("likeliest"))
+    return rows.select("*", *[F.lit(sizes[c]).cast("long").alias(c) for c in ("n_train", "n_val", "n_test")])
 
 
-@query("fit_severity_reg")
+@query(
+    "fit_severity_reg",
+    with_views(f"SELECT patch_id, reference_date, {rnd('y_sev_reg')} AS y_true, TRUE AS in_range FROM {_TEST} WHERE {_SEVERE}", "order_panel"),
+)
 def _(t: Tables) -> DataFrame:
-    return fitting.fit_severity_reg(_panel(t), FEW_TREES).report
+    """Every test row has a prediction, within a third of the span of training values beyond them."""
+    panel = _panel(t)
+    fit = fitting.fit_severity_reg(panel)
+    seen = panel.filter("split = 'train' and y_sev_available = 1").agg(F.min("y_sev_reg"), F.max("y_sev_reg")).first()
+    slack = (seen[1] - seen[0]) / 3
+    return rounded(fit.predictions.select(*KEYS, "y_true", F.col("y_pred").between(seen[0] - slack, seen[1] + slack).alias("in_range")))
 
 
-@query("score_panel")
+@query(
+    "score_panel",
+    with_views(f"SELECT patch_id, reference_date, TRUE AS probabilities, TRUE AS severities, TRUE AS risks, TRUE AS alerts FROM {_ALL}", "order_panel"),
+)
 def _(t: Tables) -> DataFrame:
+    """Every row of the panel scored: probabilities, severities from 0 on, their product, and the alert at the tuned threshold."""
     panel = _panel(t)
-    fire = fitting.fit_occurrence(panel, fitting.BOOSTED, FEW_TREES)
-    return score.score_panel(panel, fire, fitting.fit_severity_reg(panel, FEW_TREES))
+    fire = fitting.fit_occurrence(panel, fitting.BOOSTED)
+    scored = score.score_panel(panel, fire, fitting.fit_severity_reg(panel))
+    return scored.select(
+        *KEYS, (_share("p_fire") & _share("p_fire_raw")).alias("probabilities"), (F.col("severity_conditional") >= 0).alias("severities"),
+        (F.abs(F.col("expected_risk") - F.col("p_fire") * F.col("severity_conditional")) < 1e-12).alias("risks"),
+        ((F.col("p_fire") >= fire.threshold).cast("int") == F.col("fire_alert")).alias("alerts"),
+    )
 
 
-@query("feature_importances")
+_FEATURES_SQL = f"SELECT unnest({FEATURES}) AS feature, TRUE AS fits"
+
+
+@query("feature_importances", f"{_FEATURES_SQL}")
+def _(t: Tables) -> DataFrame:
+    """Every feature of a forest has an importance; together they are 1."""
+    found = score.top_features(score.feature_importances(fitting.fit_occurrence(_panel(t), fitting.FOREST)), 30)
+    whole = F.abs(F.sum("importance").over(Window.partitionBy(F.lit(0))) - 1) < 1e-9  # three rows
+    return found.select("feature", (whole & (F.col("importance") >= 0)).alias("fits"))
+
+
+def _attributed(panel: DataFrame, fit: fitting.Fit) -> DataFrame:
+    """Every feature's mean absolute share, which can't exceed the whole spread its coefficients give."""
+    got = score.linear_attribution(panel, fit)
+    return got.select("feature", (F.col("mean_abs_attribution") >= 0).alias("fits"))
+
+
+@query("linear_attribution", f"{_FEATURES_SQL}")
 def _(t: Tables) -> DataFrame:
-    fit = fitting.fit_occurrence(_panel(t), fitting.FOREST, FEW_TREES)
-    return score.top_features(score.feature_importances(fit), 30)
+    panel = _panel(t)
+    return _attributed(panel, fitting.fit_occurrence(panel, fitting.LOGREG))
 
 
-@query("linear_attribution")
+@query("linear_attribution_classes", f"{_FEATURES_SQL}")
 def _(t: Tables) -> DataFrame:
+    """Shares of a model with one output per severity class, averaged over outputs."""
     panel = _panel(t)
-    return score.linear_attribution(panel, fitting.fit_occurrence(panel, fitting.LOGREG))
+    return _attributed(panel, fitting.fit_severity_cls(panel, model_name=fitting.LOGREG))
 
 
 def balanced_weights(t: Tables) -> DataFrame:

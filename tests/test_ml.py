@@ -4,12 +4,14 @@ from statistics import NormalDist
 
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from conftest import day
 from panelforge.functions.normal import with_inverse_normal
 from panelforge.ml import fit as fitting
-from panelforge.ml import isotonic, score
+from panelforge.ml import boosting, isotonic, score
 from panelforge.ml.transformers import MedianImputer, MedianImputerModel, QuantileNormalizer, Winsorizer, WinsorizerModel
 from panelforge.operators import metrics, splits
 
@@ -220,6 +222,42 @@ def test_severity_classes_run(spark, panel):
         fitting.fit_severity_cls(panel.filter("split <> 'val'"), FEW)
 
 
+def test_rounds_stop_where_validation_loss_turns(spark):
+    """Labels that are noise on the validation rows: rounds stop after so many without a better loss, and only the best prefix stays."""
+    rng = np.random.default_rng(11)
+    data = [(Vectors.dense(rng.normal(size=3).tolist()), float(rng.random() < 0.5), bool(i % 3 == 0)) for i in range(600)]
+    rows = spark.createDataFrame(data, ["features", "y", "is_val"])
+    params = fitting.DEFAULTS["boosted"] | {"n_estimators": 40, "max_depth": 3, "early_stopping_rounds": 3}
+    made = boosting.boost(rows, features="features", label="y", loss=boosting.LOGISTIC, params=params)
+    best = int(np.argmin(made.losses))
+    assert len(made.rounds) == best + 1 < 40 and made.stopped_after == len(made.losses) == best + 4
+    free = boosting.boost(rows.withColumn("is_val", F.lit(False)), features="features", label="y", loss=boosting.LOGISTIC, params=params | {"n_estimators": 5})
+    assert len(free.rounds) == 5
+
+
+def test_softmax_shares_sum_to_one(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(500, 2))
+    y = np.where(x[:, 0] > 0.6, 2, np.where(x[:, 0] > -0.4, 1, 0))
+    rows = spark.createDataFrame([(Vectors.dense(a.tolist()), float(b), i % 4 == 0) for i, (a, b) in enumerate(zip(x, y))], ["features", "y", "is_val"])
+    params = fitting.DEFAULTS["boosted"] | {"n_estimators": 6, "max_depth": 2}
+    made = boosting.boost(rows, features="features", label="y", loss=boosting.SOFTMAX, params=params, classes=3)
+    assert made.losses == sorted(made.losses, reverse=True) and len(made.start) == 3
+    out = PipelineModel(made.stages("features", "m_")).transform(rows).collect()
+    assert all(sum(r["m_probability"]) == pytest.approx(1) and len(r["m_probability"]) == 3 for r in out)
+    assert np.mean([r["m_prediction"] == r["y"] for r in out]) > 0.95
+    margins = [[b + 0.1 * sum(t[k].predict(r["features"]) for t in made.rounds) for k, b in enumerate(made.start)] for r in out[:20]]
+    powers = np.exp(margins)
+    assert np.allclose([r["m_probability"] for r in out[:20]], powers / powers.sum(1, keepdims=True))
+
+
+def test_attribution_over_several_outputs(spark, panel):
+    fit = fitting.fit_severity_cls(panel, model_name="logreg")
+    shares = {r["feature"]: r["mean_abs_attribution"] for r in score.linear_attribution(panel, fit).collect()}
+    assert shares["optical_a"] > shares["weather_b"] > 0
+    assert all(sum(r["y_probs"]) == pytest.approx(1) for r in fit.predictions.collect())
+
+
 def test_sample_is_repeatable(spark, panel):
     one = score.capped_sample(panel, 50).collect()
     two = score.capped_sample(panel.repartition(7), 50).collect()

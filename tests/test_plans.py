@@ -12,7 +12,7 @@ from panelforge.plans import ml_catalog
 from panelforge.plans.bindings import Tables
 
 QUERIES = ml_catalog.QUERIES  # the panel queries; text queries have plan tests of their own
-TRAINS = {n for n in QUERIES if n.startswith("fit_") or n in ("score_panel", "feature_importances", "linear_attribution", "evaluate_all")}
+TRAINS = {n for n in QUERIES if n.startswith("fit_") or n in ("score_panel", "feature_importances", "linear_attribution", "linear_attribution_classes", "evaluate_all")}
 
 
 def plan(df) -> str:

@@ -205,3 +205,24 @@ def test_median_of_crowded_and_sparse_pixels_ignores_nan(spark):
     for chunk_rows in (10_000, 2):
         (row,) = median_over_spans(spine, seen, ["b4"], {"past": (-10, 0)}, chunk_rows=chunk_rows).collect()
         assert row["past_b4"] == 2.0
+
+
+@pytest.mark.parametrize("source", [None, "viirs_active_fire", "sentinel2_sr", "sentinel2_cloud_probability", "cloud_score_plus", "era5_land_daily"])
+def test_a_window_that_looks_ahead_is_found(spark, source):
+    """Widening one source's look-back by a day past the reference date is a leak that the check reports."""
+    from panelforge.operators import checks
+
+    spine = spark.createDataFrame([("p", day("2020-02-01"))], SPINE)
+    rows = [("p", 1, k, day(d), 0.5, 0.4, 0.3, 0.2, 0.1, 9) for k, d in enumerate(["2020-01-20", "2020-02-01", "2020-02-02"])]
+    obs = spark.createDataFrame(rows, "patch_id string, pixel_id int, image_id int, obs_date date, b8 double, b12 double, probability double, cs double, t double, fire_mask int")
+    sources = {
+        "viirs_active_fire": obs.select("patch_id", "obs_date", "fire_mask"), "sentinel2_sr": obs.select("patch_id", "pixel_id", "image_id", "obs_date", "b8", "b12"),
+        "sentinel2_cloud_probability": obs, "cloud_score_plus": obs, "era5_land_daily": obs,
+    }
+    panel = build_panel(spine, sources, lookback_days=30, bands=["b8", "b12"], weather=["t"], ends={source: 1} if source else None)
+    if source is None:
+        assert str(panel.first()["feature_max_timestamp"])[:10] == "2020-02-01"
+        checks.enforce_no_leakage(panel)
+    else:
+        with pytest.raises(checks.ContractError, match="after the reference date"):
+            checks.enforce_no_leakage(panel)
