@@ -15,6 +15,9 @@ from .bindings import Tables, rnd, rounded, with_views
 from .catalog import QUERIES, SPLIT_ENDS, SPLIT_SQL, query  # noqa: F401
 
 FEATURES = ["weather_balance", "optical_price", "terrain_prio"]
+# Smaller than the defaults, which take minutes a fit on one machine (figures in the README); all rows are used.
+FOREST_SIZE = {"n_estimators": 20, "max_depth": 10}
+BOOSTED_SIZE = {"n_estimators": 10, "max_depth": 4, "early_stopping_rounds": 3}
 
 
 def _panel(t: Tables) -> DataFrame:
@@ -193,12 +196,12 @@ def _(t: Tables) -> DataFrame:
 
 @query("fit_occurrence_forest", with_views(_FIRE_REPORT_SQL.format(model="random_forest"), "order_panel"))
 def _(t: Tables) -> DataFrame:
-    return _fire_report(fitting.fit_occurrence(_panel(t), fitting.FOREST))
+    return _fire_report(fitting.fit_occurrence(_panel(t), fitting.FOREST, FOREST_SIZE))
 
 
 @query("fit_occurrence_boosted", with_views(_FIRE_REPORT_SQL.format(model="boosted"), "order_panel"))
 def _(t: Tables) -> DataFrame:
-    return _fire_report(fitting.fit_occurrence(_panel(t), fitting.BOOSTED))
+    return _fire_report(fitting.fit_occurrence(_panel(t), fitting.BOOSTED, BOOSTED_SIZE))
 
 
 @query(
@@ -210,7 +213,7 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     """Class probabilities of every test row sum to 1 and the likeliest class is the one predicted."""
-    fit = fitting.fit_severity_cls(_panel(t))
+    fit = fitting.fit_severity_cls(_panel(t), BOOSTED_SIZE)
     probs = F.col("y_probs")
     total = F.aggregate(probs, F.lit(0.0), lambda a, x: a + x)
     shares = (F.abs(total - 1.0) < 1e-9) & (F.size(probs) == 3) & F.forall(probs, lambda x: x.between(0.0, 1.0))
@@ -227,7 +230,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     """Every test row has a prediction, within a third of the span of training values beyond them."""
     panel = _panel(t)
-    fit = fitting.fit_severity_reg(panel)
+    fit = fitting.fit_severity_reg(panel, BOOSTED_SIZE)
     seen = panel.filter("split = 'train' and y_sev_available = 1").agg(F.min("y_sev_reg"), F.max("y_sev_reg")).first()
     slack = (seen[1] - seen[0]) / 3
     return rounded(fit.predictions.select(*KEYS, "y_true", F.col("y_pred").between(seen[0] - slack, seen[1] + slack).alias("in_range")))
@@ -240,8 +243,8 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     """Every row of the panel scored: probabilities, severities from 0 on, their product, and the alert at the tuned threshold."""
     panel = _panel(t)
-    fire = fitting.fit_occurrence(panel, fitting.BOOSTED)
-    scored = score.score_panel(panel, fire, fitting.fit_severity_reg(panel))
+    fire = fitting.fit_occurrence(panel, fitting.LOGREG)
+    scored = score.score_panel(panel, fire, fitting.fit_severity_reg(panel, BOOSTED_SIZE))
     return scored.select(
         *KEYS, (_share("p_fire") & _share("p_fire_raw")).alias("probabilities"), (F.col("severity_conditional") >= 0).alias("severities"),
         (F.abs(F.col("expected_risk") - F.col("p_fire") * F.col("severity_conditional")) < 1e-12).alias("risks"),
@@ -255,7 +258,7 @@ _FEATURES_SQL = f"SELECT unnest({FEATURES}) AS feature, TRUE AS fits"
 @query("feature_importances", f"{_FEATURES_SQL}")
 def _(t: Tables) -> DataFrame:
     """Every feature of a forest has an importance; together they are 1."""
-    found = score.top_features(score.feature_importances(fitting.fit_occurrence(_panel(t), fitting.FOREST)), 30)
+    found = score.top_features(score.feature_importances(fitting.fit_occurrence(_panel(t), fitting.FOREST, FOREST_SIZE)), 30)
     whole = F.abs(F.sum("importance").over(Window.partitionBy(F.lit(0))) - 1) < 1e-9  # three rows
     return found.select("feature", (whole & (F.col("importance") >= 0)).alias("fits"))
 
