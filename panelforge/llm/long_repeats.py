@@ -59,20 +59,15 @@ def sampled(t: Texts, h: np.ndarray, size: int, longer: int) -> np.ndarray:
 
 
 def covering(t: Texts, h: np.ndarray, alive: np.ndarray, size: int, longer: int) -> np.ndarray:
-    """Places of windows of ``longer`` words that may repeat, given the places ``alive`` of sampled windows that do.
+    """Places of windows of ``longer`` words whose least window of ``size`` words is one of the places ``alive``.
 
-    The least window of ``size`` words inside must be alive, and no sampled window inside may be dead, as
-    all that lies in a repeated window is repeated.
+    Other sampled windows inside say nothing: they may be sampled because of what surrounds this window only.
     """
     width = longer - size + 1
     best = sliding(h, width)
     lives = np.full(len(h), ~np.uint64(0))
     lives[alive] = h[alive]
-    dead = np.zeros(len(h) + 1, np.int64)
-    dead[sampled(t, h, size, longer) + 1] = 1
-    dead[alive + 1] = 0
-    dead = np.cumsum(dead)
-    return np.flatnonzero(_within(t, longer) & (sliding(lives, width) == best) & (dead[width : len(best) + width] == dead[: len(best)]))
+    return np.flatnonzero(_within(t, longer) & (sliding(lives, width) == best))
 
 
 def _per_text(t: Texts, places: np.ndarray, *values: np.ndarray) -> list[pa.Array]:
