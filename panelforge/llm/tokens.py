@@ -72,21 +72,21 @@ class Encoder:
                 self.cache[word] = data[start:end]
                 start = end
 
-    def _whole_letters(self, base: str, key: str) -> bool:
-        """Whether ``base`` is letters that normalisation leaves alone, with ``key`` as their lower case."""
-        if base.isascii():
-            return base.isalpha()
-        return base.isalpha() and is_normalized("NFC", base) and is_normalized("NFC", key) and self.odd.isdisjoint(base)
+    def _stable(self, base: str) -> bool:
+        """Whether letters and their lower case are left alone by normalisation and have the same ids."""
+        return is_normalized("NFC", base) and is_normalized("NFC", base.lower()) and self.odd.isdisjoint(base)
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         if len(self.cache) > CACHE_PIECES:
             self.cache, self.older = {}, self.cache
-        cache, older, splits, lowers, whole = self.cache, self.older, self.splits, self.lowers, self._whole_letters
+        cache, older, splits, lowers, stable = self.cache, self.older, self.splits, self.lowers, self._stable
         fresh, keys, tails = {}, [], []
         for p in pieces:
             base = p.rstrip(".,") if splits else p
-            key, tail = base.lower() if lowers else base, p[len(base) :]
-            if not whole(base, key):
+            if base.isalpha() and (base.isascii() or stable(base)):
+                key = base.lower() if lowers else base
+                tail = p[len(base) :]
+            else:
                 key, tail, base = p, "", ""
             if key not in cache:
                 if key in older:
