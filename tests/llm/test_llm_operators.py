@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from panelforge.llm import dart_dedup, html_text, mixing, packing, pair_quality, pii, pq_dedup, quality_rules, secrets, token_files
@@ -589,3 +590,12 @@ def test_token_ids_of_random_words():
     ids, bounds = mine.encode(pa.array(texts))
     for text, lo, hi, wanted in zip(texts, bounds[:-1], bounds[1:], plain.encode_batch(texts, add_special_tokens=False)):
         assert ids[lo:hi].tolist() == wanted.ids, ascii(text)
+
+
+def test_quality_rules_learn_from_every_trusted_row(spark):
+    """The counts and the threshold hold all rows labelled 1, more than one sample of 50,000 held before."""
+    n = 50_400
+    rows = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("plain words that repeat in each of the many short texts "), F.col("id").cast("string")).alias("text"))
+    model = quality_rules.fit(rows, rows.select("doc_id", F.lit(1).alias("quality")))
+    # trusted and raw texts are the same ones, so every ratio is 0 only if every row is counted
+    assert np.abs(model.weights).max() == 0 and model.threshold == pytest.approx(-quality_rules.MARGIN)
