@@ -599,3 +599,26 @@ def test_quality_rules_learn_from_every_trusted_row(spark):
     model = quality_rules.fit(rows, rows.select("doc_id", F.lit(1).alias("quality")))
     # trusted and raw texts are the same ones, so every ratio is 0 only if every row is counted
     assert np.abs(model.weights).max() == 0 and model.threshold == pytest.approx(-quality_rules.MARGIN)
+
+
+def test_network_learns_from_every_run(spark, monkeypatch):
+    """Every distinct run is an example, once; beyond a bounded number they are learned from in tasks, and none is left out."""
+    rng = np.random.default_rng(8)
+    key = lambda: "".join(rng.choice(list("0123456789abcdef"), 32))
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(600)]
+    texts = [f"so {words[i % 600]} it is {words[(i * 7) % 600]} then" + (f" token = {key()}" if i % 5 == 0 else "") for i in range(1500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    examples = secrets.secret_examples(docs).collect()
+    runs = [r["w"][secrets.BEFORE : -secrets.AFTER] for r in examples if r["kind"] < 0]
+    assert sorted(runs) == sorted(set(words))
+    assert sorted(map(tuple, examples)) == sorted(map(tuple, secrets.secret_examples(docs.repartition(7)).collect()))
+    monkeypatch.setattr(secrets, "LOCAL_ROWS", 100)
+    monkeypatch.setattr(secrets, "SHARD_ROWS", 50)
+    seen, steps, held = [], secrets._shared_steps, secrets._calibrated
+    collect = lambda some: seen.extend(r["w"] for r in some.select("w").collect())
+    monkeypatch.setattr(secrets, "_shared_steps", lambda some, net, seed: collect(some) or steps(some, net, seed))
+    monkeypatch.setattr(secrets, "_calibrated", lambda net, some: collect(some) or held(net, some))
+    net = secrets.learn(spark.createDataFrame(examples, "kind int, w string"))
+    assert set(seen) == {r["w"] for r in examples}
+    judged = lambda some: net.chance(net.logits(*secrets._coded(some))) >= net.threshold
+    assert judged([r["w"] for r in examples if r["kind"] >= 0]).mean() > 0.95 and judged([r["w"] for r in examples if r["kind"] < 0]).mean() < 0.05
