@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.indices import normalized_difference
 from ..functions.missing import nulls_for_nans
 from .keys import KEYS
-from .pixels import MEDIAN, SUM, pixel_windows
+from .pixels import MEDIAN, SUM, pixel_totals, pixel_windows
 from .windows import Daily, Span, counted, day_number, image_counts, span_rollups
 
 FIRE_THRESHOLD = 7  # fixed value: mask classes from here on are fires
@@ -23,10 +23,12 @@ def crowded_pixels(rows: DataFrame, width: int, chunk_rows: int) -> DataFrame:
     """Pixels with more than ``chunk_rows`` rows in a stretch of ``width`` days, and over how many chunks to deal them.
 
     The ``CROWDED`` fullest stretches are looked up, a table of bounded size; any other
-    holds less than that share of all rows.
+    holds less than that share of all rows. Only pixels that have as many rows in all are counted by stretch.
     """
     keys = ["patch_id", "pixel_id", "_stretch"]
-    placed = rows.select("patch_id", "pixel_id", F.floor(day_number(F.col("obs_date")) / width).alias("_stretch"))
+    many = rows.groupBy("patch_id", "pixel_id").agg(F.count(F.lit(1)).alias("_all")).filter(F.col("_all") > chunk_rows)
+    places = rows.select("patch_id", "pixel_id", "obs_date").join(many.select("patch_id", "pixel_id"), ["patch_id", "pixel_id"], "left_semi")
+    placed = places.select("patch_id", "pixel_id", F.floor(day_number(F.col("obs_date")) / width).alias("_stretch"))
     fullest = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > chunk_rows)
     fullest = fullest.orderBy(F.desc("_n"), *keys).limit(CROWDED)
     return fullest.groupBy("patch_id", "pixel_id").agg(F.ceil(F.max("_n") / chunk_rows).cast("int").alias("chunks"))
@@ -42,21 +44,23 @@ def _merged_medians(parts: DataFrame, keys: Sequence[str], names: Sequence[str])
     """Medians of pixels whose sorted values (array columns ``names``) lie in several rows, one per chunk.
 
     The median lies between the least lower and the greatest upper middle of the chunks. As
-    rows are dealt by hash, these are close, and only the distinct values between them meet.
+    rows are dealt by hash, these are close, and only the distinct values between them meet. The parts, which
+    cost a sort and a worker, are read once.
     """
     group = [*keys, "name"]
     pairs = F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("values")) for n in names])
     long = parts.select(*keys, F.inline(pairs)).filter(F.size("values") > 0)
     low, high = _middle(F.col("values"))
-    ends = long.groupBy(*group).agg(F.sum(F.size("values")).alias("n"), F.min(low).alias("low"), F.max(high).alias("high"))
-    near = long.join(ends, group).select(
-        *group, "n", F.size(F.filter("values", lambda v: v < F.col("low"))).alias("less"),
-        F.filter("values", lambda v: v.between(F.col("low"), F.col("high"))).alias("values"),
-    )
-    less = near.groupBy(*group).agg(F.sum("less").alias("less"), F.max("n").alias("n"))
-    counted = near.select(*group, F.explode("values").alias("value")).groupBy(*group, "value").agg(F.count(F.lit(1)).alias("c"))
-    upto = F.sum("c").over(Window.partitionBy(*group).orderBy("value"))
-    ranked = counted.withColumn("upto", upto).join(less, group).withColumn("upto", F.col("upto") + F.col("less"))
+    whole = Window.partitionBy(*group)
+    ends = [F.sum(F.size("values")).over(whole).alias("n"), F.min(low).over(whole).alias("low"), F.max(high).over(whole).alias("high")]
+    near = F.filter("values", lambda v: v.between(F.col("low"), F.col("high")))
+    less = F.size(F.filter("values", lambda v: v < F.col("low"))).cast("long")
+    # the values below come first, as so many rows of no value
+    values = F.concat(F.array(F.struct(F.lit(None).cast("double").alias("value"), less.alias("c"))), F.transform(near, lambda v: F.struct(v.alias("value"), F.lit(1).cast("long").alias("c"))))
+    one = long.select(*group, "values", *ends).select(*group, "n", F.inline(values))
+    counted = one.groupBy(*group, "value").agg(F.sum("c").alias("c"), F.max("n").alias("n"))
+    upto = F.sum("c").over(Window.partitionBy(*group).orderBy(F.col("value").asc_nulls_first()))
+    ranked = counted.withColumn("upto", upto)
 
     def holds(rank: Column) -> Column:
         return (rank < F.col("upto")) & (rank >= F.col("upto") - F.col("c"))
@@ -89,20 +93,24 @@ def median_over_spans(
     crowded = crowded_pixels(narrow, high - low + 1, chunk_rows)
     pixel = ["patch_id", "pixel_id"]
     names = [f"{s}_{b}" for s in spans for b in bands]
+    counts = [f"{n}_pixels" for n in names]
     keys = ["patch_id", anchor, "pixel_id"]
-    usual = narrow.join(F.broadcast(crowded.withColumn("_crowded", F.lit(True))), pixel, "left").filter("_crowded is null")
-    whole = pixel_windows(anchors, usual, bands, spans, statistic=MEDIAN, anchor=anchor).select(*keys, *names, "seen")
+    usual = narrow.join(F.broadcast(crowded), pixel, "left").filter("chunks is null").drop("chunks")
+    whole = pixel_totals(anchors, usual, bands, spans, statistic=MEDIAN, anchor=anchor).select("patch_id", anchor, *names, *counts, "seen")
     # without crowded pixels all that follows is empty, and adaptive execution leaves it out
-    full = narrow.join(F.broadcast(crowded.select(*pixel)), pixel)
-    near = anchors.join(F.broadcast(crowded.select("patch_id").distinct()), "patch_id", "left_semi")
-    parts = pixel_windows(near, full, bands, spans, statistic=MEDIAN, anchor=anchor, crowded=crowded)
+    full = narrow.join(F.broadcast(crowded), pixel)
+    most = crowded.groupBy("patch_id").agg(F.max("chunks").alias("chunks"))
+    near = anchors.select("patch_id", anchor).join(F.broadcast(most), "patch_id")
+    parts = pixel_windows(near, full, bands, spans, statistic=MEDIAN, anchor=anchor, dealt=True)
     parts = parts.select(*keys, *[F.col(f"{n}_values").alias(n) for n in names], "seen")
-    merged = _merged_medians(parts, keys, names).withColumn("seen", F.lit(None).cast("date"))
-    medians = whole.unionByName(merged)
+    merged = _merged_medians(parts, keys, names)
+    ones = [F.col(n).isNotNull().cast("long").alias(f"{n}_pixels") for n in names]
+    medians = whole.unionByName(merged.select("patch_id", anchor, *names, *ones, F.lit(None).cast("date").alias("seen")))
     if last_seen:
-        medians = medians.unionByName(parts.select(*keys, *[F.lit(None).cast("double").alias(n) for n in names], "seen"))
+        medians = medians.unionByName(parts.select("patch_id", anchor, "seen"), allowMissingColumns=True)
     seen = [F.max("seen").alias(last_seen)] if last_seen else []
-    return medians.groupBy("patch_id", anchor).agg(*[F.avg(n).alias(n) for n in names], *seen)
+    means = [F.try_divide(F.sum(n), F.sum(c)).alias(n) for n, c in zip(names, counts)]
+    return medians.groupBy("patch_id", anchor).agg(*means, *seen)
 
 
 def _latest(df: DataFrame, out: str | None, *names: str) -> DataFrame:
@@ -164,10 +172,10 @@ def mean_composite(
         *[F.sum(f).alias(f"_s_{f}") for f in fields], *[F.count(f).alias(f"_n_{f}") for f in fields]
     )
     parts = [f"_{part}_{f}" for f in fields for part in ("s", "n")]
-    found = pixel_windows(spine, per_day, parts, {"past": (-lookback_days, ends)}, statistic=SUM, entity=entity)
-    ratios = [F.try_divide(f"past__s_{f}", f"past__n_{f}").alias(f) for f in fields]
-    means = found.select(*keys, *ratios, "seen").groupBy(*keys).agg(
-        *[F.avg(f).alias(name.format(field=f, days=lookback_days)) for f in fields], *([F.max("seen").alias("_seen_values")] if last_seen else [])
+    found = pixel_totals(spine, per_day, parts, {"past": (-lookback_days, ends)}, statistic=SUM, entity=entity)
+    means = found.groupBy(*keys).agg(
+        *[F.try_divide(F.sum(f"past__s_{f}"), F.sum(f"past__s_{f}_pixels")).alias(name.format(field=f, days=lookback_days)) for f in fields],
+        *([F.max("seen").alias("_seen_values")] if last_seen else []),
     )
     images = "_seen_images" if last_seen else None
     images_of = image_counts(spine, observations, lookback_days=lookback_days, out=count_name, entity=entity, ends=ends, last_seen=images)

@@ -142,7 +142,7 @@ def image_spans(
     first, last = window
     # a repeated row is followed by its own day, so its interval is empty
     dated = observations.select(entity, image, day)
-    following = F.lead(day).over(Window.partitionBy(entity, image).orderBy(day))
+    following = F.lead(day).over(Window.partitionBy(image, entity).orderBy(day))  # sorted by image first, which differs most
     until = F.least(F.date_add(F.col(day), 1 - first), F.coalesce(F.date_add(following, -last), F.lit("9999-12-31").cast("date")))
     steps = dated.select(entity, F.col(day).alias("_at"), F.date_add(F.col(day), -last).alias("_start"), until.alias("_end")).select(
         entity,
