@@ -128,8 +128,8 @@ class Tables:
         )
 
     @cached_property
-    def customer_orders(self) -> DataFrame:
-        """Orders keyed by customer patch and day, duplicates included."""
+    def _owned_orders(self) -> DataFrame:
+        """``customer_orders`` with the nation of the customer."""
         owners = self.table("customer").select(
             F.col("c_custkey").alias("o_custkey"), "c_nationkey", "c_acctbal", "c_mktsegment"
         )
@@ -138,6 +138,7 @@ class Tables:
             .join(owners, "o_custkey")
             .select(
                 F.concat_ws("_", F.lit("cust"), "c_nationkey", "o_custkey").alias("patch_id"),
+                "c_nationkey",
                 F.col("o_orderdate").cast("date").alias("reference_date"),
                 "o_orderkey",
                 F.col("o_custkey").alias("custkey"),
@@ -149,14 +150,23 @@ class Tables:
             )
         )
 
+    @cached_property
+    def customer_orders(self) -> DataFrame:
+        """Orders keyed by customer patch and day, duplicates included."""
+        return self._owned_orders.drop("c_nationkey")
+
     @cached_property
     def unique_orders(self) -> DataFrame:
-        """The first order of each customer and day."""
+        """The first order of each customer and day.
+
+        Nation and key of a customer, which is never null, stand for the patch: numbers sort faster than names that begin alike.
+        """
         values = ["custkey", "status", "price", "prio", "acctbal", "segment"]
+        owner = [F.col("custkey").alias("_key"), F.col("c_nationkey").alias("_nation")]
         return (
-            self.customer_orders.groupBy("patch_id", "reference_date")
+            self._owned_orders.groupBy(*owner, "reference_date")
             .agg(F.min_by(F.struct(*values), "o_orderkey").alias("v"))
-            .select("patch_id", "reference_date", "v.*")
+            .select(F.concat_ws("_", F.lit("cust"), "_nation", "_key").alias("patch_id"), "reference_date", "v.*")
         )
 
     @cached_property

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import curves, metrics
+from ..session import staged
 
 
 def tasks(predictions: DataFrame) -> dict[str, list[str]]:
@@ -28,7 +29,10 @@ def evaluate_all(
     topk: Sequence[int] | None = None,
 ) -> DataFrame:
     """Comparison table of every model, with its spatial subset when prefixes are given,
-    and one ``risk__<occurrence>+<severity>`` row per pair of models."""
+    and one ``risk__<occurrence>+<severity>`` row per pair of models.
+
+    Each report reads its predictions several times, so they are written once to the shared folder."""
+    predictions = staged(predictions, "predictions")
     by_task = tasks(predictions)
     reports = []
 
