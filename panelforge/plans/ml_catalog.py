@@ -24,6 +24,11 @@ def _panel(t: Tables) -> DataFrame:
     return splits.temporal_split(t.order_panel, **SPLIT_ENDS)
 
 
+def _stored_panel(t: Tables) -> DataFrame:
+    """The panel as training gets it: a written table, as fitting, checks and predictions each read it again."""
+    return staged(_panel(t), "panel")
+
+
 def _out(prefix: str) -> list[str]:
     return [f"{prefix}_{c}" for c in FEATURES]
 
@@ -191,17 +196,17 @@ _FIRE_REPORT_SQL = f"""SELECT '{{model}}' AS model, 3 AS n_features, {_counts_sq
     with_views(f"SELECT patch_id, reference_date, y_occ_30d AS y_true, TRUE AS probabilities, TRUE AS alerts FROM {_TEST}", "order_panel"),
 )
 def _(t: Tables) -> DataFrame:
-    return _fire_rows(fitting.fit_occurrence(_panel(t), fitting.LOGREG))
+    return _fire_rows(fitting.fit_occurrence(_stored_panel(t), fitting.LOGREG))
 
 
 @query("fit_occurrence_forest", with_views(_FIRE_REPORT_SQL.format(model="random_forest"), "order_panel"))
 def _(t: Tables) -> DataFrame:
-    return _fire_report(fitting.fit_occurrence(_panel(t), fitting.FOREST, FOREST_SIZE))
+    return _fire_report(fitting.fit_occurrence(_stored_panel(t), fitting.FOREST, FOREST_SIZE))
 
 
 @query("fit_occurrence_boosted", with_views(_FIRE_REPORT_SQL.format(model="boosted"), "order_panel"))
 def _(t: Tables) -> DataFrame:
-    return _fire_report(fitting.fit_occurrence(_panel(t), fitting.BOOSTED, BOOSTED_SIZE))
+    return _fire_report(fitting.fit_occurrence(_stored_panel(t), fitting.BOOSTED, BOOSTED_SIZE))
 
 
 @query(
@@ -213,7 +218,7 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     """Class probabilities of every test row sum to 1 and the likeliest class is the one predicted."""
-    fit = fitting.fit_severity_cls(_panel(t), BOOSTED_SIZE)
+    fit = fitting.fit_severity_cls(_stored_panel(t), BOOSTED_SIZE)
     probs = F.col("y_probs")
     total = F.aggregate(probs, F.lit(0.0), lambda a, x: a + x)
     shares = (F.abs(total - 1.0) < 1e-9) & (F.size(probs) == 3) & F.forall(probs, lambda x: x.between(0.0, 1.0))
@@ -229,7 +234,7 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     """Every test row has a prediction, within a third of the span of training values beyond them."""
-    panel = _panel(t)
+    panel = _stored_panel(t)
     fit = fitting.fit_severity_reg(panel, BOOSTED_SIZE)
     seen = panel.filter("split = 'train' and y_sev_available = 1").agg(F.min("y_sev_reg"), F.max("y_sev_reg")).first()
     slack = (seen[1] - seen[0]) / 3
@@ -242,7 +247,7 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     """Every row of the panel scored: probabilities, severities from 0 on, their product, and the alert at the tuned threshold."""
-    panel = _panel(t)
+    panel = _stored_panel(t)
     fire = fitting.fit_occurrence(panel, fitting.LOGREG)
     scored = score.score_panel(panel, fire, fitting.fit_severity_reg(panel, BOOSTED_SIZE))
     return scored.select(
@@ -258,7 +263,7 @@ _FEATURES_SQL = f"SELECT unnest({FEATURES}) AS feature, TRUE AS fits"
 @query("feature_importances", f"{_FEATURES_SQL}")
 def _(t: Tables) -> DataFrame:
     """Every feature of a forest has an importance; together they are 1."""
-    found = score.top_features(score.feature_importances(fitting.fit_occurrence(_panel(t), fitting.FOREST, FOREST_SIZE)), 30)
+    found = score.top_features(score.feature_importances(fitting.fit_occurrence(_stored_panel(t), fitting.FOREST, FOREST_SIZE)), 30)
     whole = F.abs(F.sum("importance").over(Window.partitionBy(F.lit(0))) - 1) < 1e-9  # three rows
     return found.select("feature", (whole & (F.col("importance") >= 0)).alias("fits"))
 
@@ -271,14 +276,14 @@ def _attributed(panel: DataFrame, fit: fitting.Fit) -> DataFrame:
 
 @query("linear_attribution", f"{_FEATURES_SQL}")
 def _(t: Tables) -> DataFrame:
-    panel = _panel(t)
+    panel = _stored_panel(t)
     return _attributed(panel, fitting.fit_occurrence(panel, fitting.LOGREG))
 
 
 @query("linear_attribution_classes", f"{_FEATURES_SQL}")
 def _(t: Tables) -> DataFrame:
     """Shares of a model with one output per severity class, averaged over outputs."""
-    panel = _panel(t)
+    panel = _stored_panel(t)
     return _attributed(panel, fitting.fit_severity_cls(panel, model_name=fitting.LOGREG))
 
 
