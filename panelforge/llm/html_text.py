@@ -383,8 +383,6 @@ def extract_main_text(pages: DataFrame, *, min_pages: int = MIN_PAGES, min_share
     counted = each.select("host", "hash", "body").distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
     recurring = counted.where(F.col("n") >= min_pages).join(size, "host").where(F.col("n") >= F.least(F.col("bodies") * min_share, F.lit(enough)))
     hits = each.select("page", "host", "hash").distinct().join(recurring.select("host", "hash"), ["host", "hash"])
-    # Few pages have hits, as a rule: a written table has a known size, so Spark sends it
-    # to all tasks only below its own limit and joins by shuffle beyond it.
     removed = stage(hits.groupBy("page").agg(F.sort_array(F.collect_set("hash")).alias("removed")), "templates")
 
     def texts(batch):
@@ -401,6 +399,7 @@ def extract_main_text(pages: DataFrame, *, min_pages: int = MIN_PAGES, min_share
             names=["page_id", "url", "text", "n_chars", "n_template", "n_named"],
         )
 
-    joined = source.join(removed, "page", "left")
+    # Most pages have hits, so this table grows with the pages; always a merge join, which moves each page once at any size.
+    joined = source.join(removed.hint("merge"), "page", "left")
     kind = dict(pages.dtypes)["page_id"]
     return map_batches(joined.select("page_id", "url", "html", "removed"), texts, f"page_id {kind}, url string, text string, n_chars long, n_template long, n_named long")
