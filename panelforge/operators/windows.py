@@ -7,8 +7,8 @@ Three ways:
   range-framed window gives any number of look-back and future spans. No join,
   and no row is multiplied. A window group is bounded by the calendar (days of
   observations plus reference dates of one patch), whatever the raw row count.
-* ``pixels.pixel_windows`` for per-pixel statistics: rows of two stretches of time are sorted
-  beside the anchors that see them. An observation is moved twice,
+* ``pixels.pixel_windows`` and ``pixel_totals`` for per-pixel statistics: rows of a stretch of time are sorted
+  beside the anchors that see them. An observation is moved once or twice,
   not once per window that covers it (26 times for weekly dates and 180 days).
 * ``span_join`` where the pairs themselves are wanted: an equi join on patch and
   time bucket. Buckets are as wide as the span, so an anchor touches two at most
