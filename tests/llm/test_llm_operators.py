@@ -622,3 +622,50 @@ def test_network_learns_from_every_run(spark, monkeypatch):
     assert set(seen) == {r["w"] for r in examples}
     judged = lambda some: net.chance(net.logits(*secrets._coded(some))) >= net.threshold
     assert judged([r["w"] for r in examples if r["kind"] >= 0]).mean() > 0.95 and judged([r["w"] for r in examples if r["kind"] < 0]).mean() < 0.05
+
+
+def shuffled_bytes(df):
+    """Bytes of the rows that a query moves, before they are compressed."""
+    df.collect()
+    nodes, total = [df._jdf.queryExecution().executedPlan()], 0
+    while nodes:
+        node = nodes.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec" or kind.endswith("QueryStageExec"):
+            nodes.append(node.executedPlan() if kind.startswith("Adaptive") else node.plan())
+            continue
+        total += node.metrics().apply("dataSize").value() if kind == "ShuffleExchangeExec" else 0
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+def test_secret_examples_move_each_character_once(spark):
+    """Besides its window, an example moves only a few numbers; a run isn't moved a second time as its own group."""
+    rng = np.random.default_rng(31)
+    texts = [" ".join("".join(rng.choice(list("ghijklmnop"), 40)) for _ in range(20)) for _ in range(50)]
+    examples = secrets.secret_examples(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    n = examples.count()
+    moved = shuffled_bytes(examples)
+    assert n == 1000 and 80 * n < moved < (80 + 80) * n
+
+
+def test_learning_writes_other_runs_no_second_time(spark, monkeypatch):
+    """Only findings, and the logits of the third that is held, are written again; one window found by two kinds is one example."""
+    rng = np.random.default_rng(32)
+    word = lambda k, letters: "".join(rng.choice(list(letters), k))
+    found = [secrets.window(f"a token={word(32, '0123456789')} b", 8, 40) for _ in range(60)]
+    other = [secrets.window(f"some {word(9, 'abcdefgh')} more", 5, 14) for _ in range(600)]
+    rows = [(k, w) for k in (0, 2) for w in found] + [(-1, w) for w in sorted(set(other))]
+    monkeypatch.setattr(secrets, "LOCAL_ROWS", 100)
+    written, stage, steps, seen = {}, secrets.stage, secrets._shared_steps, []
+
+    def counted(df, name):
+        out = stage(df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(secrets, "stage", counted)
+    monkeypatch.setattr(secrets, "_shared_steps", lambda some, net, seed: seen.extend(some.where("good").select("w").collect()) or steps(some, net, seed))
+    net = secrets.learn(spark.createDataFrame(rows, "kind int, w string"))
+    assert net.threshold <= 1 and sum(written.values()) < len(found) + len(set(other)) / 2
+    assert len(seen) % secrets.ROUNDS == 0 and len(seen) == secrets.ROUNDS * len(set(seen))
