@@ -1,6 +1,6 @@
 """Observation summaries per patch and date."""
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,7 +27,9 @@ def crowded_pixels(rows: DataFrame, width: int, chunk_rows: int) -> DataFrame:
     """
     keys = ["patch_id", "pixel_id", "_stretch"]
     many = rows.groupBy("patch_id", "pixel_id").agg(F.count(F.lit(1)).alias("_all")).filter(F.col("_all") > chunk_rows)
-    places = rows.select("patch_id", "pixel_id", "obs_date").join(many.select("patch_id", "pixel_id"), ["patch_id", "pixel_id"], "left_semi")
+    # one in chunk_rows rows at most: the rows themselves are not moved to find them
+    many = F.broadcast(many.select("patch_id", "pixel_id"))
+    places = rows.select("patch_id", "pixel_id", "obs_date").join(many, ["patch_id", "pixel_id"], "left_semi")
     placed = places.select("patch_id", "pixel_id", F.floor(day_number(F.col("obs_date")) / width).alias("_stretch"))
     fullest = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > chunk_rows)
     fullest = fullest.orderBy(F.desc("_n"), *keys).limit(CROWDED)
@@ -299,15 +301,16 @@ def pre_post_composites(
     prefire_days: int = PREFIRE_DAYS,
     postfire: tuple[int, int] = (POSTFIRE_START, POSTFIRE_END),
     chunk_rows: int = CHUNK_ROWS,
+    keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df,
 ) -> DataFrame:
     """Composites before and after each burn, with burn ratios and their difference.
 
     Many reference dates share a burn, so medians are taken once per patch and
-    burn date, both windows from the same arrays.
+    burn date, both windows from the same arrays. ``keep`` may write them and read them back.
     """
     anchors = burned.filter("burn_date is not null").select("patch_id", "burn_date").distinct()
     spans = {"pre": (-prefire_days, -1), "post": postfire}
-    medians = median_over_spans(anchors, observations, [nir, swir2], spans, anchor="burn_date", chunk_rows=chunk_rows)
+    medians = keep(median_over_spans(anchors, observations, [nir, swir2], spans, anchor="burn_date", chunk_rows=chunk_rows), "burns")
     wide = medians.withColumnsRenamed(
         {
             f"pre_{nir}": "prefire_nir_mean",

@@ -17,6 +17,7 @@ Three ways:
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,10 +67,15 @@ def span_rollups(
     for unbounded. Sums over spans without events are NULL; callers choose their own zero rule.
     """
     rows = spine.select("*", F.col(anchor).alias("_day"), F.lit(True).alias("_spine"))
+    days: list[DataFrame] = []
     for source in sources:
         measures = [c.alias(f"_m_{n}") for n, c in source.measures.items()]
-        per_day = source.events.groupBy(entity, F.col(source.day).alias("_day")).agg(*measures)
-        rows = rows.unionByName(per_day.withColumn("_spine", F.lit(False)), allowMissingColumns=True)
+        days.append(source.events.groupBy(entity, F.col(source.day).alias("_day")).agg(*measures))
+    if days:
+        every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), days)
+        if len(days) > 1:  # one row per day of all sources; their tasks hold the same days, so nothing moves for it
+            every = every.groupBy(entity, "_day").agg(*[F.max(c).alias(c) for c in every.columns if c.startswith("_m_")])
+        rows = rows.unionByName(every.withColumn("_spine", F.lit(False)), allowMissingColumns=True)
     by_day = Window.partitionBy(entity).orderBy(day_number(F.col("_day")))
 
     def frame(first: int | None, last: int | None):
@@ -131,36 +137,47 @@ def image_spans(
     image: str = "image_id",
     prefix: str = "image",
 ) -> tuple[Daily, dict[str, Span]]:
-    """Source and spans that count distinct images whose day lies in ``window`` around an anchor.
+    """Source and spans that count distinct images whose day lies in ``window`` around an anchor; see ``images_counted``.
 
     An image dated d counts for anchors d - last .. d - first, but only up to the day before
-    its next date would count, so that it counts once. Each dated image thus adds one at the
-    start of an interval and takes it back after the end; per-day sums of these
-    steps and one running sum give exact distinct counts without a range join.
+    its next date would count, so that it counts once. Nearly all dates count for the whole interval: they are summed in
+    the window itself, a row each. Where the next date comes sooner, one is taken back from then on and given back after the
+    interval; per-day sums of these steps and one running sum give exact distinct counts without a range join.
     ``last_seen`` adds the latest image day that the window really reached.
     """
     first, last = window
-    # a repeated row is followed by its own day, so its interval is empty
     dated = observations.select(entity, image, day)
     following = F.lead(day).over(Window.partitionBy(image, entity).orderBy(day))  # sorted by image first, which differs most
-    until = F.least(F.date_add(F.col(day), 1 - first), F.coalesce(F.date_add(following, -last), F.lit("9999-12-31").cast("date")))
-    steps = dated.select(entity, F.col(day).alias("_at"), F.date_add(F.col(day), -last).alias("_start"), until.alias("_end")).select(
-        entity,
-        F.inline(
-            F.array(
-                F.struct(F.col("_start").alias("obs_date"), F.lit(1).alias("step"), F.col("_at").alias("at")),
-                F.struct(F.col("_end").alias("obs_date"), F.lit(-1).alias("step"), F.lit(None).cast("date").alias("at")),
-            )
-        ),
-    )
-    measures = {f"{prefix}_step": F.sum("step")}
-    spans: dict[str, Span] = {out: (f"{prefix}_step", "sum", None, 0)}
+    dates = dated.select(entity, F.col(day).alias("_at"), following.alias("_following"))
+    dates = dates.select(entity, "_at", F.date_add("_at", 1 - first).alias("_end"), F.date_add("_following", -last).alias("_next"))
+
+    def row(at: Column, n: Column, step: Column) -> Column:
+        return F.struct(at.alias("obs_date"), n.cast("int").alias("n"), step.cast("int").alias("step"))
+
+    none, no_day = F.lit(None), F.col("_at").isNull()
+    # a row without a day counts from the first day on, until the image has one
+    begun, ended = row(F.col("_at"), none, F.lit(1)), row(F.coalesce("_next", F.lit("9999-12-31").cast("date")), none, F.lit(-1))
+    whole = row(F.col("_at"), F.lit(1), none)
+    cut = F.array(whole, row(F.col("_next"), none, F.lit(-1)), row(F.col("_end"), none, F.lit(1)))
+    steps = dates.select(entity, F.inline(F.when(no_day, F.array(begun, ended)).when(F.col("_next") < F.col("_end"), cut).otherwise(F.array(whole))))
+    measures = {f"{prefix}_n": F.sum("n"), f"{prefix}_step": F.sum("step")}
+    spans: dict[str, Span] = {out: (f"{prefix}_n", "sum", first, last), _cut(out): (f"{prefix}_step", "sum", None, 0)}
     if last_seen:
-        measures[f"{prefix}_at"] = F.max("at")
-        spans[last_seen] = (f"{prefix}_at", "max", first - last, 0)
+        measures[f"{prefix}_at"] = F.max(F.when(F.col("n") > 0, F.col("obs_date")))
+        spans[last_seen] = (f"{prefix}_at", "max", first, last)
     return Daily(steps, measures), spans
 
 
+def _cut(out: str) -> str:
+    return f"_cut_{out}"
+
+
+def images_counted(rolled: DataFrame, out: str) -> DataFrame:
+    """The number of images of both spans of ``image_spans``, 0.0 without any."""
+    both = F.coalesce(F.col(out), F.lit(0)) + F.coalesce(F.col(_cut(out)), F.lit(0))
+    return rolled.withColumn(out, both.cast("double")).drop(_cut(out))
+
+
 def counted(df: DataFrame, *names: str) -> DataFrame:
     """Counts as doubles, 0.0 where nothing was counted."""
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("double") for c in names})
@@ -179,4 +196,4 @@ def image_counts(
 ) -> DataFrame:
     """Distinct images in [ref - L, ref + ends] as a double, 0.0 when none."""
     source, spans = image_spans(observations, window=(-lookback_days, ends), out=out, last_seen=last_seen, entity=entity)
-    return counted(span_rollups(spine, [source], spans, entity=entity, anchor=anchor), out)
+    return images_counted(span_rollups(spine, [source], spans, entity=entity, anchor=anchor), out)

@@ -80,7 +80,11 @@ class Tables:
 
     @cached_property
     def burns(self) -> DataFrame:
-        return self.observations.filter("fire_mask >= 7").select(
+        return self._burns(self.observations)
+
+    @staticmethod
+    def _burns(observations: DataFrame) -> DataFrame:
+        return observations.filter("fire_mask >= 7").select(
             "patch_id",
             F.trunc("obs_date", "month").alias("image_date"),
             F.dayofyear("obs_date").alias("burn_doy"),
@@ -111,12 +115,16 @@ class Tables:
 
     @cached_property
     def sources(self) -> dict[str, DataFrame]:
+        return self.sources_of(self.observations)
+
+    def sources_of(self, observations: DataFrame) -> dict[str, DataFrame]:
+        """All sources, those of observations from this form of ``observations``."""
         return {
-            "viirs_active_fire": self.observations.select("patch_id", "obs_date", "fire_mask"),
-            "sentinel2_sr": self.observations.select("patch_id", "pixel_id", "image_id", "obs_date", *BANDS),
+            "viirs_active_fire": observations.select("patch_id", "obs_date", "fire_mask"),
+            "sentinel2_sr": observations.select("patch_id", "pixel_id", "image_id", "obs_date", *BANDS),
             "era5_land_daily": self.weather,
             "srtm": self.terrain,
-            "burn_severity": self.burns,
+            "burn_severity": self._burns(observations),
         }
 
     @cached_property

@@ -1,6 +1,7 @@
 """The panel build: spine, source summaries, labels, features, keys."""
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from ..operators.features import rolling_stats, spectral_indices
 from ..operators.keys import KEYS, finish_keys
 from ..operators.labels import occurrence_labels, severity_labels
 from ..operators.lookups import static_join
-from ..operators.windows import Daily, Span, counted, image_spans, span_rollups, within_period
+from ..operators.windows import Daily, Span, counted, image_spans, images_counted, span_rollups, within_period
 
 
 def build_panel(
@@ -24,6 +25,7 @@ def build_panel(
     period: tuple[str, str] | None = None,
     chunk_rows: int = comp.CHUNK_ROWS,
     ends: Mapping[str, int] | None = None,
+    keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df,
 ) -> DataFrame:
     """Canonical panel of a spine from the sources that are given.
 
@@ -37,7 +39,8 @@ def build_panel(
     carries it through the window of its own summary, so the leakage check finds a window that reaches too far.
 
     Counts, images and burns of all sources are rolled up in one window over keys; summaries are
-    made on keys alone and meet once, before the row's other columns join.
+    made on keys alone and meet once, before the row's other columns join. ``keep`` is given each summary and its name: with
+    ``session.settled`` they are made one after the other, and what one of them shuffles is gone when the next begins.
     """
     ends = dict(ends or {})
     needs = {"burn_severity": "sentinel2_sr"}
@@ -49,7 +52,7 @@ def build_panel(
     keys = spine.select(*KEYS)
     parts: list[Daily] = []
     spans: dict[str, Span] = {}
-    counts, seen, tables = [], [], []
+    counts, images, seen, tables = [], [], [], []
 
     def roll(part: Daily, named: Mapping[str, Span], *numbers: str) -> None:
         parts.append(part)
@@ -68,15 +71,17 @@ def build_panel(
         optical, at = sources["sentinel2_sr"], reach("sentinel2_sr")
         seen.append("_seen_images")
         window, count = (-lookback_days, at["ends"]), "optical_s2_observation_count"
-        roll(*image_spans(optical, window=window, out=count, last_seen="_seen_images"), count)
-        tables.append(comp.optical_medians(keys, optical, bands, lookback_days=lookback_days, chunk_rows=chunk_rows, **at))
+        part, named = image_spans(optical, window=window, out=count, last_seen="_seen_images")
+        roll(replace(part, events=keep(part.events, "images")), named)
+        images.append(count)
+        tables.append(keep(comp.optical_medians(keys, optical, bands, lookback_days=lookback_days, chunk_rows=chunk_rows, **at), "optical"))
     if "burn_severity" in sources:
         roll(*comp.burn_spans(sources["burn_severity"], out="_doy"))
     if "sentinel2_cloud_probability" in sources:
         clouds = sources["sentinel2_cloud_probability"]
-        tables.append(comp.cloud_probability(keys, clouds, lookback_days=lookback_days, **reach("sentinel2_cloud_probability")))
+        tables.append(keep(comp.cloud_probability(keys, clouds, lookback_days=lookback_days, **reach("sentinel2_cloud_probability")), "clouds"))
     if "cloud_score_plus" in sources:
-        tables.append(comp.cloud_score(keys, sources["cloud_score_plus"], lookback_days=lookback_days, **reach("cloud_score_plus")))
+        tables.append(keep(comp.cloud_score(keys, sources["cloud_score_plus"], lookback_days=lookback_days, **reach("cloud_score_plus")), "scores"))
     if "era5_land_daily" in sources:
         # weather cells are coarser than patches: summarise each cell once, then look it up
         places = [weather_cell, "reference_date"]
@@ -84,14 +89,17 @@ def build_panel(
         summary = comp.mean_composite(
             cells, sources["era5_land_daily"], weather, lookback_days=lookback_days, entity=weather_cell, **reach("era5_land_daily")
         )
-        mine = spine.select(*dict.fromkeys([*KEYS, weather_cell])).join(summary, places, "left")
+        mine = spine.select(*dict.fromkeys([*KEYS, weather_cell])).join(keep(summary, "weather"), places, "left")
         tables.append(mine if weather_cell == "patch_id" else mine.drop(weather_cell))
     rolled = keys
     if parts:
         rolled = counted(span_rollups(keys, parts, spans), *counts)
+        for count in images:
+            rolled = images_counted(rolled, count)
+        rolled = keep(rolled, "rolled")
     if "burn_severity" in sources:
         burned = comp.with_burn_date(rolled, "_doy")
-        rolled = comp.pre_post_composites(burned, sources["sentinel2_sr"], chunk_rows=chunk_rows)
+        rolled = comp.pre_post_composites(burned, sources["sentinel2_sr"], chunk_rows=chunk_rows, keep=keep)
     for table in tables:
         rolled = rolled.join(table, KEYS, "left")
     whole = static_join(spine, comp.terrain_means(sources["srtm"])) if "srtm" in sources else spine

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bins import uniform_edges
 from ..operators import checks, composites, curves, features, holdout, keys, labels, lookups, metrics, ordered, splits
+from ..session import discard, settled
 from ..streaming.incremental import pending_keys
 from . import bindings as b
 from .bindings import LOOKBACK, Tables, rnd, rounded, with_views
@@ -1264,4 +1265,11 @@ def panel_query(t: Tables) -> DataFrame:
 
 
 def full_panel(t: Tables) -> DataFrame:
-    return build_panel(t.spine, t.sources, lookback_days=LOOKBACK, bands=b.BANDS, weather_cell="cell", period=(b.START, b.END))
+    """The panel of all sources. Observations meet their patches once, not once for each use, and every summary of them is
+    written before the next is made; what is left to do are joins of summaries."""
+    seen = settled(t.observations, "observations")
+    panel = build_panel(
+        t.spine, t.sources_of(seen), lookback_days=LOOKBACK, bands=b.BANDS, weather_cell="cell", period=(b.START, b.END), keep=settled
+    )
+    discard(seen)
+    return panel
